@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, pieces
+from . import blocks, exact, language, pieces, rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_exact", exact.ORACLE)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(table(spark, sf_dir, "documents"))
+
+
+@query("op4_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.cascade(table(spark, sf_dir, "documents"))
+
+
+@query("op8_blocks")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_predictions(table(spark, sf_dir, "documents"))

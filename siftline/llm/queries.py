@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, exact, language, pieces, rules
+from . import blocks, exact, language, mixing, pieces, rules, sharding, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_predictions(table(spark, sf_dir, "documents"))
+
+
+@query("op3_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@query("op5_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query("op7_warc", warc.ORACLE)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))

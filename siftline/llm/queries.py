@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, exact, language, mixing, pieces, rules, sharding, warc
+from . import blocks, exact, language, mixing, near, pieces, private, rules, sharding, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_warc", warc.ORACLE)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query("op10_near")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.clusters(table(spark, sf_dir, "documents"))
+
+
+@query("op6_private")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.report(table(spark, sf_dir, "documents"))

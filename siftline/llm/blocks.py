@@ -15,16 +15,19 @@ identifier follow each other ordered by a hash of their text. An empty table giv
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, fresh_dir, settle, small_batches
+from .common import Memo, fresh_dir, grouped, settle, small_batches
 from .files import Commit, store
 from .order import ranges
 
@@ -36,25 +39,82 @@ HEAD = struct.Struct("<IHBH")
 FOOT = struct.Struct("<QQQQQ")
 
 
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 class WordTokens:
     """Ids of whole texts by the tokenizers library, whose words are kept in a cache of bounded size.
 
-    The tokenizer drops white space and never looks across it, so a text's ids are those of its words in a row.
+    The tokenizer drops white space and never looks across it, so a text's ids are those of its words in a row. Plain
+    Latin letters, and ASCII symbols after them, are known to be a unit each to the tokenizer, and go to the library's
+    model at once; any other word takes the library's whole way.
     """
 
-    def __init__(self, file: str):
+    LETTERS = "[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0134-\u0137\u0139-\u0148\u014a-\u017e]"
+    SYMBOLS = r"[!-&(-/:-@\[-`{-~]"  # without the apostrophe, which begins units like 's
+    WORD = f"^(?P<stem>{LETTERS}+)(?P<mark>{SYMBOLS}*)$"
+    UNIT = re.compile(f"{LETTERS}+|{SYMBOLS}+")
+
+    def __init__(self, file: str, cache: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.memo = Memo(self.make)
-
-    def make(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def ids(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(self.memo.all(text.encode().split())) if text else b""
+        self.model = self.tokenizer.model
+        self.memo = Memo(self.make, limit=cache)
+        self.letters = dict(enumerate(byte_letters()))
+        self.short = self.takes_units()
+
+    def takes_units(self) -> bool:
+        """Does the short way give what the long way gives? Seen on words of all the characters that it is for."""
+        letters = "".join(chr(c) for c in range(0x180) if re.fullmatch(self.LETTERS, chr(c)))
+        symbols = "".join(chr(c) for c in range(0x80) if re.fullmatch(self.SYMBOLS, chr(c)))
+        stems = [letters[k : k + n] for k in range(len(letters)) for n in (1, 3, 7)]
+        marks = [symbols[k : k + n] for k in range(len(symbols)) for n in (1, 3)]
+        pairs = zip(stems, marks * (len(stems) // len(marks) + 1), strict=False)
+        return all(self.unit(s.lower()) + self.unit(m) == self.whole(s + m) for s, m in pairs)
+
+    def whole(self, word: str) -> bytes:
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def unit(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(word)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def make(self, words: list[str]) -> list[bytes]:
+        fits = self.UNIT.fullmatch if self.short else lambda _: None
+        return [(self.unit(w) if fits(w) else self.whole(w)) if w else b"" for w in words]
+
+    def ids(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin; the last entry is their number.
+
+        Arrow splits the texts into words and numbers the distinct ones; these are taken apart into stem and mark
+        where they are plain, and each distinct part is looked up once.
+        """
+        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()).combine_chunks(), ""))
+        numbered = words.flatten().dictionary_encode()
+        distinct = numbered.dictionary
+        taken_apart = pc.extract_regex(distinct, self.WORD) if self.short else pa.nulls(len(distinct), pa.struct([("stem", pa.large_string()), ("mark", pa.large_string())]))
+        stem = pc.if_else(pc.is_valid(taken_apart), pc.utf8_lower(pc.struct_field(taken_apart, "stem")), distinct)
+        mark = pc.if_else(pc.is_valid(taken_apart), pc.struct_field(taken_apart, "mark"), "")
+        parts = pa.concat_arrays([stem, mark.cast(pa.large_string())]).dictionary_encode()
+        found = self.memo.all(parts.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts = np.cumsum(sizes) - sizes
+        of_word = parts.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T  # stem and mark of each distinct word
+        order = of_word[numbered.indices.to_numpy(zero_copy_only=False)].ravel()
+        taken = sizes[order]
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        ids = pool[np.arange(ends[-1]) + np.repeat(starts[order] - ends[:-1], taken)]
+        offsets = words.offsets.to_numpy()
+        return ids, ends[2 * (offsets - offsets[0])]
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -218,14 +278,15 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, *, key: str = "doc_
             n_docs, n, size = writer.close()
             return pa.RecordBatch.from_pylist([{"shard": current, "path": path, "n_docs": n_docs, "n_tokens": n, "bytes": size}], schema)
 
-        for batch in batches:
-            for shard, k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for batch in grouped(batches):
+            ids, begins = words.ids(batch.column(2))
+            for shard, k, (a, b) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), pairwise(begins), strict=True):
                 if shard != current:
                     if writer:
                         yield done()
                     current, path = shard, f"{folder}/ids-{shard:06d}.pfr"
                     writer = FileWriter(path)
-                writer.add(k, words.ids(t.as_py()) + end)
+                writer.add(k, ids[a:b].tobytes() + end)
         if writer:
             yield done()
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, wherever an operator says "word": a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of text whose words are numbered together.
+GROUP_BYTES = 8 << 20
 #: A-Z and a-z, for lower-casing that leaves every other letter alone.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,25 +60,49 @@ def one_row(df: DataFrame) -> dict:
     return df.first().asDict()
 
 
+def grouped(batches: Iterable[pa.RecordBatch], size: int = GROUP_BYTES) -> Iterator[pa.Table]:
+    """The batches joined to tables of about so many bytes, for work that pays off on many texts at a time."""
+    held, have = [], 0
+    for batch in batches:
+        held.append(batch)
+        have += batch.nbytes
+        if have >= size:
+            yield pa.Table.from_batches(held)
+            held, have = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 class Memo:
-    """A word cache of bounded size: make(words) fills in what is missing, and a full cache starts anew."""
+    """A word cache of bounded size: make(words) fills in what is missing.
+
+    It has two generations of at most `limit` words. When the young one is full it becomes the old one, and what is
+    still asked for moves on from there, so frequent words stay.
+    """
 
-    def __init__(self, make: Callable[[list[str]], list], limit: int = 300_000, longest: int = 64):
+    def __init__(self, make: Callable[[list], list], limit: int = 250_000, longest: int = 64):
         self.make, self.limit, self.longest = make, limit, longest
         self.known: dict = {}
+        self.old: dict = {}
 
     def all(self, words: list) -> list:
-        """The value of each word, in order."""
-        known = self.known
-        missing = set(words).difference(known)
-        if missing:
-            if len(known) + len(missing) > self.limit:
-                known.clear()
-                missing = set(words)
-            missing = list(missing)
-            known.update(zip(missing, self.make(missing), strict=True))
-        found = [known[w] for w in words]
-        for word in missing:
+        """The value of each word, in order; no value is None."""
+        found = list(map(self.known.get, words))
+        if None not in found:
+            return found
+        gaps = [k for k, value in enumerate(found) if value is None]
+        missing = {words[k] for k in gaps}
+        if len(self.known) + len(missing) > self.limit:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        new = [word for word in missing if word not in old]
+        for word in missing.difference(new):
+            known[word] = old[word]
+        if new:
+            known.update(zip(new, self.make(new), strict=True))
+        for k in gaps:
+            found[k] = known[words[k]]
+        for word in new:
             if len(word) > self.longest:
                 del known[word]
         return found

@@ -21,3 +21,12 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
     for key, value in {**DEFAULTS, **{k.replace("_", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settle(df):
+    """df cut off from its lineage in the folder that spark.checkpoint.dir names; set here only where it is unset."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", "/tmp/checkpoints/siftline")
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/siftline")
+    return df.checkpoint()

@@ -55,6 +55,17 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each lengthened until df has no column of that name."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def one_row(df: DataFrame) -> dict:
     """The single row of an aggregate without keys."""
     return df.first().asDict()

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, settle
+from .common import ascii_lower, settle, unused
 
 RUNS, FAN = 64, 8
 #: What stands for a text.
@@ -76,7 +76,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", large
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", largest: bool = True) -> DataFrame:
     """docs with one row of each group of equal texts, all columns kept; of rows repeated with id and text, one copy stays."""
-    row, other = "__row", "__other"
+    row, other = unused(docs, "row", "other")
     numbered = docs.withColumn(row, F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("text")))
     merged = settle(tree_merge(marked(numbered.select(row, text), row, text), row, largest=largest), "merged")
     losers = merged.where(F.col(row) != F.col("keep_id")).select(F.col(row).alias(other)).distinct()

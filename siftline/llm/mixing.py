@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import WORD, one_row, settle
+from .common import WORD, one_row, settle, unused
 
 #: Documents in a bucket of the first level, about; buckets combined into one at each further level.
 BUCKET, FAN = 4096, 512
@@ -184,12 +184,12 @@ def copies(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source:
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """docs with each row as often as the mix takes it, all columns kept."""
-    taken = copies(docs, key=key, text=text, source=source, **options)
-    plan = taken.where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), "copies").distinct()
-    plan = plan.withColumnRenamed("copies", "__copies")
-    same = F.col(key).eqNullSafe(F.col("__d")) & F.col(source).eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__n"))
-    joined = docs.withColumn("__size", words(F.col(text))).join(plan, same)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    d, s, n, c, size, number = unused(docs, "d", "s", "n", "c", "size", "number")
+    found = copies(docs, key=key, text=text, source=source, **options)
+    plan = found.where("copies > 0").select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(n), F.col("copies").alias(c)).distinct()
+    same = F.col(key).cast("long").eqNullSafe(F.col(d)) & F.col(source).cast("string").eqNullSafe(F.col(s)) & (F.col(size) == F.col(n))
+    joined = docs.withColumn(size, words(F.col(text))).join(plan, same)
+    return joined.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(c).cast("int")))).select(*docs.columns)
 
 
 def taken(docs: DataFrame) -> DataFrame:

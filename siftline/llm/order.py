@@ -43,11 +43,12 @@ def ranges(rows: DataFrame, key: str, weight: str, most: int) -> Ranges:
     follow from them, so a rerun finds the same ranges.
     """
     keyed = rows.select(F.coalesce(F.col(key).cast("long"), F.lit(LEAST)).alias("k"), F.col(weight).cast("long").alias("w"))
-    ends = keyed.where(F.col("k") > LEAST).agg(F.min("k"), F.max("k")).first()
-    low, high = (ends[0], ends[1]) if ends[0] is not None else (0, 0)
-    found: dict[int, tuple[int, int]] = {}
-    todo = cut(low, high + 1, FIRST)
-    spans = dict(zip(todo, [*todo[1:], high + 1], strict=True))
+    null, known = F.col("k") == LEAST, F.when(F.col("k") > LEAST, F.col("k"))
+    low, high, w_null, n_null = keyed.agg(F.min(known), F.max(known), F.sum(F.when(null, F.col("w"))), F.count_if(null)).first()
+    found: dict[int, tuple[int, int]] = {LEAST: (w_null, n_null)} if n_null else {}
+    keyed = keyed.where(F.col("k") > LEAST)
+    todo = cut(low, high + 1, FIRST) if low is not None else []
+    spans = dict(zip(todo, [*todo[1:], high + 1], strict=True)) if todo else {}
     only: list[tuple[int, int]] = []
     while todo:
         part = Ranges([LEAST, *todo[1:]] if not only else todo, [], []).of(F.col("k"))

@@ -19,6 +19,7 @@ import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -155,7 +156,7 @@ class PrefixTable:
 class Codec:
     """Whole texts to ids and back, with the cache of chunks."""
 
-    def __init__(self, model_file: str, cache: int = 300_000):
+    def __init__(self, model_file: str, cache: int = 250_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -178,7 +179,7 @@ class Codec:
 _codecs: dict[tuple[str, int], Codec] = {}
 
 
-def codec(model_file: str, cache: int = 300_000) -> Codec:
+def codec(model_file: str, cache: int = 250_000) -> Codec:
     """One codec in each Python worker, kept from task to task."""
     if (model_file, cache) not in _codecs:
         _codecs[model_file, cache] = Codec(model_file, cache)
@@ -206,30 +207,32 @@ def encode(docs: DataFrame, model_file: str, *, text: str = "text", ids: str = "
     return docs.select(*{*[f.name for f in keep], text}).mapInArrow(run, T.StructType([*keep, *extra]))
 
 
-def digests(docs: DataFrame, model_file: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digests(docs: DataFrame, model_file: str, *, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
     """Per row: key, n_tokens, ids_sha256 of the decimal ids joined by commas, decoded_sha256 of the decoded text.
 
-    The ids themselves stay in the tasks, so the result is narrow however long the texts are.
+    The ids themselves stay in the tasks unless they are asked for, so the result is narrow however long the texts are.
     """
     schema = T.StructType([
         docs.schema[key],
         T.StructField("n_tokens", T.LongType()),
         T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType()),
+        *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else []),
     ])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
         for batch in batches:
-            n, left, right = [], [], []
+            n, left, right, kept = [], [], [], []
             for value in batch.column(1):
-                ids, joined = c.encode(value.as_py())
-                n.append(len(ids))
+                found, joined = c.encode(value.as_py())
+                n.append(len(found))
                 left.append(hashlib.sha256(joined.encode()).hexdigest())
-                right.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string())], schema.names
-            )
+                right.append(hashlib.sha256(c.decode(found).encode()).hexdigest())
+                if ids:
+                    kept.append(np.array(found, np.int32))
+            more = [pa.array(kept, pa.list_(pa.int32()))] if ids else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(left, pa.string()), pa.array(right, pa.string()), *more], schema.names)
 
     small_batches(docs.sparkSession)
     return docs.select(key, text).mapInArrow(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -23,10 +25,17 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark, label: str) -> str:
+    """A new folder name under spark.checkpoint.dir, which driver and executors share; set here only where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "/tmp/checkpoints/siftline"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def settle(df):
-    """df cut off from its lineage in the folder that spark.checkpoint.dir names; set here only where it is unset."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", "/tmp/checkpoints/siftline")
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/siftline")
-    return df.checkpoint()
+    """df written to the shared folder and read again: cut off from its lineage, and safe from lost executors."""
+    path = shared_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

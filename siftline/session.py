@@ -25,17 +25,32 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def shared_folder(spark, label: str) -> str:
-    """A new folder name under spark.checkpoint.dir, which driver and executors share; set here only where it is unset."""
+def shared_root(spark) -> str:
+    """This application's folder under spark.checkpoint.dir, which driver and executors share; set here only where it
+    is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "/tmp/checkpoints/siftline"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/siftline-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark, label: str) -> str:
+    """A new folder name in the shared folder."""
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df):
-    """df written to the shared folder and read again: cut off from its lineage, and safe from lost executors."""
-    path = shared_folder(df.sparkSession, "settled")
+def settle(df, label: str = "settled"):
+    """df written as a table in the shared folder and read again.
+
+    It cuts the lineage, is computed once however often it is used, and survives lost executors.
+    """
+    path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tidy(spark) -> bool:
+    """Deletes what this application settled. Results that were not written elsewhere may need it: call it last."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))

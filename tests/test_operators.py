@@ -284,3 +284,65 @@ def test_email_jobs(spark):
     status = {r.mailbox: r for r in pipelines.email_scan(server, known, previous, "2024").collect()}
     assert (status["In/Box"].new_messages, status["In/Box"].new_attachments, status["In/Box"].last_in_sync_at) == (1, 1, "2020")
     assert status["*"].server_messages == 2 and status["*"].last_in_sync_at is None
+
+
+def test_objects_are_put_once(spark, tmp_path):
+    from siftline.sources import sinks
+
+    root = str(tmp_path / "out")
+    objects = files(spark, **{"a/x": b"1", "b": b"22"})
+    assert rows(sinks.put(objects, root), "key", "bytes", "outcome") == [("a/x", 1, "written"), ("b", 2, "written")]
+    assert (tmp_path / "out" / "a" / "x").read_bytes() == b"1" and not list(tmp_path.rglob("*.tmp"))
+    assert {r.outcome for r in sinks.put(objects, root, existing="skip").collect()} == {"kept"}
+    again = sinks.put(objects, root)
+    assert tuple(sinks.transfer_summary(again).first()) == (0, 0, 2)
+    done = sinks.copy(objects, root, only=spark.createDataFrame([("b",)], "key string"))
+    assert tuple(sinks.transfer_summary(done).first()) == (1, 2, 0)
+    with pytest.raises(ValueError):
+        sinks.purge(spark, root, confirm="yes")
+    assert sinks.purge(spark, root, confirm=root) and not (tmp_path / "out").exists()
+
+
+def test_buckets():
+    from siftline.sources import buckets
+
+    known = [buckets.Bucket("my-photos", "ph", "https://s3.example.com", "k"), buckets.Bucket("other", "ot", "https://s3.example.com", "k", "eu")]
+    assert buckets.uri("my-photos:/a/b/", known) == "s3a://ph/a/b/" and buckets.uri("other", known) == "s3a://ot/"
+    options = buckets.s3a_options(known, {"MY_PHOTOS": "secret"})
+    assert options["spark.hadoop.fs.s3a.bucket.ph.secret.key"] == "secret" and options["spark.hadoop.fs.s3a.bucket.ot.endpoint.region"] == "eu"
+    with pytest.raises(LookupError):
+        buckets.resolve("none", known)
+    with pytest.raises(ValueError):
+        buckets.resolve("other:a/../b", known)
+    with pytest.raises(ValueError):
+        buckets.s3a_options([*known, buckets.Bucket("x", "ph", "https://elsewhere", "k")], {})
+
+
+def test_ledger_stream(spark, tmp_path):
+    from siftline.streaming import logs
+
+    schema = "mailbox string, uidvalidity long, uid long, ingested_at string"
+    feed = str(tmp_path / "feed")
+    for part in ([("a", 1, 1, "2024"), ("a", 1, 2, "2024")], [("a", 1, 1, "2023"), ("b", 1, 1, "2024")]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(feed)
+        logs.ledger_upsert(spark.readStream.schema(schema).parquet(feed), str(tmp_path / "ledger"), str(tmp_path / "state")).awaitTermination()
+    assert rows(logs.latest_snapshot(spark, str(tmp_path / "ledger")), "mailbox", "uid", "ingested_at") == [("a", 1, "2023"), ("a", 2, "2024"), ("b", 1, "2024")]
+
+
+def test_log_stream(spark, tmp_path):
+    import json
+
+    from siftline.streaming import logs
+
+    def write(name, *entries):
+        (tmp_path / "log").mkdir(exist_ok=True)
+        (tmp_path / "log" / name).write_text("\n".join(e if isinstance(e, str) else json.dumps(e) for e in entries) + "\n")
+
+    stats = lambda n: {"level": "info", "msg": "s", "stats": {"bytes": n, "transfers": 1}}
+    error = lambda cause, key: {"level": "ERROR", "msg": cause, "object": key}
+    write("run-1.log", stats(10), "garbage", "", error("x", "a"), error("x", "b"), stats(30))
+    out = lambda: logs.run_to_end(logs.deltas(logs.lines(spark, str(tmp_path / "log"))), str(tmp_path / "run")).orderBy("bytes").collect()
+    first = out()
+    assert [(r.lane, r.bytes, [(s.cause, s.first_key, s.repeated) for s in r.streaks]) for r in first] == [("run", 30, [("x", "a", 1)])]
+    write("run-2.log", error("x", "c"), stats(35))
+    assert sorted((r.bytes, len(r.streaks)) for r in out()) == [(5, 0), (30, 1)]

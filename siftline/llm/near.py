@@ -7,15 +7,18 @@ bands of ROWS values, minima and maxima apart; documents that agree in a band me
 
 Documents with equal word sequences are one class and take part once. In a bucket nobody meets everybody:
 
-1. every member meets the bucket's leader, its smallest identifier; what the full sets confirm links them, and
-   linked classes form components;
-2. only buckets that still hold more than one component go on, and only members of different components meet there,
-   in blocks of bounded size, and only pairs whose signatures agree in LEAST_AGREE values or more.
-
-Nothing is capped: a pair left out is either inside one component already or has signatures that differ by more than
-five standard deviations from what a linked pair's would. Candidate pairs are confirmed on the full sets of shingles
-themselves, not of hashes. Components come from alternating large-star and small-star rounds over a distributed
-table of links, each round a written table.
+1. every document meets one other, the smallest of the leaders (smallest identifiers) of its buckets; what the full
+   sets confirm links them, and linked documents form components;
+2. the documents of buckets that still hold more than one component go on. Their shingles are ordered by how many of
+   these documents have them, rarest first. Two similar documents must share a shingle among the first few of each
+   (the smaller's first 8 %, the larger's first 15 %, as in prefix filtering), so documents meet again by these, and
+   those that only share a passage that many have do not meet at all. At first each component in such a group meets
+   one other only, ROUNDS times, which joins nearly all that belongs together;
+3. then all pairs of different components in a group whose sizes and places in the order allow enough in common.
+
+Nothing is capped, and steps 2 and 3 lose no pair of the buckets. Candidate pairs are confirmed on the full sets of
+shingles themselves, not of hashes. Components come from alternating large-star and small-star rounds over a
+distributed table of links, each round a written table.
 
 Null text and text without words have an empty set and are linked with nothing. With fewer than five words the whole
 sequence is the one shingle. Rows that share an identifier are one document: they reach each other. A null identifier
@@ -26,15 +29,16 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from .common import one_row, settle, small_batches
+from .common import settle, small_batches, unused
 
 #: Words of a shingle; hash functions, each giving two values; values of a band.
 WORDS, PERMUTATIONS, ROWS = 5, 60, 5
@@ -42,6 +46,8 @@ WORDS, PERMUTATIONS, ROWS = 5, 60, 5
 PERCENT = 85
 #: Of the 120 values of two signatures so many must agree; linked pairs agree in 102 on average, with deviation 4.
 LEAST_AGREE = 82
+#: Rounds in which components meet one other each before all that may be linked meet.
+ROUNDS = 2
 #: Members of a bucket that meet in one task, and identifiers that are sent to all executors at most.
 BLOCK, BROADCAST_IDS = 1000, 500_000
 #: Bytes of text that one round of vectorised hashing takes.
@@ -220,36 +226,125 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-def across(members: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one bucket that may be similar enough; members has key and rep."""
+PREFIX = T.StructType([
+    T.StructField("rep", T.LongType()),
+    T.StructField("mark", T.LongType()),
+    T.StructField("n", T.LongType()),
+    T.StructField("h", T.LongType()),
+])
+
+
+def shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(identifier, mark of the text, text) to PREFIX, a row a shingle."""
+    for batch in batches:
+        texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
+        first = 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (last == first or size + len(texts[last]) <= CHUNK):
+                size += len(texts[last])
+                last += 1
+            sets = hashed_sets(texts[first:last])
+            sizes = np.array([len(h) for h in sets], np.int64)
+            own = lambda k: np.repeat(batch.column(k).to_numpy()[first:last], sizes)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(own(0)), pa.array(own(1)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], PREFIX.names)
+            first = last
+
+
+def prefixes(members: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(h, rep, n, pos) of the first shingles, in one order of all, of the documents in buckets of several components."""
     named = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     named = settle(named, "named")
-    mixed_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-    open_rows = named.join(mixed_keys.select("key", "size"), "key").join(reps.select("rep", "n", "sig"), "rep")
-    # a bucket of many members is dealt into blocks, and every two blocks meet in a task of their own
-    n_blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
+    mixed_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    open_ids = settle(named.join(mixed_keys, "key", "left_semi").select(F.col("rep").alias("i")).distinct(), "open")
+    wanted = F.broadcast(open_ids) if open_ids.count() <= BROADCAST_IDS else open_ids
+    texts = docs.join(wanted, F.col("doc_id") == F.col("i"), "left_semi").select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    rows = settle(texts.mapInArrow(shingle_rows, PREFIX), "shingles")
+    ranked = rows.join(rows.groupBy("h").agg(F.count("*").alias("df")), "h")
+    pos = F.row_number().over(W.partitionBy("rep", "mark").orderBy("df", "h"))
+    least = F.ceil(F.col("n") * percent / 100)
+    return settle(ranked.withColumn("pos", pos.cast("long")).where(F.col("pos") <= F.col("n") - least + 1).select("h", "rep", "n", "pos").distinct(), "prefixes")
+
+
+def may_link(n_a, pos_a, n_b, pos_b, percent: int) -> np.ndarray:
+    """Can sets of these sizes be similar enough if the first element they share stands at these places? Vectorised.
+
+    They need percent / (100 + percent) of both sizes in common; the smaller must have the element among its first
+    ones, as many as it would still have enough with an equal partner.
+    """
+    swap = n_b < n_a
+    n_s, pos_s, n_l, pos_l = np.where(swap, n_b, n_a), np.where(swap, pos_b, pos_a), np.where(swap, n_a, n_b), np.where(swap, pos_a, pos_b)
+    common = 1 + np.minimum(n_s - pos_s, n_l - pos_l)
+    indexed = (100 + percent) * (n_s - pos_s + 1) >= 2 * percent * n_s
+    return indexed & (100 * n_s >= percent * n_l) & ((100 + percent) * common >= percent * (n_s + n_l))
+
+
+def meet(own: np.ndarray, x: int, y: int, rep: np.ndarray, component: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, star: bool) -> np.ndarray:
+    """Pairs (a, b) of two blocks of a group, or of one block if x is y, that may be similar enough.
+
+    star: each component's least document meets the group's least one only.
+    """
+    left, right = np.nonzero(own == x)[0], np.nonzero(own == y)[0]
+    if star:
+        order = np.argsort(rep, kind="stable")
+        first = order[np.unique(component[order], return_index=True)[1]]
+        left, right = order[:1], first
+    found = []
+    for k in left:
+        other = right if star or x != y else right[right > k]
+        other = other[component[other] != component[k]]
+        if len(other):
+            other = other[may_link(n[k], pos[k], n[other], pos[other], percent)]
+            found.append(np.stack([np.minimum(rep[other], rep[k]), np.maximum(rep[other], rep[k])], axis=1))
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def across(tokens: DataFrame, labels: DataFrame, percent: int, star: bool) -> DataFrame:
+    """Pairs of different components that meet by a shingle of their prefixes."""
+    named = tokens.join(labels, F.col("rep") == F.col("node"), "left").select("h", "rep", F.coalesce("component", "rep").alias("component"), "n", "pos")
+    groups = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    # a group of many documents is dealt into blocks, and every two blocks meet in a group of their own
+    n_blocks = F.when(F.lit(star), 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit("block")), n_blocks).cast("int")
-    dealt = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component", "n", "sig")
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        x, y = rows["x"].iloc[0], rows["y"].iloc[0]
-        left, right = rows[rows["own"] == x], rows[rows["own"] == y]
-        sig = lambda part: np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(-1, 2 * PERMUTATIONS)
-        found = []
-        if len(left) and len(right):
-            n, rep, comp, sigs = right["n"].to_numpy(), right["rep"].to_numpy(), right["component"].to_numpy(), sig(right)
-            for a, na, ca, sa in zip(left["rep"], left["n"], left["component"], sig(left), strict=True):
-                may = (comp != ca) & (100 * np.minimum(n, na) >= percent * np.maximum(n, na))
-                if x == y:
-                    may &= rep > a
-                at = np.nonzero(may)[0]
-                at = at[(sigs[at] == sa).sum(axis=1) >= LEAST_AGREE] if len(at) else at
-                found.append(np.stack([np.minimum(rep[at], a), np.maximum(rep[at], a)], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    return dealt.groupBy("key", "x", "y").applyInPandas(meet, "a long, b long").distinct()
+    rows = named.join(groups.select("h", "size"), "h")
+    if star:  # of a group only the least document of each component counts
+        rows = rows.groupBy("h", "component").agg(F.min(F.struct("rep", "n", "pos")).alias("r"), F.first("size").alias("size")).select("h", "r.rep", "component", "r.n", "r.pos", "size")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    dealt = dealt.select("h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component", "n", "pos")
+    sorted_groups = dealt.repartition(F.col("h"), F.col("x"), F.col("y")).sortWithinPartitions("h", "x", "y", "rep")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def done(rows: pa.Table, final: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
+            """Pairs of all whole groups, and the rows of the last group unless it is whole too."""
+            h, x, y, own, rep, comp, n, pos = (rows.column(k).to_numpy() for k in range(8))
+            cuts = np.nonzero((h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[0] + 1
+            bounds = [0, *cuts.tolist(), *([len(h)] if final else [])]
+            pairs = [meet(own[a:b], x[a], y[a], rep[a:b], comp[a:b], n[a:b], pos[a:b], percent, star) for a, b in pairwise(bounds) if b - a > 1]
+            both = np.concatenate([np.zeros((0, 2), np.int64), *pairs])
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"]), None if final else rows.slice(bounds[-1])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+            if rows.num_rows:
+                pairs, rest = done(rows, False)
+                yield pairs
+        if rest is not None and rest.num_rows:
+            yield done(rest, True)[0]
+
+    return sorted_groups.mapInArrow(run, "a long, b long").distinct()
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after links between their nodes, or nodes that have no label yet."""
+    name = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"))
+    bridges = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    tops = settle(components(bridges), "bridges").select(F.col("node").alias("component"), F.col("component").alias("top"))
+    known = labels.join(tops, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    new = tops.join(labels.select("node"), F.col("component") == F.col("node"), "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
+    return settle(known.unionByName(new), "components")
 
 
 def clusters(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -265,22 +360,18 @@ def clusters(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percen
     shared = spread.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
     members = settle(spread.join(shared.select("key", "leader"), "key"), "members")
     signed = banded.select("rep", "n", "sig")
-    starred = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    met = settle(agreeing(starred, signed, percent), "met")
-    first = settle(confirm(met, slim, percent), "confirmed")
-    labels = settle(components(first), "components")
-    left = across(members.select("key", "rep"), labels, signed, percent)
-    left = settle(left.join(met, ["a", "b"], "left_anti"), "left")
-    more = confirm(left, slim, percent)
-    # what is new links components, so only their labels meet again
-    name = lambda s: labels.select(F.col("node").alias(s), F.col("component").alias(f"c_{s}"))
-    bridges = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    starred = members.where("rep <> leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
+    tried = settle(agreeing(starred, signed, percent), "met")
+    labels = settle(components(confirm(tried, slim, percent)), "components")
+    members = members.select("key", "rep")
+    tokens = prefixes(members, labels, slim, percent)
+    for star in (*[True] * ROUNDS, False):
+        more = settle(across(tokens, labels, percent, star).join(tried, ["a", "b"], "left_anti"), "met")
+        if not more.isEmpty():
+            labels = joined(labels, confirm(more, slim, percent))
+            tried = tried.unionByName(more)
     # rows of one identifier with different texts are one document: each of its classes already has that one name
-    joined = settle(components(bridges.where("a <> b")), "bridges").select(F.col("node").alias("component"), F.col("component").alias("top"))
-    final = labels.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    lone = joined.join(labels, F.col("node") == joined["component"], "left_anti").select(F.col("component").alias("node"), F.col("top").alias("component"))
-    final = final.unionByName(lone)
-    of_class = reps.select("cls", "rep").join(final, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("found"))
+    of_class = reps.select("cls", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("found"))
     placed = base.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -288,5 +379,6 @@ def clusters(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percen
 
 def deduplicate(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs with one document of each component, all columns kept."""
-    dropped = clusters(docs, key=key, text=text, percent=percent).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(settle(dropped, "dropped"), F.col(key) == F.col("__dropped"), "left_anti")
+    (name,) = unused(docs, "dropped")
+    dropped = clusters(docs, key=key, text=text, percent=percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(settle(dropped, "dropped"), F.col(key) == F.col(name), "left_anti")

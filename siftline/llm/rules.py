@@ -79,7 +79,7 @@ RULES: dict[str, Rule] = {
     "repetitive": lambda t: 100 * t.n_repeat_words > 20 * t.n_words,
     "symbols": lambda t: 4 * t.n_symbols > t.n_words,
     "word_length": lambda t: not 2 * t.n_words <= t.word_chars <= 20 * t.n_words,
-    "duplicate_lines": lambda t: 10 * t.n_dup_lines > 3 * len(t.lines),
+    "duplicate_lines": lambda t: 2 * t.n_dup_lines > len(t.lines),
     "top_word": lambda t: t.n_words >= 50 and 10 * max(Counter(t.words).values()) > 4 * t.n_words,
     "few_letters": lambda t: 2 * sum(w.isdigit() for w in t.words) > t.n_words,
 }

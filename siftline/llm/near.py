@@ -255,7 +255,7 @@ def prefixes(members: DataFrame, labels: DataFrame, docs: DataFrame, percent: in
     """(h, rep, n, pos) of the first shingles, in one order of all, of the documents in buckets of several components."""
     named = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     named = settle(named, "named")
-    mixed_keys = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    mixed_keys = settle(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
     open_ids = settle(named.join(mixed_keys, "key", "left_semi").select(F.col("rep").alias("i")).distinct(), "open")
     wanted = F.broadcast(open_ids) if open_ids.count() <= BROADCAST_IDS else open_ids
     texts = docs.join(wanted, F.col("doc_id") == F.col("i"), "left_semi").select("doc_id", F.xxhash64("text").alias("mark"), "text")
@@ -302,11 +302,11 @@ def meet(own: np.ndarray, x: int, y: int, rep: np.ndarray, component: np.ndarray
 def across(tokens: DataFrame, labels: DataFrame, percent: int, star: bool) -> DataFrame:
     """Pairs of different components that meet by a shingle of their prefixes."""
     named = tokens.join(labels, F.col("rep") == F.col("node"), "left").select("h", "rep", F.coalesce("component", "rep").alias("component"), "n", "pos")
-    groups = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    groups = settle(named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("h", "size"), "groups")
     # a group of many documents is dealt into blocks, and every two blocks meet in a group of their own
     n_blocks = F.when(F.lit(star), 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit("block")), n_blocks).cast("int")
-    rows = named.join(groups.select("h", "size"), "h")
+    rows = named.join(groups, "h")
     if star:  # of a group only the least document of each component counts
         rows = rows.groupBy("h", "component").agg(F.min(F.struct("rep", "n", "pos")).alias("r"), F.first("size").alias("size")).select("h", "r.rep", "component", "r.n", "r.pos", "size")
     dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
@@ -357,8 +357,9 @@ def clusters(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percen
     reps = settle(chosen.select("cls", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig")), "classes")
     banded = reps.where(F.col("bands").isNotNull())
     spread = banded.select(F.explode("bands").alias("key"), "rep")
-    shared = spread.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = settle(spread.join(shared.select("key", "leader"), "key"), "members")
+    # written first, so that the join has an exchange on either side and a hot bucket can be split
+    shared = settle(spread.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1").select("key", "leader"), "shared")
+    members = settle(spread.join(shared, "key"), "members")
     signed = banded.select("rep", "n", "sig")
     starred = members.where("rep <> leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
     tried = settle(agreeing(starred, signed, percent), "met")

@@ -29,8 +29,9 @@ from .common import one_row, settle
 from .order import ranges
 
 SHARDS, PROBES = 16, 255
-#: Rows of a range whose running totals one task makes, and parts of the identifiers' span for numbering rows.
-RANGE_ROWS = 200_000
+#: Rows of a range of identifiers at most, whose running totals one task makes; and ranges at least, so that a group of
+#: copies is numbered in parts at every size.
+RANGE_ROWS, RANGES = 200_000, 256
 
 
 class Totals:
@@ -97,7 +98,7 @@ def assign(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shards:
         ),
         "documents",
     )
-    spans = ranges(base.withColumn("one", F.lit(1)), "doc_id", "one", RANGE_ROWS)
+    spans = ranges(base.withColumn("one", F.lit(1)), "doc_id", "one", min(RANGE_ROWS, -(-base.count() // RANGES)))
     if not len(spans):
         return base.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     # a cell is the part of a group in one range of identifiers; a group has at most as many cells as there are ranges

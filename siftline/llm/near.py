@@ -3,7 +3,8 @@
 A document's set is that of its distinct five-word shingles. Under each of PERMUTATIONS hash functions the set's
 minimum and its maximum are both kept: either equals that of another set with a probability that is the sets'
 Jaccard similarity, so one evaluation of a hash function gives two values of the signature. Signatures are cut into
-bands of ROWS values, minima and maxima apart; documents that agree in a band meet in a bucket.
+bands, minima and maxima apart; documents that agree in a band meet in a bucket. The limit decides how many values a
+band has (band_rows) and how many of two signatures must agree (least_agree).
 
 Documents with equal word sequences are one class and take part once. In a bucket nobody meets everybody:
 
@@ -11,7 +12,7 @@ Documents with equal word sequences are one class and take part once. In a bucke
    sets confirm links them, and linked documents form components;
 2. the documents of buckets that still hold more than one component go on. Their shingles are ordered by how many of
    these documents have them, rarest first. Two similar documents must share a shingle among the first few of each
-   (the smaller's first 8 %, the larger's first 15 %, as in prefix filtering), so documents meet again by these, and
+   (at 85 the smaller's first 8 %, the larger's first 15 %, as in prefix filtering), so documents meet again by these, and
    those that only share a passage that many have do not meet at all. At first each component in such a group meets
    one other only, ROUNDS times, which joins nearly all that belongs together;
 3. then all pairs of different components in a group whose sizes and places in the order allow enough in common.
@@ -40,12 +41,13 @@ from pyspark.sql.window import Window as W
 
 from .common import settle, small_batches, unused
 
-#: Words of a shingle; hash functions, each giving two values; values of a band.
-WORDS, PERMUTATIONS, ROWS = 5, 60, 5
+#: Words of a shingle; hash functions, each giving two values.
+WORDS, PERMUTATIONS = 5, 60
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Of the 120 values of two signatures so many must agree; linked pairs agree in 102 on average, with deviation 4.
-LEAST_AGREE = 82
+#: A pair at the limit is missed by all bands with at most this probability, and has so many deviations fewer values
+#: in common than expected with about the same.
+MISSED, DEVIATIONS = 1e-6, 5.1
 #: Rounds in which components meet one other each before all that may be linked meet.
 ROUNDS = 2
 #: Members of a bucket that meet in one task, and identifiers that are sent to all executors at most.
@@ -59,6 +61,18 @@ ADD = SEEDS.integers(0, 1 << 32, PERMUTATIONS, dtype=np.uint64).astype(np.uint32
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
+def band_rows(percent: int) -> int:
+    """Values of a band: the most, dividing PERMUTATIONS, that miss a pair at the limit with probability MISSED at most."""
+    missed = lambda r: (1 - (percent / 100) ** r) ** (2 * PERMUTATIONS // r)
+    return max((r for r in range(2, PERMUTATIONS + 1) if PERMUTATIONS % r == 0 and missed(r) <= MISSED), default=1)
+
+
+def least_agree(percent: int) -> int:
+    """Of the 120 values of two signatures so many must agree: at 85, 82 of 102 expected; at 80, 73 of 96."""
+    share = percent / 100
+    return max(0, int(2 * PERMUTATIONS * share - DEVIATIONS * (2 * PERMUTATIONS * share * (1 - share)) ** 0.5))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits."""
     h = h ^ (h >> np.uint64(32))
@@ -111,11 +125,11 @@ def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return least, most
 
 
-def bands(least: np.ndarray, most: np.ndarray) -> np.ndarray:
+def bands(least: np.ndarray, most: np.ndarray, n_rows: int) -> np.ndarray:
     """A 64-bit key for each band, minima first."""
-    rows = np.concatenate([least, most]).astype(np.uint64).reshape(-1, ROWS)
+    rows = np.concatenate([least, most]).astype(np.uint64).reshape(-1, n_rows)
     key = np.arange(len(rows), dtype=np.uint64)
-    for k in range(ROWS):
+    for k in range(n_rows):
         key = mixed(key * STEP + rows[:, k])
     return key.view(np.int64)
 
@@ -129,8 +143,8 @@ SKETCH = T.StructType([
 ])
 
 
-def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(identifier, text) to SKETCH. cls names the word sequence; sig has the low byte of each signature value.
+def sketch(batches: Iterable[pa.RecordBatch], n_rows: int) -> Iterator[pa.RecordBatch]:
+    """(identifier, text) to SKETCH, with bands of n_rows values. cls names the word sequence; sig has the low byte of each signature value.
 
     Sequences of fewer than five words have no bands: only equal ones share their shingle, and these are one class.
     """
@@ -149,7 +163,7 @@ def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows["cls"].append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
                 if len(words) >= WORDS:
                     least, most = signature(hashes)
-                    rows["bands"].append(bands(least, most))
+                    rows["bands"].append(bands(least, most, n_rows))
                     rows["sig"].append(np.concatenate([least, most]).astype(np.uint8).tobytes())
                 else:
                     rows["bands"].append(None)
@@ -195,10 +209,12 @@ def agreeing(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(side("a"), "a").where(F.col("n_a") > 0).join(side("b"), "b")
     both = both.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
 
+    enough = least_agree(percent)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS) for k in (2, 3))
-            near = pa.array((left == right).sum(axis=1) >= LEAST_AGREE)
+            near = pa.array((left == right).sum(axis=1) >= enough)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
 
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
@@ -351,7 +367,8 @@ def clusters(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percen
     """Per row of docs: doc_id, n_shingles, component_id and kept."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    base = settle(slim.mapInArrow(sketch, SKETCH), "sketches")
+    n_rows = band_rows(percent)
+    base = settle(slim.mapInArrow(lambda batches: sketch(batches, n_rows), SKETCH), "sketches")
     sound = base.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull())
     chosen = sound.groupBy("cls").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sig")).alias("r"))
     reps = settle(chosen.select("cls", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands"), F.col("r.sig").alias("sig")), "classes")

@@ -369,6 +369,30 @@ def test_pipeline(spark, messy, empty):
     assert out.count() == 0
 
 
+def test_bands_and_agreement_follow_the_limit():
+    assert [near.band_rows(p) for p in (85, 80)] == [5, 4] and [near.least_agree(p) for p in (85, 80)] == [82, 73]
+    for percent in (95, 85, 80, 70, 50):
+        r = near.band_rows(percent)
+        assert near.PERMUTATIONS % r == 0 and (1 - (percent / 100) ** r) ** (120 // r) <= near.MISSED
+
+
+def test_pipeline_takes_near_copies_from_080(spark):
+    import corpus_pipeline as p
+
+    rows = variants(spark).select("doc_id", "text").collect()
+    rows = [row(r.doc_id, r.text) for r in rows]
+    for k in range(12):  # pairs with a similarity from 0.75 to 0.9: 3 to 8 words of 300 are other ones
+        words = prose(k + 900, 300).split()
+        rows.append(row(1000 + 2 * k, " ".join(words)))
+        for j in range(3 + k % 6):
+            words[20 + 35 * j] = f"other{j}"
+        rows.append(row(1001 + 2 * k, " ".join(words)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r.doc_id for r in p.near_dedup(spark, docs, "").collect()}
+    truth = {percent: {g[2] for g in near_truth(docs.select("doc_id", "text").collect(), percent)} for percent in (80, 85)}
+    assert kept == truth[80] and truth[80] < truth[85]
+
+
 def test_pipeline_runs_whole(spark, sf_dir):
     import corpus_pipeline as p
 

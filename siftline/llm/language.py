@@ -1,5 +1,8 @@
 """Operator 9: language identification of mixed-language text.
 
+Words are cut into units where the script changes, and those of a script after every LONGEST letters, so that text
+written without spaces is read whole and can change its language inside; below, a word is such a unit.
+
 The script of a word narrows down the languages it can be in; each candidate scores the word by its letter
 sequences; Viterbi over the words, where a change of language costs a penalty, labels every word, so that a text
 falls into spans. A document's language is the one with the most letters, its score their share.
@@ -19,6 +22,7 @@ Repeated rows are labelled alike. Words without letters carry no evidence and ta
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +35,7 @@ from .common import grouped, small_batches, unused
 
 #: Labelled documents that the model learns from, a language; and slots of its n-grams.
 SAMPLE_DOCS, SLOTS = 2000, 1 << 16
-#: The longest n-gram, letters of a word that count, and what a change of language costs in nats.
+#: The longest n-gram, the most letters of a unit, and what a change of language costs in nats.
 GRAM, LONGEST, PENALTY = 3, 64, 6.0
 #: The least that a word can say against a language.
 FLOOR = -30.0
@@ -65,25 +69,60 @@ BETWEEN = np.array([len(SCRIPTS), *[x for _, _, name in RANGES for x in (NAMES.i
 ONE, TWO, THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
+#: The script of every code point.
+SCRIPT_OF = BETWEEN[np.searchsorted(STARTS, np.arange(0x110000), side="right")].astype(np.uint8)
+
+
 def scripts(letters: np.ndarray) -> np.ndarray:
     """The number of each letter's script in NAMES."""
-    return BETWEEN[np.searchsorted(STARTS, letters, side="right")]
+    return SCRIPT_OF[letters]
+
+
+def cut(stems: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The units of all stems one after another, and how many each has; that of an empty stem is empty."""
+    texts = stems.to_pylist()
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    letters = scripts(np.frombuffer("".join(texts).encode("utf-32-le"), "<u4"))
+    runs = np.union1d(np.nonzero(letters[1:] != letters[:-1])[0] + 1, starts[sizes > 0])
+    lengths = np.diff(np.append(runs, len(letters)))
+    more = [np.arange(a + LONGEST, a + n, LONGEST) for a, n in zip(runs[lengths > LONGEST], lengths[lengths > LONGEST], strict=True)]
+    cuts = np.sort(np.concatenate([runs, *more]))
+    first = np.searchsorted(cuts, starts)
+    count = np.searchsorted(cuts, ends) - first
+    found, done = [], 0
+    for k in np.nonzero(count > 1)[0].tolist():
+        at = cuts[first[k] : first[k] + count[k]] - starts[k]
+        found += texts[done:k]
+        found += [texts[k][a:b] for a, b in pairwise([*at.tolist(), len(texts[k])])]
+        done = k + 1
+    return (pa.array(found + texts[done:], pa.large_string()) if done else stems), np.maximum(count, 1)
 
 
 class Words:
-    """The texts of a batch as numbers of distinct words, lower-cased and stripped to their letters."""
+    """The texts of a batch as numbers of distinct units, lower-cased and stripped to their letters.
+
+    order has the units of all texts, bounds where each text's begin and end, place the word that each stands in.
+    """
 
     def __init__(self, texts: pa.ChunkedArray):
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()).combine_chunks(), ""))
         numbered = split.flatten().dictionary_encode()
         stems = pc.utf8_lower(pc.replace_substring_regex(numbered.dictionary, r"[^\p{L}]+", "")).dictionary_encode()
-        cut = pc.utf8_slice_codeunits(stems.dictionary, 0, LONGEST)
-        self.sizes = pc.utf8_length(stems.dictionary).to_numpy(zero_copy_only=False)
-        self.order = stems.indices.to_numpy(zero_copy_only=False)[numbered.indices.to_numpy(zero_copy_only=False)]
+        pieces, count = cut(stems.dictionary)
+        units = pieces.dictionary_encode()
+        self.sizes = pc.utf8_length(units.dictionary).to_numpy(zero_copy_only=False)
+        stem = stems.indices.to_numpy(zero_copy_only=False)[numbered.indices.to_numpy(zero_copy_only=False)]
+        times = count[stem]
+        ends = np.cumsum(times)
+        self.place = np.repeat(np.arange(len(stem)), times)
+        at = np.arange(len(self.place)) + ((np.cumsum(count) - count)[stem] - (ends - times))[self.place]
+        self.order = units.indices.to_numpy(zero_copy_only=False)[at]
         offsets = split.offsets.to_numpy()
-        self.bounds = offsets - offsets[0]
-        self.codes = np.frombuffer(f" {' '.join(cut.to_pylist())} ".encode("utf-32-le"), "<u4").astype(np.uint64)
-        self.count = len(cut)
+        self.bounds = np.concatenate([[0], ends])[offsets - offsets[0]]
+        self.codes = np.frombuffer(f" {' '.join(units.dictionary.to_pylist())} ".encode("utf-32-le"), "<u4").astype(np.uint64)
+        self.count = len(units.dictionary)
 
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(word, slot) of all n-grams of each length; bounds of words take part in those of two and three."""
@@ -239,10 +278,11 @@ class Labeller:
         return [path[: lengths[i], i] for i in range(texts)]
 
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
-        """(first word, end word, language) of each run of words in one language."""
-        path, _ = self.label(Words(pa.chunked_array([pa.array([(text or "").strip()], pa.large_string())])))
+        """(first word, end word, language) of each run in one language; a word that changes its language is in several."""
+        words = Words(pa.chunked_array([pa.array([(text or "").strip()], pa.large_string())]))
+        path, _ = self.label(words)
         cuts = [k for k in range(len(path)) if not k or path[k] != path[k - 1]]
-        return [(a, b, self.langs[path[a]]) for a, b in zip(cuts, [*cuts[1:], len(path)], strict=True)]
+        return [(int(words.place[a]), int(words.place[b - 1]) + 1, self.langs[path[a]]) for a, b in zip(cuts, [*cuts[1:], len(path)], strict=True)]
 
     def predict(self, texts: pa.ChunkedArray) -> tuple[list[str], list[float]]:
         """The language with the most letters on each text's path, and its share of the letters times the probability

@@ -195,3 +195,41 @@ def test_spans_of_mixed_text(spark):
     spans = lab.spans(two["en"] + " " + two["es"])
     assert [s[2] for s in spans] == ["en", "es"]
     assert abs(spans[0][1] - len(two["en"].split())) <= 3
+
+
+def unspaced(alphabet, seed, n):
+    return "".join(random.Random(seed).choices(alphabet, k=n))
+
+
+#: Letters of languages written without spaces; the last two share their script, each with letters of its own.
+ALPHABETS = {"ja": "".join(map(chr, range(0x3042, 0x3090))), "th": "".join(map(chr, range(0xE01, 0xE2E))), "zh": "".join(map(chr, range(0x4E00, 0x4E60))), "yue": "".join(map(chr, range(0x4E40, 0x4EA0)))}
+
+
+@pytest.fixture(scope="module")
+def unspaced_labeller(spark):
+    rows = [(k, unspaced(letters, k, 400), lang) for k in range(20) for lang, letters in ALPHABETS.items()]
+    rows += [(k, " ".join(unspaced("abcdefghijklm", 9 * k + j, 6) for j in range(60)), "en") for k in range(20)]
+    return language.Labeller(language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+
+
+def test_words_are_cut_into_units_that_lose_no_letter():
+    texts = ["", "1 2", "a日本語b", "x" * 200 + " y", "日本" * 100 + "のテキスト" + "ก" * 64 + "z", "plain words, no cut"]
+    words = language.Words(pa.chunked_array([pa.array(texts, pa.large_string())]))
+    units = "".join(chr(c) for c in words.codes)[1:-1].split(" ")
+    for k, text in enumerate(texts):
+        own = words.order[words.bounds[k] : words.bounds[k + 1]]
+        assert "".join(units[u] for u in own) == "".join(c for c in text.lower() if c.isalpha())
+        assert words.sizes[own].sum() == sum(map(str.isalpha, text))
+        assert all(len(units[u]) <= language.LONGEST and len(set(language.scripts(np.array([ord(c) for c in units[u]], np.int64)))) <= 1 for u in own)
+
+
+def test_language_of_unspaced_text_counts_all_letters(unspaced_labeller):
+    lab = unspaced_labeller
+    a, b = unspaced(ALPHABETS["zh"], 101, 64), unspaced(ALPHABETS["yue"], 102, 50_000)
+    thai, kana = unspaced(ALPHABETS["th"], 103, 900), unspaced(ALPHABETS["ja"], 104, 100)
+    langs, scores = lab.predict(pa.chunked_array([pa.array([a + b, "a" + thai, kana + thai, thai], pa.large_string())]))
+    assert langs == ["yue", "th", "th", "th"]
+    assert scores[2] == pytest.approx(0.9, abs=0.01)
+    assert [s[2] for s in lab.spans(a * 4 + b)] == ["zh", "yue"]
+    assert lab.spans(kana + thai) == [(0, 1, "ja"), (0, 1, "th")]
+    assert lab.spans("a " + kana)[-1][1:] == (2, "ja")

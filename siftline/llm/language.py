@@ -287,8 +287,12 @@ class Labeller:
     def predict(self, texts: pa.ChunkedArray) -> tuple[list[str], list[float]]:
         """The language with the most letters on each text's path, and its share of the letters times the probability
         that it has against the other languages over the whole text."""
+        return self.told(texts)[:2]
+
+    def told(self, texts: pa.ChunkedArray) -> tuple[list[str], list[float], list[float]]:
+        """predict(), and the share of each text's letters that are in a script of some learned language."""
         if not self.langs:
-            return ["und"] * len(texts), [0.0] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         words = Words(texts)
         path, sums = self.label(words)
         of_word = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
@@ -298,22 +302,27 @@ class Labeller:
         best = letters.argmax(axis=1)
         sure = np.exp(sums - sums.max(axis=1, keepdims=True))
         score = np.where(whole > 0, letters.max(axis=1) / np.maximum(whole, 1) * (sure.max(axis=1) / sure.sum(axis=1)), 0.0)
-        return [self.langs[k] if n else "und" for k, n in zip(best, whole, strict=True)], score.tolist()
+        known = np.where(self.scripts.any(axis=1)[words.first_scripts()], words.sizes, 0)
+        evidence = np.bincount(of_word, weights=known[words.order], minlength=len(texts)) / np.maximum(whole, 1)
+        return [self.langs[k] if n else "und" for k, n in zip(best, whole, strict=True)], score.tolist(), evidence.tolist()
 
 
-def predict(docs: DataFrame, model: dict, *, text: str = "text", lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the language of each text and its share of the letters; columns of these names are replaced."""
+def predict(docs: DataFrame, model: dict, *, text: str = "text", lang_pred: str = "lang_pred", score: str = "score", evidence: str | None = None) -> DataFrame:
+    """docs with the language of each text and its share of the letters, and on request the share of the letters that
+    some learned language can have; columns of these names are replaced."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)  # bounded by SLOTS a language
-    keep = [f for f in docs.schema if f.name not in (lang_pred, score)]
-    schema = T.StructType([*keep, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())])
+    keep = [f for f in docs.schema if f.name not in (lang_pred, score, evidence)]
+    more = [T.StructField(evidence, T.DoubleType())] if evidence else []
+    schema = T.StructType([*keep, T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType()), *more])
     columns = [f.name for f in keep]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lab = Labeller(sent.value)
         for table in grouped(batches, TOGETHER):
-            langs, scores = lab.predict(table.column(text))
+            langs, scores, shares = lab.told(table.column(text))
             found = table.select(columns).append_column(lang_pred, pa.array(langs, pa.string())).append_column(score, pa.array(scores, pa.float64()))
+            found = found.append_column(evidence, pa.array(shares, pa.float64())) if evidence else found
             yield from found.to_batches()
 
     small_batches(spark)
@@ -328,18 +337,18 @@ def held_out_predictions(docs: DataFrame) -> DataFrame:
     return predict(slim, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-#: Documents whose score is below are rejected.
-LEAST_SCORE = 0.2
+#: Documents whose score is below are rejected, and those of whose letters a smaller share is in scripts of learned languages.
+LEAST_SCORE, LEAST_EVIDENCE = 0.2, 0.1
 
 
-def accepted(docs: DataFrame, *, text: str = "text", lang: str = "lang", least_score: float = LEAST_SCORE) -> DataFrame:
+def accepted(docs: DataFrame, *, text: str = "text", lang: str = "lang", least_score: float = LEAST_SCORE, least_evidence: float = LEAST_EVIDENCE) -> DataFrame:
     """The rows of docs whose language can be told, all columns kept; the model learns from docs' own labels.
 
-    Without any label no language can be told, and all documents with a letter are accepted.
+    A text in scripts of no learned language has no evidence, however few languages share the score out. Without any label no language can be told, and all documents with a letter are accepted.
     """
     model = fit(docs, text=text, lang=lang)
     if not model["langs"]:
         return docs.where(F.col(text).rlike(r"\p{L}"))
-    pred, score = unused(docs, "lang_pred", "score")
-    found = predict(docs, model, text=text, lang_pred=pred, score=score)
-    return found.where((F.col(pred) != "und") & (F.col(score) >= least_score)).select(*docs.columns)
+    pred, score, evidence = unused(docs, "lang_pred", "score", "evidence")
+    found = predict(docs, model, text=text, lang_pred=pred, score=score, evidence=evidence)
+    return found.where((F.col(pred) != "und") & (F.col(score) >= least_score) & (F.col(evidence) >= least_evidence)).select(*docs.columns)

@@ -233,3 +233,14 @@ def test_language_of_unspaced_text_counts_all_letters(unspaced_labeller):
     assert [s[2] for s in lab.spans(a * 4 + b)] == ["zh", "yue"]
     assert lab.spans(kana + thai) == [(0, 1, "ja"), (0, 1, "th")]
     assert lab.spans("a " + kana)[-1][1:] == (2, "ja")
+
+
+@pytest.mark.parametrize("langs", [2, 4, 8])
+def test_texts_in_unlearned_scripts_are_rejected(spark, langs):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null and lang is not null").select("doc_id", "text", "lang")
+    names = sorted(r.lang for r in docs.select("lang").distinct().collect())
+    few = docs.where(docs.lang.isin(names[:2])) if langs == 2 else docs
+    few = few.collect() + [(10_000 + 10 * k + j, unspaced(chr(97 + k) * 3 + "xyz ", j, 400), f"more{k}") for k in range(langs - 4) for j in range(10)]
+    strange = [(-1, "ภาษาไทยเป็นภาษาราชการ " * 20, None), (-2, "यह हिन्दी में लिखा है " * 20, None), (-3, "η ελληνική γλώσσα " * 20 + "ok", None)]
+    kept = {r.doc_id for r in language.accepted(spark.createDataFrame([*few, *strange], "doc_id long, text string, lang string")).collect()}
+    assert kept == {r[0] for r in few if re.search("[A-Za-z]", r[1])}

@@ -4,7 +4,8 @@ Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. T
 possessive repetition and a look-behind added, which change no match but keep the time in proportion to the text.
 
 Replacing the spans is not enough where the words around them tell what stood there. A protected entity is the value
-of a base span; its terms are the words within REACH characters of it. Over the whole corpus the operator counts the
+of a base span; its terms are the words within REACH characters of it, whatever stands between, but for those that
+are part of a base span themselves. Over the whole corpus the operator counts the
 documents with an entity, with a term, and with the term near the entity, and takes from the counts what the term
 tells of the entity: pointwise mutual information log2(n_te * n / (n_t * n_e)), against the entity's own information
 log2(n / n_e). A term whose share is DISCLOSURE or more, seen near the entity in at least SUPPORT documents, discloses
@@ -35,18 +36,18 @@ TERM = r"\p{L}[\p{L}\p{M}'-]{3,}+"
 REACH, SUPPORT, DISCLOSURE = 80, 3, 0.75
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
-LOCATED = "array<struct<start:bigint,end:bigint,text:string,left:string,right:string>>"
+LOCATED = "array<struct<start:bigint,end:bigint,text:string>>"
 
 
-def located(text: Column, matches: Column, gaps: Column) -> Column:
-    """Start, end, text and surroundings of matches, from the texts between them."""
-    zipped = F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g"), F.slice(gaps, 2, F.size(matches)).alias("h"))
+def located(matches: Column, gaps: Column) -> Column:
+    """Start, end and text of matches, from the texts between them."""
+    zipped = F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g"))
     first = F.struct(F.lit(0).cast("long").alias("pos"), F.expr(f"cast(array() as {LOCATED})").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["pos"] + F.length(x["g"])
         end = start + F.length(x["m"])
-        found = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"), F.right(x["g"], F.lit(REACH)).alias("left"), F.left(x["h"], F.lit(REACH)).alias("right"))
+        found = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"))
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(found)).alias("out"))
 
     return F.when(F.size(matches) > 0, F.aggregate(zipped, first, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as {LOCATED})"))
@@ -85,7 +86,10 @@ def entity(kind: str, text: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, mark (a hash of the text) and spans: kind, rank of the kind, start, end, entity and surroundings."""
+    """key, mark (a hash of the text) and spans: kind, rank of the kind, start, end, entity, and the text around from `at`.
+
+    That text has twice the reach on either side, so that a word that the reach cuts in two is seen whole.
+    """
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
     nothing = F.expr("cast(array() as array<string>)")
     for kind in KINDS:
@@ -93,31 +97,30 @@ def base_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
         rows = rows.withColumn(f"m_{kind}", F.when(need, F.regexp_extract_all("t", F.lit(PATTERNS[kind]), F.lit(0))).otherwise(nothing))
     for kind in KINDS:
         rows = rows.withColumn(f"g_{kind}", F.when(F.size(f"m_{kind}") > 0, F.split("t", PATTERNS[kind], -1)).otherwise(nothing))
-    rows = rows.select(key, F.xxhash64("t").alias("mark"), *[located(F.col("t"), F.col(f"m_{k}"), F.col(f"g_{k}")).alias(f"l_{k}") for k in KINDS])
+    rows = rows.select(key, "t", F.xxhash64("t").alias("mark"), *[located(F.col(f"m_{k}"), F.col(f"g_{k}")).alias(f"l_{k}") for k in KINDS])
 
     def described(kind: str) -> Column:
         rank = KINDS.index(kind)
         good = F.filter(F.col(f"l_{kind}"), lambda x: sound(kind, x["text"]))
-        return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), entity(kind, x["text"]).alias("entity"), x["left"].alias("left"), x["right"].alias("right")))
+        at = lambda x: F.greatest(x["start"] - 2 * REACH, F.lit(0).cast("long"))
+        around = lambda x: F.substr(F.col("t"), (at(x) + 1).cast("int"), (x["end"] + 2 * REACH - at(x)).cast("int"))
+        return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), entity(kind, x["text"]).alias("entity"), at(x).alias("at"), around(x).alias("around")))
 
     return rows.select(key, "mark", F.array_sort(F.concat(*[described(k) for k in KINDS])).alias("spans"))
 
 
 def near_terms(spans: DataFrame, key: str) -> DataFrame:
     """key, mark, entity, term, start and end of every whole word near a span."""
-    one = spans.select(key, "mark", F.explode("spans").alias("s"))
-    sides = one.select(
-        key, "mark", F.col("s.entity").alias("entity"),
-        F.explode(F.array(
-            F.struct((F.col("s.start") - F.length("s.left")).alias("at"), F.col("s.left").alias("c"), F.lit(True).alias("before")),
-            F.struct(F.col("s.end").alias("at"), F.col("s.right").alias("c"), F.lit(False).alias("before")),
-        )).alias("x"),
-    ).select(key, "mark", "entity", "x.at", "x.c", "x.before")
-    found = sides.withColumn("m", F.regexp_extract_all("c", F.lit(TERM), F.lit(0))).withColumn("g", F.split("c", TERM, -1))
-    words = found.select(key, "mark", "entity", "at", "c", "before", F.explode(located(F.col("c"), F.col("m"), F.col("g"))).alias("w"))
-    # a word that the reach cuts in two is none
-    cut = (F.length("c") == REACH) & F.when(F.col("before"), F.col("w.start") == 0).otherwise(F.col("w.end") == REACH)
-    return words.where(~cut).select(key, "mark", "entity", F.lower("w.text").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end")).distinct()
+    meeting = lambda s: F.filter("spans", lambda o: (o["start"] < s["end"] + REACH) & (o["end"] > s["start"] - REACH))
+    places = lambda s: F.transform(meeting(s), lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end")))
+    one = spans.select(key, "mark", F.explode(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"), s["at"].alias("at"), s["around"].alias("c"), places(s).alias("others")))).alias("s"))
+    found = one.select(key, "mark", "s.*").withColumn("m", F.regexp_extract_all("c", F.lit(TERM), F.lit(0))).withColumn("g", F.split("c", TERM, -1))
+    words = found.select(key, "mark", "entity", F.col("start").alias("s"), F.col("end").alias("e"), "at", "others", F.explode(located(F.col("m"), F.col("g"))).alias("w"))
+    words = words.select(key, "mark", "entity", "s", "e", "others", F.lower("w.text").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
+    before = (F.col("end") <= F.col("s")) & (F.col("start") >= F.col("s") - REACH)
+    after = (F.col("start") >= F.col("e")) & (F.col("end") <= F.col("e") + REACH)
+    in_span = F.exists("others", lambda o: (o["start"] < F.col("end")) & (o["end"] > F.col("start")))
+    return words.where((before | after) & ~in_span).select(key, "mark", "entity", "term", "start", "end").distinct()
 
 
 def disclosing(docs: DataFrame, spans: DataFrame, near: DataFrame, key: str, text: str, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:

@@ -216,6 +216,30 @@ def test_private_terms_by_information(spark, empty):
     assert private.report(empty).count() == 0 and private.sanitise(empty).count() == 0
 
 
+def words_near(text):
+    """(entity's kind, term, start, end) of every whole word within reach of a base span and in none, by brute force."""
+    spans = base_spans(text)
+    words = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_](?:[^\W\d_]|['-]){3,}", text or "")]
+    clear = [w for w in words if not any(a < w[1] and b > w[0] for a, _, b, _ in spans)]
+    return {(kind, t, a, b) for s, _, e, kind in spans for a, b, t in clear if (b <= s and a >= s - private.REACH) or (a >= e and b <= e + private.REACH)}
+
+
+def test_private_terms_are_all_words_within_reach(spark, sf_dir):
+    card = "4111 1111 1111 1111"
+    texts = [
+        f"Quillfeather, order 42, card {card}", f"{card} in 1999 and 2001 for Quillfeather, no. 12-34", "Quillfeather a@b.org c@d.org 300.1.1.1 10.0.0.1 +12 Quillfeather",
+        f"{'x' * 50} edge{' ' * 76}{card}{' ' * 76}edge", f"{'x' * 50} edge{' ' * 77}{card}{' ' * 77}edge", f"{'long' * 30} {card} {'long' * 30}", f"o'Neill{' ' * 75}{card} it's-so",
+    ]
+    docs = spark.createDataFrame([row(k, t) for k, t in enumerate(texts)], SCHEMA)
+    for rows in (docs, table(spark, sf_dir, "documents").where("doc_id < 60")):
+        held = private.base_spans(rows, "doc_id", "text").where("size(spans) > 0").dropDuplicates(["doc_id", "mark"]).persist()
+        got = {(r.doc_id, r.entity.split(":")[0], r.term, r.start, r.end) for r in private.near_terms(held, "doc_id").collect()}
+        assert got == {(r.doc_id, *w) for r in rows.select("doc_id", "text").collect() for w in words_near(r.text)}
+    many = spark.createDataFrame([row(k, f"{texts[0]} {prose(k, 60)}") for k in range(6)] + [row(100 + k, prose(k + 500, 60)) for k in range(60)], SCHEMA)
+    clean = {r.doc_id: r.text for r in private.sanitise(many).collect()}
+    assert all(clean[k].startswith("[TERM], ") for k in range(6)) and not any("Quillfeather" in t for t in clean.values())
+
+
 def test_private_main_path_is_native(spark, sf_dir):
     plan = private.base_spans(table(spark, sf_dir, "documents"), "doc_id", "text")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

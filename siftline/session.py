@@ -27,9 +27,11 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
 
 def shared_root(spark) -> str:
     """This application's folder under spark.checkpoint.dir, which driver and executors share; set here only where it
-    is unset, as in tests."""
+    is unset and the master is local, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "/tmp/checkpoints/siftline"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/siftline-{spark.sparkContext.applicationId}"

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, fresh_dir, grouped, settle, small_batches
-from .files import Commit, store
+from .files import Commit, cleaning, store
 from .order import ranges
 
 MAGIC = b"SIFTPFR1"
@@ -270,7 +270,7 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, *, key: str = "doc_
     rows = docs.select(parts.of(F.col(key)).alias("shard"), F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     ordered = rows.repartitionById(len(parts), F.col("shard")).sortWithinPartitions("shard", F.col("k").asc_nulls_first(), F.xxhash64("t"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch], opened: list[Commit]) -> Iterator[pa.RecordBatch]:
         words, writer, current, path = tokens(tokenizer_file), None, None, ""
         end = np.array([end_id], "<u4").tobytes()
 
@@ -286,12 +286,13 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, *, key: str = "doc_
                         yield done()
                     current, path = shard, f"{folder}/ids-{shard:06d}.pfr"
                     writer = FileWriter(path)
+                    opened[:] = [writer.file]
                 writer.add(k, ids[a:b].tobytes() + end)
         if writer:
             yield done()
 
     schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64())])
-    manifest = ordered.mapInArrow(run, "shard int, path string, n_docs long, n_tokens long, bytes long")
+    manifest = ordered.mapInArrow(cleaning(run), "shard int, path string, n_docs long, n_tokens long, bytes long")
     manifest.write.parquet(f"{folder}/manifest")
     return [r.asDict() for r in spark.read.parquet(f"{folder}/manifest").orderBy("shard").collect()]
 

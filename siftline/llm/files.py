@@ -4,6 +4,7 @@ repeated task leaves the same files as one that ran once."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 
 def store(path: str):
@@ -22,7 +23,7 @@ class Commit:
         self.fs.create_dir(folder, recursive=True)
         self.temp = f"{folder}/.{uuid.uuid4().hex}.tmp"
         self.out = self.fs.open_output_stream(self.temp, compression=None)
-        self.size = 0
+        self.size, self.open = 0, True
 
     def write(self, data: bytes) -> None:
         self.out.write(data)
@@ -31,8 +32,26 @@ class Commit:
     def commit(self) -> int:
         self.out.close()
         self.fs.move(self.temp, self.path)
+        self.open = False
         return self.size
 
     def abort(self) -> None:
-        self.out.close()
-        self.fs.delete_file(self.temp)
+        """Removes the temporary file, if there is one."""
+        if self.open:
+            self.open = False
+            self.out.close()
+            self.fs.delete_file(self.temp)
+
+
+def cleaning(write: Callable[[Iterable, list[Commit]], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A task of write(batches, opened), whose temporary files go when it fails or is stopped."""
+
+    def run(batches: Iterable) -> Iterator:
+        opened: list[Commit] = []
+        try:
+            yield from write(batches, opened)
+        finally:
+            for file in opened:
+                file.abort()
+
+    return run

@@ -33,8 +33,9 @@ from pyspark.sql import types as T
 
 from .common import grouped, small_batches, unused
 
-#: Labelled documents that the model learns from, a language; and slots of its n-grams.
-SAMPLE_DOCS, SLOTS = 2000, 1 << 16
+#: Labelled documents that the model learns from, a language; slots of its n-grams; and the languages it learns, those
+#: with the most documents.
+SAMPLE_DOCS, SLOTS, MOST_LANGS = 2000, 1 << 16, 500
 #: The longest n-gram, the most letters of a unit, and what a change of language costs in nats.
 GRAM, LONGEST, PENALTY = 3, 64, 6.0
 #: The least that a word can say against a language.
@@ -147,10 +148,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict:
-    """A model from the rows of labelled with text and a language."""
+def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, most_langs: int = MOST_LANGS) -> dict:
+    """A model from the rows of labelled with text and a language, of at most most_langs languages."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[lang]: r["count"] for r in rows.groupBy(lang).count().collect()}
+    frequent = rows.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(most_langs)
+    sizes = {r[0]: r[1] for r in frequent.collect()}
     langs = sorted(sizes)
     if not langs:
         return {"langs": []}

@@ -9,8 +9,9 @@ duel. A source's words so stay exactly on target until a single undecided docume
 
 Documents first duel inside buckets of about BUCKET documents; the undecided document of each bucket goes on, and
 FAN buckets at a time are combined in a tree, level by level, until one document a source is undecided, which is
-rounded: a source misses its target by at most half of that document. A source of a third of all rows is so many buckets. All draws are hashes of the identifiers and
-the seed, and every order is fixed by them, so a rerun takes the same words.
+rounded: a source misses its target by at most half of that document. A source of a third of all rows is so many
+buckets. Every order is fixed by hashes of the identifiers and the seed, and a bucket's duels draw from a generator
+that its members seed, a fresh number each, so a rerun takes the same words.
 
 Defined cases: null text has size 0 and takes part with 0 words; null is a source of its own, the last in order.
 Rows that share identifier, source and size are decided as one unit, so that each of them gets the same copies;
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +104,7 @@ def duel(units: pd.DataFrame, last: bool) -> pd.DataFrame:
     draws = units["draw"].tolist()
     tiny = 1e-12
     held = -1
+    fresh = np.random.default_rng([int(draws[0] * (1 << 52)), len(p), int(sum(p) * (1 << 32))]) if p else None
     for k in range(len(p)):
         if p[k] <= tiny or p[k] >= 1 - tiny:
             p[k] = float(round(p[k]))
@@ -115,8 +118,7 @@ def duel(units: pd.DataFrame, last: bool) -> pd.DataFrame:
         a, b, wa, wb = p[held], p[k], mass[held], mass[k]
         up = min((1 - a) * wa, b * wb)  # words that can move to the held document
         down = min(a * wa, (1 - b) * wb)  # and from it
-        draw = (draws[held] * 7919.0 + draws[k] * 104729.0) % 1.0
-        move = up if draw * (up + down) < down else -down
+        move = up if fresh.random() * (up + down) < down else -down
         p[held], p[k] = a + move / wa, b - move / wb
         open_held, open_k = tiny < p[held] < 1 - tiny, tiny < p[k] < 1 - tiny
         for at, is_open in ((held, open_held), (k, open_k)):

@@ -33,7 +33,6 @@ class Text:
 
     def __init__(self, text: str | None):
         self.text = text or ""
-        self.made: dict[str, object] = {}
 
     def __getattr__(self, name: str):
         make = PARTS.get(name)
@@ -86,31 +85,51 @@ RULES: dict[str, Rule] = {
 BASE = ("too_few_words", "repetitive")
 
 
-def estimate(docs: DataFrame, rules: dict[str, Rule] = RULES, *, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, seconds a text, share rejected) on a sample of rows by hash, most rejections per second first."""
-    names = list(rules)
+def estimate(docs: DataFrame, rules: dict[str, Rule] = RULES, *, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, made: Iterable[str] = ()) -> list[tuple[str, float, float]]:
+    """(rule, seconds a text, share rejected) on a sample of rows by hash, most rejections per second first.
+
+    Rules share parts of a text. A part's cost counts for the first rule in the order that needs it, and for none if
+    it is among those made in any case.
+    """
+    names, parts = list(rules), list(PARTS)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spent, rejected, rows = Counter(), Counter(), 0
+            spent, rejected, needed = Counter(), Counter(), set()
             for value in batch.column(0).to_pylist():
-                rows += 1
+                whole = Text(value)
+                for part in parts:  # in this order each finds what it needs ready
+                    began = time.perf_counter()
+                    getattr(whole, part)
+                    spent[part] += time.perf_counter() - began
                 for name in names:
                     began = time.perf_counter()
-                    rejected[name] += bool(rules[name](Text(value)))
+                    rejected[name] += bool(rules[name](whole))
                     spent[name] += time.perf_counter() - began
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names), pa.array([spent[n] for n in names]), pa.array([rejected[n] for n in names], pa.int64()), pa.array([rows] * len(names), pa.int64())],
-                ["rule", "spent", "rejected", "rows"],
-            )
+                    rules[name](fresh := Text(value))
+                    needed |= {(name, part) for part in parts if part in fresh.__dict__}
+            rows = [("", "", 0.0, 0, batch.num_rows), *[(n, "", spent[n], rejected[n], 0) for n in [*names, *parts]], *[(n, p, 0.0, 0, 0) for n, p in needed]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.int64(), pa.int64()))], ["rule", "part", "spent", "rejected", "rows"])
 
+    small_batches(docs.sparkSession)
     n = docs.count()
     share = max(1, n // sample_rows)
     sample = docs.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(share)) == 0).select(text).limit(2 * sample_rows)
-    figures = sample.mapInArrow(run, "rule string, spent double, rejected long, rows long")
-    totals = {r["rule"]: r for r in figures.groupBy("rule").agg(F.sum("spent").alias("spent"), F.sum("rejected").alias("rejected"), F.sum("rows").alias("rows")).collect()}
-    found = [(name, r["spent"] / r["rows"], r["rejected"] / r["rows"]) for name in names if (r := totals.get(name)) and r["rows"]]
-    return sorted(found, key=lambda x: -x[2] / max(x[1], 1e-9)) or [(name, 0.0, 0.0) for name in names]
+    figures = sample.mapInArrow(run, "rule string, part string, spent double, rejected long, rows long")
+    totals = {(r["rule"], r["part"]): r for r in figures.groupBy("rule", "part").agg(F.sum("spent").alias("spent"), F.sum("rejected").alias("rejected"), F.sum("rows").alias("rows")).collect()}
+    rows = totals["", ""]["rows"] if totals else 0
+    if not rows:
+        return [(name, 0.0, 0.0) for name in names]
+    ready, left, found = set(made), list(names), []
+    needs = {name: {part for part in parts if (name, part) in totals} for name in names}
+    cost = lambda name: (totals[name, ""]["spent"] + sum(totals[part, ""]["spent"] for part in needs[name] - ready)) / rows
+    while left:
+        share_of = {name: totals[name, ""]["rejected"] / rows for name in left}
+        best = max(left, key=lambda name: share_of[name] / max(cost(name), 1e-9))
+        found.append((best, cost(best), share_of[best]))
+        ready |= needs[best]
+        left.remove(best)
+    return found
 
 
 def first_failure(text: Text, order: list[str], rules: dict[str, Rule] = RULES) -> str | None:
@@ -123,9 +142,9 @@ def cascade(docs: DataFrame, rules: dict[str, Rule] = RULES, *, key: str = "doc_
 
     base=False leaves the base figures out, so that a text costs no more than the rules tried on it.
     """
-    order = [name for name, _, _ in estimate(docs, rules, key=key, text=text)]
     figures = ["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"] if base else []
     longs = ["n_words", *figures]
+    order = [name for name, _, _ in estimate(docs, rules, key=key, text=text, made=PARTS if base else ("words", "n_words"))]
     schema = T.StructType(
         [docs.schema[key]]
         + [T.StructField(n, T.LongType()) for n in longs]

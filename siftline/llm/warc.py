@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import exact
 from .common import fresh_dir, settle, small_batches
-from .files import Commit, store
+from .files import Commit, cleaning, store
 from .order import ranges
 
 LEAST_BYTES = 1000
@@ -96,7 +96,7 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
     rows = told.unionByName(sent).withColumn("shard", parts.of(F.col("k")))
     ordered = rows.repartitionById(len(parts), F.col("shard")).sortWithinPartitions("shard", F.col("k").asc_nulls_first(), "kind", "url", F.xxhash64("html"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch], opened: list[Commit]) -> Iterator[pa.RecordBatch]:
         out, shard, n, known, about = None, None, 0, {}, object()
 
         def close() -> pa.RecordBatch:
@@ -121,6 +121,7 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
                 if out is None:
                     path = f"{folder}/pages-{shard:06d}-{n:04d}.warc.gz"
                     out, n, current = Commit(path), n + 1, (path, 0)
+                    opened[:] = [out]
                     out.write(record("warcinfo", {"WARC-Record-ID": record_id(None, path.rpartition("/")[2]), "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
                 payload = (columns["html"][i].as_py() or "").encode()
                 refers = known.get(hashlib.sha1(payload).digest(), about) if known else about
@@ -130,7 +131,7 @@ def write(pages: DataFrame, folder: str, *, key: str = "page_id", url: str = "ur
             yield close()
 
     schema = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
-    manifest = ordered.select("shard", "k", "kind", "digest", "refers_to", "url", "html").mapInArrow(run, "shard int, path string, records long, bytes long")
+    manifest = ordered.select("shard", "k", "kind", "digest", "refers_to", "url", "html").mapInArrow(cleaning(run), "shard int, path string, records long, bytes long")
     manifest.write.parquet(f"{folder}/manifest")
     return [r["path"] for r in spark.read.parquet(f"{folder}/manifest").orderBy("path").collect()]
 

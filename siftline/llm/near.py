@@ -8,14 +8,17 @@ band has (band_rows) and how many of two signatures must agree (least_agree).
 
 Documents with equal word sequences are one class and take part once. In a bucket nobody meets everybody:
 
-1. every document meets one other, the smallest of the leaders (smallest identifiers) of its buckets; what the full
-   sets confirm links them, and linked documents form components;
+1. every document meets one other: of the leaders (smallest identifiers) of its buckets the one with which it shares
+   the most; what the full sets confirm links them, and linked documents form components;
 2. the documents of buckets that still hold more than one component go on. Their shingles are ordered by how many of
    these documents have them, rarest first. Two similar documents must share a shingle among the first few of each
    (at 85 the smaller's first 8 %, the larger's first 15 %, as in prefix filtering), so documents meet again by these, and
-   those that only share a passage that many have do not meet at all. At first each component in such a group meets
-   one other only, ROUNDS times, which joins nearly all that belongs together;
-3. then all pairs of different components in a group whose sizes and places in the order allow enough in common.
+   those that only share a passage that many have do not meet at all. In each of ROUNDS rounds all members of such a
+   group that are not in the leader's component meet the leader. The first leader is the member with the fewest
+   shingles of its own, as an original has among its copies; later ones are drawn, and so come from large components
+   mostly. That joins nearly all that belongs together, with at most one pair a row of a prefix and round;
+3. then all pairs of different components in a group whose sizes and places in the order allow enough in common, and
+   whose signatures agree enough; both are tested where the rows are, and only pairs that pass leave the task.
 
 Nothing is capped, and steps 2 and 3 lose no pair of the buckets. Candidate pairs are confirmed on the full sets of
 shingles themselves, not of hashes. Components come from alternating large-star and small-star rounds over a
@@ -39,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from .common import settle, small_batches, unused
+from .common import kept, settle, small_batches, unused
 
 #: Words of a shingle; hash functions, each giving two values.
 WORDS, PERMUTATIONS = 5, 60
@@ -48,7 +51,7 @@ PERCENT = 85
 #: A pair at the limit is missed by all bands with at most this probability, and has so many deviations fewer values
 #: in common than expected with about the same.
 MISSED, DEVIATIONS = 1e-6, 5.1
-#: Rounds in which components meet one other each before all that may be linked meet.
+#: Rounds in which groups meet their leaders before all that may still be linked meet.
 ROUNDS = 2
 #: Members of a bucket that meet in one task, and identifiers that are sent to all executors at most.
 BLOCK, BROADCAST_IDS = 1000, 500_000
@@ -148,6 +151,7 @@ def sketch(batches: Iterable[pa.RecordBatch], n_rows: int) -> Iterator[pa.Record
 
     Sequences of fewer than five words have no bands: only equal ones share their shingle, and these are one class.
     """
+    kept()
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
         rows: dict[str, list] = {n: [] for n in SKETCH.names[1:]}
@@ -268,7 +272,10 @@ def shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefixes(members: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(h, rep, n, pos) of the first shingles, in one order of all, of the documents in buckets of several components."""
+    """(h, rep, n, pos, own) of the first shingles, in one order of all, of the documents in buckets of several components.
+
+    Shingles that only one document has are left out, since nobody meets there; own is the share of those.
+    """
     named = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     named = settle(named, "named")
     mixed_keys = settle(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
@@ -277,78 +284,93 @@ def prefixes(members: DataFrame, labels: DataFrame, docs: DataFrame, percent: in
     texts = docs.join(wanted, F.col("doc_id") == F.col("i"), "left_semi").select("doc_id", F.xxhash64("text").alias("mark"), "text")
     rows = settle(texts.mapInArrow(shingle_rows, PREFIX), "shingles")
     ranked = rows.join(rows.groupBy("h").agg(F.count("*").alias("df")), "h")
-    pos = F.row_number().over(W.partitionBy("rep", "mark").orderBy("df", "h"))
+    of_text = W.partitionBy("rep", "mark")
+    ranked = ranked.withColumn("pos", F.row_number().over(of_text.orderBy("df", "h")).cast("long")).withColumn("own", F.count_if(F.col("df") == 1).over(of_text) / F.col("n"))
     least = F.ceil(F.col("n") * percent / 100)
-    return settle(ranked.withColumn("pos", pos.cast("long")).where(F.col("pos") <= F.col("n") - least + 1).select("h", "rep", "n", "pos").distinct(), "prefixes")
+    return settle(ranked.where((F.col("pos") <= F.col("n") - least + 1) & (F.col("df") > 1)).select("h", "rep", "n", "pos", "own").distinct(), "prefixes")
 
 
-def may_link(n_a, pos_a, n_b, pos_b, percent: int) -> np.ndarray:
-    """Can sets of these sizes be similar enough if the first element they share stands at these places? Vectorised.
+def may_link(n_a, pos_a, n_b, pos_b, percent: int, least=np.minimum, choose=np.where):
+    """Can sets of these sizes be similar enough if the first element they share stands at these places?
 
     They need percent / (100 + percent) of both sizes in common; the smaller must have the element among its first
-    ones, as many as it would still have enough with an equal partner.
+    ones, as many as it would still have enough with an equal partner. For arrays, or for columns with their `least`
+    and `choose`.
     """
     swap = n_b < n_a
-    n_s, pos_s, n_l, pos_l = np.where(swap, n_b, n_a), np.where(swap, pos_b, pos_a), np.where(swap, n_a, n_b), np.where(swap, pos_a, pos_b)
-    common = 1 + np.minimum(n_s - pos_s, n_l - pos_l)
+    n_s, pos_s, n_l, pos_l = choose(swap, n_b, n_a), choose(swap, pos_b, pos_a), choose(swap, n_a, n_b), choose(swap, pos_a, pos_b)
+    common = 1 + least(n_s - pos_s, n_l - pos_l)
     indexed = (100 + percent) * (n_s - pos_s + 1) >= 2 * percent * n_s
     return indexed & (100 * n_s >= percent * n_l) & ((100 + percent) * common >= percent * (n_s + n_l))
 
 
-def meet(own: np.ndarray, x: int, y: int, rep: np.ndarray, component: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, star: bool) -> np.ndarray:
-    """Pairs (a, b) of two blocks of a group, or of one block if x is y, that may be similar enough.
+def with_components(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+    return tokens.join(labels, F.col("rep") == F.col("node"), "left").select("h", "rep", F.coalesce("component", "rep").alias("component"), "n", "pos", "own")
+
+
+def stars(tokens: DataFrame, labels: DataFrame, percent: int, number: int) -> DataFrame:
+    """Pairs (a, b) of the leader of each group of a shingle and its members in other components.
 
-    star: each component's least document meets the group's least one only.
+    The leader is an aggregate that rows are joined to, so that no group has to be in one task. In round 0 it is the
+    member with the smallest share of shingles of its own, later any, by a hash.
     """
+    named = settle(with_components(tokens, labels), "named")
+    rank = F.col("own") if number == 0 else F.xxhash64("rep", F.lit(f"round {number}"))
+    found = named.groupBy("h").agg(F.min(F.struct(rank.alias("rank"), F.col("rep").alias("leader"), F.col("component").alias("c_l"), F.col("n").alias("n_l"), F.col("pos").alias("pos_l"))).alias("l"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    leaders = settle(found.where("lo <> hi").select("h", "l.leader", "l.c_l", "l.n_l", "l.pos_l"), "leaders")
+    near = may_link(F.col("n"), F.col("pos"), F.col("n_l"), F.col("pos_l"), percent, F.least, lambda c, a, b: F.when(c, a).otherwise(b))
+    met = named.join(leaders, "h").where((F.col("component") != F.col("c_l")) & near)
+    return met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+
+
+def meet(own: np.ndarray, x: int, y: int, rep: np.ndarray, component: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs (a, b) of two blocks of a group, or of one block if x is y, that may be similar enough."""
     left, right = np.nonzero(own == x)[0], np.nonzero(own == y)[0]
-    if star:
-        order = np.argsort(rep, kind="stable")
-        first = order[np.unique(component[order], return_index=True)[1]]
-        left, right = order[:1], first
+    enough = least_agree(percent)
     found = []
     for k in left:
-        other = right if star or x != y else right[right > k]
+        other = right if x != y else right[right > k]
         other = other[component[other] != component[k]]
+        other = other[may_link(n[k], pos[k], n[other], pos[other], percent)]
+        other = other[(sig[other] == sig[k]).sum(axis=1) >= enough] if len(other) else other
         if len(other):
-            other = other[may_link(n[k], pos[k], n[other], pos[other], percent)]
             found.append(np.stack([np.minimum(rep[other], rep[k]), np.maximum(rep[other], rep[k])], axis=1))
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def across(tokens: DataFrame, labels: DataFrame, percent: int, star: bool) -> DataFrame:
-    """Pairs of different components that meet by a shingle of their prefixes."""
-    named = tokens.join(labels, F.col("rep") == F.col("node"), "left").select("h", "rep", F.coalesce("component", "rep").alias("component"), "n", "pos")
+def rest(tokens: DataFrame, labels: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that meet by a shingle of their prefixes and may be similar enough."""
+    named = settle(with_components(tokens, labels), "named")
     groups = settle(named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("h", "size"), "groups")
     # a group of many documents is dealt into blocks, and every two blocks meet in a group of their own
-    n_blocks = F.when(F.lit(star), 1).otherwise(F.ceil(F.col("size") / BLOCK)).cast("int")
+    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep", F.lit("block")), n_blocks).cast("int")
-    rows = named.join(groups, "h")
-    if star:  # of a group only the least document of each component counts
-        rows = rows.groupBy("h", "component").agg(F.min(F.struct("rep", "n", "pos")).alias("r"), F.first("size").alias("size")).select("h", "r.rep", "component", "r.n", "r.pos", "size")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component", "n", "pos")
+    rows = named.join(groups, "h").join(signed.select("rep", "sig"), "rep").withColumn("own", own)
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    dealt = dealt.select("h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component", "n", "pos", "sig")
     sorted_groups = dealt.repartition(F.col("h"), F.col("x"), F.col("y")).sortWithinPartitions("h", "x", "y", "rep")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        left: pa.Table | None = None
 
         def done(rows: pa.Table, final: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
             """Pairs of all whole groups, and the rows of the last group unless it is whole too."""
             h, x, y, own, rep, comp, n, pos = (rows.column(k).to_numpy() for k in range(8))
+            sig = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)
             cuts = np.nonzero((h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[0] + 1
             bounds = [0, *cuts.tolist(), *([len(h)] if final else [])]
-            pairs = [meet(own[a:b], x[a], y[a], rep[a:b], comp[a:b], n[a:b], pos[a:b], percent, star) for a, b in pairwise(bounds) if b - a > 1]
-            both = np.concatenate([np.zeros((0, 2), np.int64), *pairs])
+            pairs = [meet(own[a:b], x[a], y[a], rep[a:b], comp[a:b], n[a:b], pos[a:b], sig[a:b], percent) for a, b in pairwise(bounds) if b - a > 1]
+            both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"]), None if final else rows.slice(bounds[-1])
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
+            rows = pa.concat_tables([left, rows]) if left is not None else rows
             if rows.num_rows:
-                pairs, rest = done(rows, False)
+                pairs, left = done(rows, False)
                 yield pairs
-        if rest is not None and rest.num_rows:
-            yield done(rest, True)[0]
+        if left is not None and left.num_rows:
+            yield done(left, True)[0]
 
     return sorted_groups.mapInArrow(run, "a long, b long").distinct()
 
@@ -378,16 +400,15 @@ def clusters(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percen
     shared = settle(spread.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1").select("key", "leader"), "shared")
     members = settle(spread.join(shared, "key"), "members")
     signed = banded.select("rep", "n", "sig")
-    starred = members.where("rep <> leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a")).select("a", "b")
-    tried = settle(agreeing(starred, signed, percent), "met")
-    labels = settle(components(confirm(tried, slim, percent)), "components")
-    members = members.select("key", "rep")
-    tokens = prefixes(members, labels, slim, percent)
-    for star in (*[True] * ROUNDS, False):
-        more = settle(across(tokens, labels, percent, star).join(tried, ["a", "b"], "left_anti"), "met")
+    shares = members.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("bands"))
+    starred = shares.groupBy(F.col("rep").alias("b")).agg(F.max_by("leader", F.struct("bands", -F.col("leader"))).alias("a")).select("a", "b")
+    labels = settle(components(confirm(settle(agreeing(starred, signed, percent), "met"), slim, percent)), "components")
+    tokens = prefixes(members.select("key", "rep"), labels, slim, percent)
+    for number in range(ROUNDS + 1):
+        more = agreeing(stars(tokens, labels, percent, number), signed, percent) if number < ROUNDS else rest(tokens, labels, signed, percent)
+        more = settle(more, "met")
         if not more.isEmpty():
             labels = joined(labels, confirm(more, slim, percent))
-            tried = tried.unionByName(more)
     # rows of one identifier with different texts are one document: each of its classes already has that one name
     of_class = reps.select("cls", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("found"))
     placed = base.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")

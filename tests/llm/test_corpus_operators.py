@@ -1,6 +1,7 @@
 """Dedup, mixing, sharding, personal data, archives, near copies and the pipeline, against brute force."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -339,6 +340,35 @@ def test_near_components(spark, messy, sf_dir, which):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def counted_pairs(monkeypatch):
+    """A list that gets the number of pairs of each confirmation."""
+    counts, confirm = [], near.confirm
+
+    def counting(pairs, docs, percent):
+        counts.append(pairs.count())
+        return confirm(pairs, docs, percent)
+
+    monkeypatch.setattr(near, "confirm", counting)
+    return counts
+
+
+def test_near_pairs_of_large_groups_are_few(spark, monkeypatch):
+    """A passage of 5,000 unlike documents, and a family of 1,500 near copies, make a few pairs a document at most."""
+    counts = counted_pairs(monkeypatch)
+    passage = prose(501, 90)
+    unlike = spark.createDataFrame([(k, f"{passage} {prose(k + 5000, 40)}") for k in range(5000)], "doc_id long, text string")
+    assert near.clusters(unlike, percent=80).where("not kept").count() == 0 and sum(counts) <= 3 * 5000
+    counts.clear()
+    base, rows = prose(502, 150).split(), []
+    for k in range(1500):
+        words, r = list(base), random.Random(k)
+        for at in r.sample(range(len(words)), k % 4):
+            words[at] = f"w{k}x{at}"
+        rows.append((k, " ".join(words)))
+    family = near.clusters(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)
+    assert family.where("kept").count() == 1 and sum(counts) <= 3 * 1500
+
+
 def test_near_hashes_and_bounds(spark, empty, monkeypatch):
     texts = [prose(k, n).encode() for k, n in enumerate((0, 1, 4, 5, 6, 300))] + [b"", b" a\t\nB  c d E ", b"x" * 50_000]
     for text, hashes in zip(texts, near.hashed_sets(texts), strict=True):

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, fresh_dir, grouped, settle, small_batches
+from .common import Memo, fresh_dir, grouped, kept, settle, small_batches
 from .files import Commit, cleaning, store
 from .order import ranges
 
@@ -117,13 +117,9 @@ class WordTokens:
         return ids, ends[2 * (offsets - offsets[0])]
 
 
-_tokens: dict[str, WordTokens] = {}
-
-
 def tokens(file: str) -> WordTokens:
-    if file not in _tokens:
-        _tokens[file] = WordTokens(file)
-    return _tokens[file]
+    """One in each Python worker, kept from task to task."""
+    return kept(("tokens", file), lambda: WordTokens(file))
 
 
 def pack(ids: np.ndarray, percentile: int = PERCENTILE) -> list[bytes]:

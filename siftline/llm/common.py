@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches bounded by rows and bytes, so that a batch of long texts fits into a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def ascii_lower(text: Column) -> Column:
@@ -50,10 +52,20 @@ def one_row(df: DataFrame) -> dict:
     return df.first().asDict()
 
 
+def halved(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many bytes, as far as single rows allow."""
+    if batch.nbytes <= size or batch.num_rows < 2:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from halved(batch.slice(0, half), size)
+        yield from halved(batch.slice(half), size)
+
+
 def grouped(batches: Iterable[pa.RecordBatch], size: int = GROUP_BYTES) -> Iterator[pa.Table]:
     """The batches joined to tables of about so many bytes, for work that pays off on many texts at a time."""
     held, have = [], 0
-    for batch in batches:
+    for batch in chain.from_iterable(map(partial(halved, size=size), batches)):
         held.append(batch)
         have += batch.nbytes
         if have >= size:
@@ -63,6 +75,22 @@ def grouped(batches: Iterable[pa.RecordBatch], size: int = GROUP_BYTES) -> Itera
         yield pa.Table.from_batches(held)
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept(key: tuple | None = None, make: Callable[[], object] = lambda: None):
+    """What an operator keeps in a Python worker from task to task, made when first asked for.
+
+    A worker keeps one thing at a time, and nothing once an operator calls this without a key: workers are used again,
+    and the tables of stages that follow each other would add up.
+    """
+    if key not in _kept:
+        _kept.clear()
+        if key:
+            _kept[key] = make()
+    return _kept.get(key)
+
+
 class Memo:
     """A word cache of bounded size: make(words) fills in what is missing.
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import grouped, small_batches, unused
+from .common import grouped, kept, small_batches, unused
 
 #: Labelled documents that the model learns from, a language; slots of its n-grams; and the languages it learns, those
 #: with the most documents.
@@ -320,6 +320,7 @@ def predict(docs: DataFrame, model: dict, *, text: str = "text", lang_pred: str
     columns = [f.name for f in keep]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         lab = Labeller(sent.value)
         for table in grouped(batches, TOGETHER):
             langs, scores, shares = lab.told(table.column(text))

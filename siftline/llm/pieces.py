@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo, small_batches
+from .common import Memo, kept, small_batches
 
 SPACE = "▁"
 
@@ -125,7 +125,7 @@ class PrefixTable:
                 key = before << 24 | token
                 fits = pairs.get(key)
                 if fits is None:
-                    if len(pairs) > 1_000_000:
+                    if len(pairs) > 250_000:
                         pairs.clear()
                     fits = pairs[key] = self.compatible(before, token)
                 if not fits:
@@ -162,28 +162,23 @@ class Codec:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.table = PrefixTable(self.sp)
         self.memo = Memo(self.make, limit=cache)
+        self.decimal = [str(i) for i in range(self.sp.get_piece_size())]
 
-    def make(self, chunks: list[str]) -> list[tuple[tuple[int, ...], str]]:
-        encoded = map(self.table.encode_chunk, chunks)
-        return [(tuple(ids), ",".join(map(str, ids))) for ids in encoded]
+    def make(self, chunks: list[str]) -> list[tuple[int, ...]]:
+        return [tuple(ids) for ids in map(self.table.encode_chunk, chunks)]
 
     def encode(self, text: str | None) -> tuple[list[int], str]:
         """ids, and the ids in decimal joined by commas."""
-        found = self.memo.all(self.table.chunks(text)) if text else []
-        return list(chain.from_iterable([f[0] for f in found])), ",".join([f[1] for f in found])
+        ids = list(chain.from_iterable(self.memo.all(self.table.chunks(text)))) if text else []
+        return ids, ",".join(map(self.decimal.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         return self.sp.decode(ids) if ids else ""
 
 
-_codecs: dict[tuple[str, int], Codec] = {}
-
-
 def codec(model_file: str, cache: int = 250_000) -> Codec:
     """One codec in each Python worker, kept from task to task."""
-    if (model_file, cache) not in _codecs:
-        _codecs[model_file, cache] = Codec(model_file, cache)
-    return _codecs[model_file, cache]
+    return kept(("codec", model_file, cache), lambda: Codec(model_file, cache))
 
 
 def encode(docs: DataFrame, model_file: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:

@@ -112,15 +112,13 @@ def of_run(lines: DataFrame, run_id: str, value: str = "value") -> DataFrame:
     return lines.where(F.contains(value, F.lit(f'"run_id":"{run_id}"')))
 
 
-def process_tree(processes: DataFrame, root: int, most_levels: int = 64) -> DataFrame:
-    """pid of the root and of everything that descends from it; processes has (pid, parent)."""
+def process_tree(processes: DataFrame, root: int) -> DataFrame:
+    """pid of the root and of everything that descends from it, however deep; processes has (pid, parent)."""
     from ..session import settle
 
     found = processes.where(F.col("pid") == root).select("pid")
     newest = found
-    for _ in range(most_levels):
-        newest = settle(processes.join(newest.select(F.col("pid").alias("parent")), "parent", "left_semi").select("pid").join(found, "pid", "left_anti"))
-        if newest.isEmpty():
-            break
-        found = found.unionByName(newest)
+    while not newest.isEmpty():  # a pid that was found before does not come again, so cycles end
+        newest = settle(processes.join(newest.select(F.col("pid").alias("parent")), "parent", "left_semi").select("pid").distinct().join(found, "pid", "left_anti"))
+        found = settle(found.unionByName(newest))
     return found.distinct()

@@ -92,9 +92,20 @@ def vcf_text(spark, sf_dir):
     return vobject.contact_text(files).select(F.col("key").cast("bigint").alias("c_custkey"), "text")
 
 
-@query("log_tail_stream")
+@query("log_tail_stream", """with e as (select 'lane=' || (user_id % 16)::varchar as lane, event_id, event_type, value, json_extract_string(props, '$.k') as msg from events),
+x as (select *, case when lag(event_id) over w is null or lag(msg) over w is distinct from msg then 1 else 0 end as begins from e where event_type = 'error' window w as (partition by lane order by event_id)),
+i as (select lane, sum(begins) over (partition by lane order by event_id) as island from x),
+s as (select lane, count(*) as streaks from (select lane, island from i group by lane, island having count(*) > 1) group by lane)
+select e.lane, greatest(coalesce(arg_max(floor(value)::bigint, event_id), 0), 0) as bytes, 1::bigint as transfers, 0::bigint as errors, 0::bigint as deletes, coalesce(max(s.streaks), 0)::int as streaks
+from e left join s on e.lane = s.lane group by e.lane""")
 def log_tail_stream(spark, sf_dir):
-    """The events followed as a log, all that there is now."""
+    """The events written as logs of sixteen lanes, and these followed by a stream: all that there is now."""
     from ..session import shared_folder
 
-    return logs.run_to_end(logs.deltas(logs.event_log(spark, sf_dir)), shared_folder(spark, "log-tail")).withColumn("streaks", F.size("streaks"))
+    events = table(spark, sf_dir, "events")
+    stats = F.struct(F.floor("value").cast("long").alias("bytes"), F.lit(1).alias("transfers"), F.lit(0).alias("deletes"))
+    line = F.to_json(F.struct(F.col("event_type").alias("level"), F.get_json_object("props", "$.k").alias("msg"), F.col("event_id").cast("string").alias("object"), stats.alias("stats")))
+    folder = shared_folder(spark, "log-tail")
+    written = events.select((F.col("user_id") % 16).alias("lane"), "event_id", line.alias("value")).repartition(16, "lane").sortWithinPartitions("lane", "event_id")
+    written.select("lane", "value").write.partitionBy("lane").text(f"{folder}/log")
+    return logs.follow(logs.lines(spark, f"{folder}/log"), folder).select("lane", *logs.COUNTERS, F.size("streaks").alias("streaks"))

@@ -1,50 +1,163 @@
-"""A log followed while it is written: each micro-batch is a poll, counters carry over, streaks of errors do not."""
+"""Logs followed while they are written: each micro-batch is a poll, counters carry over, streaks of errors do not.
+
+The source's offset is the bytes read of each file, up to the end of the last whole line, so that lines appended to a
+known file arrive once and a line that is still being written waits for its end.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import io
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.window import Window as W
 
 from ..operators.runs import LOG_LINE
 
 COUNTERS = ("bytes", "transfers", "errors", "deletes")
-DELTA = "lane string, bytes long, transfers long, errors long, deletes long, streaks array<struct<cause:string,first_key:string,repeated:long>>"
-STATE = "bytes long, transfers long, errors long, deletes long"
-
-
-def lines(spark: SparkSession, folder: str, *, files_per_poll: int = 1) -> DataFrame:
-    """Lines of the files in a folder as they come, with the file's name as lane; garbage and blanks are dropped."""
-    text = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_poll).load(folder)
-    parsed = text.select(F.regexp_replace(F.col("_metadata.file_name"), r"[-.].*$", "").alias("lane"), F.col("_metadata.file_name").alias("part"), F.from_json("value", LOG_LINE).alias("log"))
-    return parsed.where(F.col("log").isNotNull() & (F.col("log.level").isNotNull() | F.col("log.stats").isNotNull())).select("lane", "part", "log.*").withColumn("position", F.monotonically_increasing_id())
-
-
-def poll(key: tuple, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """What a lane's counters have grown by in this poll, and its errors of one cause in a row."""
-    before = state.get if state.exists else (0,) * len(COUNTERS)
-    rows = pd.concat(list(batches)).sort_values(["part", "position"])
-    stats = [s for s in rows["stats"] if s is not None]
-    now = tuple(int(stats[-1][c] or 0) for c in COUNTERS) if stats else before
-    state.update(now)
-    streaks: list[list] = []
-    for level, msg, obj in zip(rows["level"], rows["msg"], rows["object"], strict=True):
-        if str(level).lower() != "error":
-            continue
-        if streaks and streaks[-1][0] == msg:
-            streaks[-1][2] += 1
-        else:
-            streaks.append([msg, obj, 0])
-    yield pd.DataFrame([{"lane": key[0], **{c: max(n - b, 0) for c, n, b in zip(COUNTERS, now, before, strict=True)}, "streaks": [{"cause": c, "first_key": k, "repeated": n} for c, k, n in streaks if n]}])
+#: Bytes that one task reads of a file, and bytes looked at in one step for the last line's end.
+PART_BYTES, STEP = 64 << 20, 1 << 16
+
+
+@dataclass
+class Stretch(InputPartition):
+    """Lines of a file that begin in first <= byte < last, where a line begins at first or where one ended before."""
+
+    name: str
+    first: int
+    last: int
+    begins: bool
+
+
+class LogReader(DataSourceStreamReader):
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def store(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        self.seen: dict[str, int] = {}
+        return {}
+
+    def latestOffset(self, *_) -> dict:  # noqa: N802
+        """Bytes up to the last line end of each file; a folder that is not there yet holds nothing new."""
+        from pyarrow import fs
+
+        store, root = self.store()
+        found = dict(getattr(self, "seen", {}))
+        for info in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
+            name = info.path[len(root.rstrip("/")) + 1 :]
+            if info.type == fs.FileType.File and not re.search("(^|/)[._]", name):
+                found[name] = self.line_end(store, info.path, found.get(name, 0), info.size)
+        self.seen = {name: at for name, at in found.items() if at}
+        return dict(self.seen)
+
+    @staticmethod
+    def line_end(store, path: str, low: int, size: int) -> int:
+        """The place after the last line end between low and size, or low."""
+        with store.open_input_file(path) as file:
+            end = size
+            while end > low:
+                begin = max(low, end - STEP)
+                file.seek(begin)
+                at = file.read(end - begin).rfind(b"\n")
+                if at >= 0:
+                    return begin + at + 1
+                end = begin
+        return low
+
+    def partitions(self, start: dict, end: dict) -> list[Stretch]:
+        found = []
+        for name, last in sorted(end.items()):
+            cuts = range(start.get(name, 0), last, PART_BYTES)
+            found += [Stretch(name, a, min(a + PART_BYTES, last), k == 0) for k, a in enumerate(cuts)]
+        return found
+
+    def read(self, partition: Stretch) -> Iterator[tuple]:
+        store, root = self.store()
+        with io.BufferedReader(store.open_input_file(f"{root.rstrip('/')}/{partition.name}"), 1 << 20) as file:
+            at = partition.first - (not partition.begins)
+            file.seek(at)
+            if not partition.begins:  # the line before belongs to the stretch before
+                at += len(file.readline())
+            while at < partition.last:
+                line = file.readline()
+                yield partition.name, at, line.decode(errors="replace").strip()
+                at += len(line)
+
+
+class LogSource(DataSource):
+    """Files of a folder as (part, position, value): a file's name, a line's first byte and its text."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "lines_of_logs"
+
+    def schema(self) -> str:
+        return "part string, position long, value string"
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return LogReader(self.options["path"])
+
+
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Parsed lines of the files in a folder as they grow; a file's name up to its first -, . or / is the lane. Garbage
+    and blanks are dropped."""
+    spark.dataSource.register(LogSource)
+    text = spark.readStream.format("lines_of_logs").load(folder)
+    parsed = text.select(F.regexp_replace("part", r"[-./].*$", "").alias("lane"), "part", "position", F.from_json("value", LOG_LINE).alias("log"))
+    return parsed.where(F.col("log").isNotNull() & (F.col("log.level").isNotNull() | F.col("log.stats").isNotNull())).select("lane", "part", "position", "log.*")
+
+
+def streaks(rows: DataFrame) -> DataFrame:
+    """(lane, streaks): a lane's errors of one cause in a row, as cause, first_key and how often it was repeated."""
+    order = W.partitionBy("lane").orderBy("part", "position")
+    errors = rows.where(F.lower("level") == "error").select("lane", "part", "position", "msg", "object")
+    begins = (~F.lag("msg").over(order).eqNullSafe(F.col("msg")) | (F.row_number().over(order) == 1)).cast("int")
+    island = errors.withColumn("begins", begins).withColumn("island", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    found = island.groupBy("lane", "island").agg(F.first("msg").alias("cause"), F.min_by("object", F.struct("part", "position")).alias("first_key"), (F.count("*") - 1).alias("repeated"))
+    listed = F.collect_list(F.struct("island", "cause", "first_key", "repeated"))
+    return found.where("repeated > 0").groupBy("lane").agg(F.transform(F.array_sort(listed), lambda s: F.struct(s["cause"].alias("cause"), s["first_key"].alias("first_key"), s["repeated"].alias("repeated"))).alias("streaks"))
+
+
+def poll(rows: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(deltas, counters): per lane what its counters have grown by in this poll, with its streaks, and where the
+    counters of all lanes stand now. Only a lane's last counters meet the state."""
+    last = rows.groupBy("lane").agg(F.max_by("stats", F.when(F.col("stats").isNotNull(), F.struct("part", "position"))).alias("s"))
+    now = last.select("lane", F.lit(True).alias("polled"), F.col("s").isNotNull().alias("told"), *[F.coalesce(f"s.{c}", F.lit(0)).alias(f"now_{c}") for c in COUNTERS])
+    old = before if before is not None else now.select("lane", *[F.lit(0).cast("long").alias(c) for c in COUNTERS])
+    both = now.join(old, "lane", "full")
+    stands = {c: F.when(F.col("told"), F.col(f"now_{c}")).otherwise(F.coalesce(F.col(c), F.lit(0))) for c in COUNTERS}
+    grown = both.where("polled").select("lane", *[F.greatest(stands[c] - F.coalesce(F.col(c), F.lit(0)), F.lit(0)).alias(c) for c in COUNTERS])
+    nothing = F.expr("cast(array() as array<struct<cause:string,first_key:string,repeated:bigint>>)")
+    deltas = grown.join(streaks(rows), "lane", "left").withColumn("streaks", F.coalesce("streaks", nothing))
+    return deltas, both.select("lane", *[stands[c].alias(c) for c in COUNTERS])
+
+
+def follow(parsed: DataFrame, folder: str) -> DataFrame:
+    """The deltas of everything that parsed has now, a row a lane and poll, after those of earlier calls.
+
+    Every poll writes its rows and the state under its own number, so that a poll that is run again writes the same.
+    """
+    spark = parsed.sparkSession
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        deltas, state = poll(batch, latest_snapshot(batch.sparkSession, f"{folder}/state", number))
+        deltas.write.mode("overwrite").parquet(f"{folder}/out/poll={number:09d}")
+        state.write.mode("overwrite").parquet(f"{folder}/state/snapshot={number:09d}")
+        batch.unpersist()
 
-def deltas(parsed: DataFrame) -> DataFrame:
-    """One row a lane and poll; parsed has lane, part, position, level, msg, object and stats."""
-    return parsed.groupBy("lane").applyInPandasWithState(poll, DELTA, STATE, "append", GroupStateTimeout.NoTimeout)
+    parsed.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    schema = f"lane string, {', '.join(f'{c} long' for c in COUNTERS)}, streaks array<struct<cause:string,first_key:string,repeated:bigint>>, poll int"
+    return spark.read.schema(schema).parquet(f"{folder}/out") if latest_snapshot(spark, f"{folder}/state") is not None else spark.createDataFrame([], schema)
 
 
 def ledger_upsert(updates: DataFrame, path: str, checkpoint: str):
@@ -75,23 +188,3 @@ def latest_snapshot(spark: SparkSession, path: str, before: int | None = None) -
     numbers = sorted(int(n.partition("=")[2]) for n in whole)
     numbers = [n for n in numbers if before is None or n < before]
     return spark.read.parquet(f"{path}/snapshot={numbers[-1]:09d}") if numbers else None
-
-
-EVENTS = T.StructType([
-    T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
-    T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
-])
-
-
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of log lines in four lanes."""
-    events = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stats = F.struct(F.floor("value").alias("bytes"), F.lit(1).cast("long").alias("transfers"), F.lit(None).cast("long").alias("errors"), F.lit(0).cast("long").alias("deletes"))
-    return events.select((F.col("user_id") % 4).cast("string").alias("lane"), F.lit("events").alias("part"), F.col("event_type").alias("level"), F.get_json_object("props", "$.k").alias("msg"), F.col("event_id").cast("string").alias("object"), stats.alias("stats"), F.col("event_id").alias("position"))
-
-
-def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
-    """Everything that a stream yields now, written to a folder and read back."""
-    writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")

@@ -334,15 +334,37 @@ def test_log_stream(spark, tmp_path):
 
     from siftline.streaming import logs
 
-    def write(name, *entries):
-        (tmp_path / "log").mkdir(exist_ok=True)
-        (tmp_path / "log" / name).write_text("\n".join(e if isinstance(e, str) else json.dumps(e) for e in entries) + "\n")
+    folder = tmp_path / "log"
+
+    def write(name, *entries, end="\n"):
+        folder.mkdir(exist_ok=True)
+        with (folder / name).open("a") as file:
+            file.write("\n".join(e if isinstance(e, str) else json.dumps(e) for e in entries) + end)
 
     stats = lambda n: {"level": "info", "msg": "s", "stats": {"bytes": n, "transfers": 1}}
     error = lambda cause, key: {"level": "ERROR", "msg": cause, "object": key}
+    out = lambda: logs.follow(logs.lines(spark, str(folder)), str(tmp_path / "run")).orderBy("poll", "lane").collect()
+    shown = lambda rows: [(r.lane, r.bytes, [(s.cause, s.first_key, s.repeated) for s in r.streaks]) for r in rows]
+    assert out() == []  # the log is not there yet
     write("run-1.log", stats(10), "garbage", "", error("x", "a"), error("x", "b"), stats(30))
-    out = lambda: logs.run_to_end(logs.deltas(logs.lines(spark, str(tmp_path / "log"))), str(tmp_path / "run")).orderBy("bytes").collect()
-    first = out()
-    assert [(r.lane, r.bytes, [(s.cause, s.first_key, s.repeated) for s in r.streaks]) for r in first] == [("run", 30, [("x", "a", 1)])]
-    write("run-2.log", error("x", "c"), stats(35))
-    assert sorted((r.bytes, len(r.streaks)) for r in out()) == [(5, 0), (30, 1)]
+    write("run-1.log", '{"level": "ERROR", "msg"', end="")  # still being written
+    first = [("run", 30, [("x", "a", 1)])]
+    assert shown(out()) == first
+    write("run-1.log", ': "y", "object": "c"}', error("y", "d"), stats(35))
+    write("other.log", error("z", "é"))
+    assert shown(out()) == [*first, ("other", 0, []), ("run", 5, [("y", "c", 1)])]
+    assert len(out()) == 3  # nothing new
+
+
+def test_log_stretches_lose_no_line(tmp_path, monkeypatch):
+    from siftline.streaming import logs
+
+    lines = [f"line {k} {'x' * (k * 7 % 40)}." for k in range(200)]
+    (tmp_path / "a.log").write_text("\n".join(lines) + "\nrest")
+    for size in (1, 13, 100, 10_000):
+        monkeypatch.setattr(logs, "PART_BYTES", size)
+        monkeypatch.setattr(logs, "STEP", 5)
+        reader = logs.LogReader(str(tmp_path))
+        end = reader.latestOffset()
+        assert end == {"a.log": len("\n".join(lines)) + 1}
+        assert [v for p in reader.partitions({}, end) for _, _, v in reader.read(p)] == lines

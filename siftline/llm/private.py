@@ -1,15 +1,18 @@
 """Operator 6: personal data and what gives it away, with DataFrame operations only.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. The patterns are the plain ones with
-possessive repetition and a look-behind added, which change no match but keep the time in proportion to the text.
-
-Replacing the spans is not enough where the words around them tell what stood there. A protected entity is the value
-of a base span; its terms are the words within REACH characters of it, whatever stands between, but for those that
-are part of a base span themselves. Over the whole corpus the operator counts the
-documents with an entity, with a term, and with the term near the entity, and takes from the counts what the term
-tells of the entity: pointwise mutual information log2(n_te * n / (n_t * n_e)), against the entity's own information
-log2(n / n_e). A term whose share is DISCLOSURE or more, seen near the entity in at least SUPPORT documents, discloses
-it: its occurrences near the entity become spans of kind "term", to be generalised or removed with the rest.
+possessive repetition and a look-behind added, which change no match but keep the time in proportion to the text; that
+of cards asks for twelve digits at once.
+
+Replacing the spans is not enough where other words of the corpus tell what stood there. A protected entity is the
+value of a base span; its terms are the words of the documents that hold it, wherever they stand, but for those that
+are part of a base span themselves. Over the whole corpus the operator counts the documents with an entity (n_e), with
+a term (n_t), and with both (n_te), and takes from the counts what the term tells of the entity: pointwise mutual
+information, with one document taken off as what chance may have brought together,
+log2((n_te - 1) * n / (n_t * n_e)), against the entity's own information log2(n / n_e). A term whose share is
+DISCLOSURE or more discloses the entity: all its occurrences in the documents with the entity become spans of kind
+"term", to be generalised or removed with the rest. No share can be large where a term has more documents than
+n_e * (n / n_e) ** (1 - DISCLOSURE), so only rarer terms are counted with an entity, which loses none.
 
 Offsets are code points, ends exclusive. Null text counts as empty. Rows that share identifier and text share their
 spans; each counts as a document. An empty table gives no rows. An entity in a third of all rows is counted with
@@ -27,30 +30,42 @@ KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[ -]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: A text without this character has no match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-TERM = r"\p{L}[\p{L}\p{M}'-]{3,}+"
-REACH, SUPPORT, DISCLOSURE = 80, 3, 0.75
+#: The least share of an entity's information that discloses it, and the least letters of a term (from 1 on).
+DISCLOSURE, LETTERS = 0.75, 2
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 
 LOCATED = "array<struct<start:bigint,end:bigint,text:string>>"
 
 
-def located(matches: Column, gaps: Column) -> Column:
-    """Start, end and text of matches, from the texts between them."""
-    zipped = F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g"))
-    first = F.struct(F.lit(0).cast("long").alias("pos"), F.expr(f"cast(array() as {LOCATED})").alias("out"))
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        found = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(found)).alias("out"))
+def running(sizes: Column) -> Column:
+    """The sums of an array's first 1, 2, ... numbers: sums of stretches first, so that n numbers take n ** 1.5 steps."""
+    total = lambda numbers: F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return F.when(F.size(matches) > 0, F.aggregate(zipped, first, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as {LOCATED})"))
+    def within(v: Column) -> Column:
+        n, c = v["n"], v["c"]
+        sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / c).cast("int")), lambda k: total(F.slice(v["sizes"], k * c + 1, c)))
+        offsets = let(sums, lambda s: F.transform(F.sequence(F.lit(0), F.size(s) - 1), lambda k: total(F.slice(s, F.lit(1), k))))
+        stretch = lambda i: F.floor(i / c).cast("int")
+        return let(offsets, lambda o: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(o, stretch(i)) + total(F.slice(v["sizes"], stretch(i) * c + 1, i - stretch(i) * c + 1))))
+
+    return let(sizes, lambda x: let(F.struct(x.alias("sizes"), F.size(x).alias("n"), F.ceil(F.sqrt(F.size(x))).cast("int").alias("c")), within))
+
+
+def located(matches: Column, gaps: Column) -> Column:
+    """Start, end and text of matches, from the texts between them."""
+    sizes = F.zip_with(matches, F.slice(gaps, F.lit(1), F.size(matches)), lambda m, g: (F.length(g) + F.length(m)).cast("long"))
+    found = F.zip_with(matches, running(sizes), lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("text")))
+    return F.when(F.size(matches) > 0, found).otherwise(F.expr(f"cast(array() as {LOCATED})"))
 
 
 def digits(text: Column) -> Column:
@@ -86,10 +101,7 @@ def entity(kind: str, text: Column) -> Column:
 
 
 def base_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, mark (a hash of the text) and spans: kind, rank of the kind, start, end, entity, and the text around from `at`.
-
-    That text has twice the reach on either side, so that a word that the reach cuts in two is seen whole.
-    """
+    """key, mark (a hash of the text), spans (start, rank of the kind, end, kind, entity), and t: the text if it has spans."""
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t"))
     nothing = F.expr("cast(array() as array<string>)")
     for kind in KINDS:
@@ -102,53 +114,67 @@ def base_spans(docs: DataFrame, key: str, text: str) -> DataFrame:
     def described(kind: str) -> Column:
         rank = KINDS.index(kind)
         good = F.filter(F.col(f"l_{kind}"), lambda x: sound(kind, x["text"]))
-        at = lambda x: F.greatest(x["start"] - 2 * REACH, F.lit(0).cast("long"))
-        around = lambda x: F.substr(F.col("t"), (at(x) + 1).cast("int"), (x["end"] + 2 * REACH - at(x)).cast("int"))
-        return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), entity(kind, x["text"]).alias("entity"), at(x).alias("at"), around(x).alias("around")))
+        return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), entity(kind, x["text"]).alias("entity")))
+
+    rows = rows.select(key, "mark", "t", F.array_sort(F.concat(*[described(k) for k in KINDS])).alias("spans"))
+    return rows.select(key, "mark", "spans", F.when(F.size("spans") > 0, F.col("t")).alias("t"))
 
-    return rows.select(key, "mark", F.array_sort(F.concat(*[described(k) for k in KINDS])).alias("spans"))
 
+def term_pattern(letters: int = LETTERS) -> str:
+    """Words of at least so many letters."""
+    return rf"\p{{L}}[\p{{L}}\p{{M}}'-]{{{letters - 1},}}+"
 
-def near_terms(spans: DataFrame, key: str) -> DataFrame:
-    """key, mark, entity, term, start and end of every whole word near a span."""
-    meeting = lambda s: F.filter("spans", lambda o: (o["start"] < s["end"] + REACH) & (o["end"] > s["start"] - REACH))
-    places = lambda s: F.transform(meeting(s), lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end")))
-    one = spans.select(key, "mark", F.explode(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["entity"].alias("entity"), s["at"].alias("at"), s["around"].alias("c"), places(s).alias("others")))).alias("s"))
-    found = one.select(key, "mark", "s.*").withColumn("m", F.regexp_extract_all("c", F.lit(TERM), F.lit(0))).withColumn("g", F.split("c", TERM, -1))
-    words = found.select(key, "mark", "entity", F.col("start").alias("s"), F.col("end").alias("e"), "at", "others", F.explode(located(F.col("m"), F.col("g"))).alias("w"))
-    words = words.select(key, "mark", "entity", "s", "e", "others", F.lower("w.text").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-    before = (F.col("end") <= F.col("s")) & (F.col("start") >= F.col("s") - REACH)
-    after = (F.col("start") >= F.col("e")) & (F.col("end") <= F.col("e") + REACH)
-    in_span = F.exists("others", lambda o: (o["start"] < F.col("end")) & (o["end"] > F.col("start")))
-    return words.where((before | after) & ~in_span).select(key, "mark", "entity", "term", "start", "end").distinct()
 
+def terms(text: Column, letters: int = LETTERS) -> Column:
+    """The distinct words of a text outside of e-mail addresses, lower-cased."""
+    rest = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(rest), F.lit(term_pattern(letters)), F.lit(0)))
 
-def disclosing(docs: DataFrame, spans: DataFrame, near: DataFrame, key: str, text: str, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term, share): the terms that tell of an entity, by counts of documents over the whole corpus."""
+
+def disclosing(docs: DataFrame, held: DataFrame, key: str, text: str, disclosure: float = DISCLOSURE, letters: int = LETTERS) -> DataFrame:
+    """key, mark and term of the words that disclose an entity of their document, by counts over the whole corpus.
+
+    held has key, mark, spans and t of the documents with spans.
+    """
     n = docs.count()
-    of_entity = spans.select(key, "mark", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.select(key, "mark", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support)
-    pairs = settle(pairs, "pairs")
-    # every word is counted, then the few terms in question are looked up: partial counts keep the shuffle to distinct words
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    told = F.log2(F.col("n_te") * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
+    entities = settle(held.select(key, "mark", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity")), "entities")
+    n_e = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where("n_e > 1")
+    limit = F.col("n_e") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - disclosure))
+    known = settle(entities.join(n_e, "entity").withColumn("limit", limit), "known")
+    most = known.agg(F.max("limit")).first()[0]
+    if most is None:
+        return known.select(key, "mark", F.col("entity").alias("term"))
+    open_docs = known.groupBy(F.col(key).alias("__key"), F.col("mark").alias("__mark")).agg(F.max("limit").alias("most"))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("mark") == F.col("__mark"))
+    words = held.join(open_docs, same).select(key, "mark", "most", F.explode(terms(F.col("t"), letters)).alias("term"))
+    # every word of the corpus is counted: partial counts keep the shuffle to distinct words
+    every = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")), letters)).alias("term"))
+    n_t = settle(every.groupBy("term").agg(F.count("*").alias("n_t")).where((F.col("n_t") > 1) & (F.col("n_t") <= most)), "terms")
+    rare = words.join(n_t, "term").where(F.col("n_t") <= F.col("most")).select(F.col(key).alias("__key"), F.col("mark").alias("__mark"), "term", "n_t")
+    both = settle(known.join(rare, same & (F.col("n_t") <= F.col("limit"))).select(key, "mark", "entity", "term", "n_e", "n_t"), "both")
+    n_te = both.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where("n_te > 1")
+    told = F.log2((F.col("n_te") - 1) * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
     own = F.log2(F.lit(float(n)) / F.col("n_e"))
-    share = F.when(own > 0, told / own).otherwise(0.0)
-    return pairs.join(of_entity, "entity").join(of_term, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= disclosure)
+    shared = n_te.where((own > 0) & (told >= F.lit(disclosure) * own)).select("entity", "term")
+    return both.join(shared, ["entity", "term"], "left_semi").select(key, "mark", "term").distinct()
 
 
-def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, letters: int = LETTERS) -> DataFrame:
     """Per row of docs: key, mark, spans (base) and terms (of the method), each of kind, start and end in order."""
     spans = settle(base_spans(docs, key, text), "spans")
-    held = spans.where(F.size("spans") > 0)
-    near = settle(near_terms(held.dropDuplicates([key, "mark"]), key), "near")
-    told = disclosing(docs, held.dropDuplicates([key, "mark"]), near, key, text, support, disclosure)
-    hits = near.join(told, ["entity", "term"]).groupBy(key, "mark").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"))).alias("terms"))
-    hits = hits.select(F.col(key).alias("__key"), F.col("mark").alias("__mark"), "terms")
+    held = spans.where(F.size("spans") > 0).dropDuplicates([key, "mark"])
+    told = disclosing(docs, held, key, text, disclosure, letters).groupBy(F.col(key).alias("__key"), F.col("mark").alias("__mark")).agg(F.collect_set("term").alias("told"))
+    told = settle(told, "told")
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("mark") == F.col("__mark"))
+    either = f"{PATTERNS['email']}|{term_pattern(letters)}"  # words inside of addresses are passed over with them
+    marked = held.join(told, same).withColumn("m", F.regexp_extract_all("t", F.lit(either), F.lit(0))).withColumn("g", F.split("t", either, -1))
+    mails = F.filter("spans", lambda s: s["kind"] == "email")
+    outside = lambda x: ~F.exists(mails, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
+    chosen = F.filter(located(F.col("m"), F.col("g")), lambda x: F.array_contains("told", F.lower(x["text"])))
+    term = lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), x["end"].alias("end"), F.lit("term").alias("kind"))
+    hits = marked.select("__key", "__mark", "spans", chosen.alias("chosen")).select("__key", "__mark", F.transform(F.filter("chosen", outside), term).alias("terms"))
     brief = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    joined = spans.join(hits, F.col(key).eqNullSafe(F.col("__key")) & (F.col("mark") == F.col("__mark")), "left")
-    return joined.select(key, "mark", brief.alias("spans"), F.coalesce(F.array_sort("terms"), F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)")).alias("terms"))
+    return spans.drop("t").join(hits, same, "left").select(key, "mark", brief.alias("spans"), F.coalesce("terms", F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)")).alias("terms"))
 
 
 def written(spans: Column) -> Column:

@@ -54,7 +54,7 @@ MISSED, DEVIATIONS = 1e-6, 5.1
 #: Rounds in which groups meet their leaders before all that may still be linked meet.
 ROUNDS = 2
 #: Members of a bucket that meet in one task, and identifiers that are sent to all executors at most.
-BLOCK, BROADCAST_IDS = 1000, 500_000
+BLOCK, BROADCAST_IDS = 400, 500_000
 #: Bytes of text that one round of vectorised hashing takes.
 CHUNK = 1 << 20
 

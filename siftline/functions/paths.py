@@ -149,14 +149,15 @@ def sheet_name(group: Column, index: Column, total: Column, name: Column, extens
 
 def candidate_groups(stem: Column) -> Column:
     """All beginnings of a stem that end in "-" and 16 hex digits, at the stem's end or before another "-", with the rest."""
-    whole = DIGEST_DIGITS + 1
+    # a digest holds no "-", so the pieces between digests are found by one split; the last piece has none after it
+    mark = f"-[0-9a-f]{{{DIGEST_DIGITS}}}(?=-|$)"
+    digests, pieces = F.regexp_extract_all(stem, F.lit(mark), F.lit(0)), F.split(stem, mark, -1)
 
-    def at(k: Column) -> Column:
-        tail = F.substr(stem, k + whole, F.lit(1))
-        return F.substr(stem, k, F.lit(whole)).rlike("^-[0-9a-f]{16}$") & ((tail == "") | (tail == "-"))
+    def beginning(digest: Column, k: Column) -> Column:
+        before = F.aggregate(F.slice(F.zip_with(F.slice(pieces, F.lit(1), F.size(digests)), digests, lambda p, d: F.concat(p, d)), F.lit(1), k + 1), F.lit(""), lambda a, x: F.concat(a, x))
+        return F.struct(before.alias("grp"), F.substr(stem, F.length(before) + 1, F.length(stem)).alias("rest"))
 
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(stem), F.lit(1))), at)
-    return F.transform(places, lambda k: F.struct(F.substr(stem, F.lit(1), k + DIGEST_DIGITS).alias("grp"), F.substr(stem, k + whole, F.length(stem)).alias("rest")))
+    return F.transform(digests, beginning)
 
 
 def sheet_marker(rest: Column) -> Column:

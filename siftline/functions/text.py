@@ -130,9 +130,8 @@ def email_signals(text: Column) -> Column:
         cell = lambda s: trim(F.substring_index(F.regexp_replace(s, r"^\|+", ""), "|", 1)) == f"**{name}**"
         return F.exists(top, lambda s: F.when(F.startswith(s, F.lit("|")), cell(s)).otherwise(F.startswith(s, F.lit(f"**{name}:**")) | F.startswith(s, F.lit(f"**{name}**:"))))
 
-    all_lines = F.transform(lines(body_text), ascii_lower)
-    seen = lambda head: F.exists(all_lines, lambda s: F.startswith(s, F.lit(head))).cast("int")
-    raw_seen = sum(map(seen, RAW_HEADERS), F.lit(0))
+    heads_at = r"(?:\A|\n)(" + "|".join(RAW_HEADERS) + ")"
+    raw_seen = F.size(F.array_distinct(F.regexp_extract_all(ascii_lower(body_text), F.lit(heads_at), F.lit(1))))
     return F.struct(
         (has("sender_domain") | (heads >= 2)).alias("frontmatter_headers"),
         (has("has_attachments", "uid", "also-in") | from_file | tagged | named).alias("provenance"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import paths
+from ..session import settle
 
 
 def order_of_keeping(*tail: str) -> list[Column]:
@@ -102,29 +103,42 @@ def exact_names(files: DataFrame) -> DataFrame:
     """files with `placed` where a generated name may itself be taken: each name in order takes the first free number.
 
     Names can only meet names of their own family, that is with equal extension and equal stem once a number at its end
-    is taken off, so families are settled apart from each other.
+    is taken off. Where no generated name can be one that is given, numbers are ranks (as in placed_names); only
+    families in which a name may meet a generated one are settled name by name, each with the next number to try.
     """
     import pandas as pd
     from pyspark.sql import types as T
 
-    named = files.withColumn("name", paths.sanitize_filename(paths.basename(paths.after_zip_separator(F.col("original_key"))))).withColumn("extension", paths.extension_of(F.col("original_key")))
+    named = placed_names(files)
     dotted = F.col("name").rlike(r"(?s)^.+\.[^.]*$")
+    end = F.when(dotted, F.concat(F.lit("."), F.substring_index("name", ".", -1))).otherwise("")
     stem = F.when(dotted, F.regexp_replace("name", r"(?s)\.[^.]*$", "")).otherwise(F.col("name"))
-    ready = named.withColumn("family", F.regexp_replace(stem, r"(-[0-9]+)+$", "")).withColumn("undated", paths.is_undated(F.col("original_key")))
-    schema = T.StructType([*ready.schema.fields, T.StructField("placed", T.StringType())])
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+    family = F.regexp_replace(stem, r"(-[0-9]+)+$", "")
+    ready = named.withColumn("family", family).withColumn("undated", paths.is_undated(F.col("original_key")))
+    given = settle(ready.groupBy("extension", "name", "family").agg(F.count("*").alias("times")), "names")
+    number = F.regexp_extract(stem, r"-([1-9][0-9]*)$", 1).try_cast("bigint")
+    numbered = given.where(number > 1).select("extension", "family", F.concat(F.regexp_replace(stem, r"-[0-9]+$", ""), end).alias("name"), number.alias("number"))
+    taken = numbered.groupBy("extension", "name", "family").agg(F.min("number").alias("least"), F.count("*").alias("others"))
+    mixed = taken.join(given.where("times > 1"), ["extension", "name", "family"]).where(F.col("least") <= F.col("times") + F.col("others")).select("extension", "family").distinct()
+    mixed = settle(mixed, "mixed")
+    schema = T.StructType([f for f in ready.drop("n").schema.fields])
+
+    def one_by_one(rows: pd.DataFrame) -> pd.DataFrame:
         taken: set[str] = set()
+        following: dict[str, int] = {}
         placed = []
         rows = rows.sort_values(["undated", "original_key", "bucket_alias"], kind="stable")
         for name in rows["name"]:
             stem, dot, end = name.rpartition(".") if "." in name[1:] else (name, "", "")
-            n, choice = 1, name
+            n, choice = following.get(name, 1), name if name not in following else f"{stem}-{following[name]}{dot}{end}"
             while choice in taken:
                 n += 1
                 choice = f"{stem}-{n}{dot}{end}"
+            following[name] = n + 1
             taken.add(choice)
             placed.append(choice)
         return rows.assign(placed=[f"{e}/{p}" for e, p in zip(rows["extension"], placed, strict=True)])
 
-    return ready.groupBy("extension", "family").applyInPandas(settle, schema).drop("family", "undated")
+    plain = ready.join(mixed, ["extension", "family"], "left_anti").select(*schema.names)
+    met = ready.join(mixed, ["extension", "family"], "left_semi").select(*schema.names)
+    return plain.unionByName(met.groupBy("extension", "family").applyInPandas(one_by_one, schema)).drop("family", "undated")

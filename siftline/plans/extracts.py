@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import paths
 from ..sources import archives, vobject
 from ..streaming import logs
 from .registry import query
@@ -42,6 +43,34 @@ def zip_expand(spark, sf_dir):
     return found.select(F.substring_index("archive", ".", 1).cast("bigint").alias("doc_id"), F.col("part").alias("member"), F.sha2("content", 256).alias("content_hash"))
 
 
+def nested(text: str, number: int) -> bytes:
+    """An archive with a note, an archive of an archive of a note, and for every seventh a damaged archive."""
+    import io
+    import zipfile
+
+    def packed(**members: bytes) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in members.items():
+                z.writestr(zipfile.ZipInfo(name.replace("_", ".")), data)
+        return out.getvalue()
+
+    damaged = {"bad_zip": b"damaged"} if number % 7 == 0 else {}
+    return packed(a_txt=text.encode(), b_zip=packed(c_zip=packed(d_txt=text[::-1].encode())), **damaged)
+
+
+@query("zip_nested", """select doc_id, m.member, case m.depth when 1 then sha256(coalesce(text, '')) else sha256(reverse(coalesce(text, ''))) end as content_hash, m.depth, doc_id % 7 = 0 as tainted
+from documents, (values ('a.txt', 1), ('b.zip!c.zip!d.txt', 3)) m(member, depth)""")
+def zip_nested(spark, sf_dir):
+    """What is in archives of three levels, with whether their root has a damaged member."""
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".zip")).alias("key"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    found = archives.all_members(made(rows, nested))
+    tainted = found.groupBy("root_key").agg(F.bool_or(F.col("error").isNotNull()).alias("tainted"))
+    leaves = found.where(F.col("error").isNull() & ~paths.is_zip(F.col("key"))).join(tainted, "root_key")
+    member = F.substr("key", F.length("root_key") + 2, F.length("key"))
+    return leaves.select(F.substring_index("root_key", ".", 1).cast("bigint").alias("doc_id"), member.alias("member"), F.sha2("content", 256).alias("content_hash"), "depth", "tainted")
+
+
 @query("tsv_to_csv", """select c_custkey, '"' || c_name || ', ' || c_mktsegment || '",' || c_nationkey::varchar || chr(10) as csv from customer""")
 def tsv_to_csv(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
@@ -50,7 +79,7 @@ def tsv_to_csv(spark, sf_dir):
     return archives.expand(files, archives.tsv_to_csv).select(F.col("key").cast("bigint").alias("c_custkey"), F.decode("content", "UTF-8").alias("csv"))
 
 
-@query("eml_attachments", """select doc_id, 'note-' || doc_id::varchar || '.txt' as name, strlen(text)::bigint as size from documents where lang = 'en'""")
+@query("eml_attachments", """select doc_id, 'note-' || doc_id::varchar || '.txt' as name, strlen(coalesce(text, ''))::bigint as size from documents""")
 def eml_attachments(spark, sf_dir):
     import email.message
 
@@ -61,7 +90,7 @@ def eml_attachments(spark, sf_dir):
         m.add_attachment(text.encode(), maintype="application", subtype="octet-stream", filename=f"x/note-{number}.txt")
         return m.as_bytes()
 
-    files = made(table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").cast("string").alias("key"), "text", "doc_id"), message)
+    files = made(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"), "doc_id"), message)
     found = archives.expand(files, archives.attachments)
     return found.select(F.col("key").cast("bigint").alias("doc_id"), F.col("part").alias("name"), F.octet_length("content").cast("bigint").alias("size"))
 

@@ -40,7 +40,8 @@ def transform(files: DataFrame, destination: DataFrame, kind: str, source: str)
     """files (key, content) of one kind to output rows (key, name, content) and one outcome a key.
 
     What is already complete at the destination, resource forks, lock stubs and message-shaped Markdown are left out
-    with a reason. Kinds that need an external program are left to it and come out as failed here.
+    with a reason. Kinds that need an external program are left to it, and kinds without a reader here have none; both
+    come out as failed. Only files that already have their output's ending are copied as they are.
     """
     entry = next(k for k in kinds.KINDS if k[0] == kind)
     _, endings, output, family, tool = entry
@@ -56,13 +57,18 @@ def transform(files: DataFrame, destination: DataFrame, kind: str, source: str)
         chosen = chosen.join(pulled.where("shaped").select("key", F.lit("email_shaped").alias("shape")), "key", "left").withColumn("skip_reason", F.coalesce("skip_reason", "shape")).drop("shape")
         pulled = pulled.where(~F.col("shaped")).drop("shaped")
     single = lambda rows: rows.select("key", "grp", F.lit(None).cast("string").alias("part"), "content", F.lit(None).cast("string").alias("error"))
-    if kind in archives.CONVERTERS and kind not in ("zip", "eml", "icns"):
+    if kind == "icns":
+        parts = pulled.select("key", "grp").join(archives.largest_icons(pulled), "key").select("key", "grp", F.lit(None).cast("string").alias("part"), "content", "error")
+    elif kind in archives.CONVERTERS and kind not in ("zip", "eml"):
         parts = archives.expand(pulled, archives.CONVERTERS[kind]).join(pulled.select("key", "grp"), "key").select("key", "grp", F.when(F.col("error").isNull() & F.lit(kind == "xlsx"), F.col("part")).alias("part"), "content", "error")
     elif kind in ("ics", "vcf"):
         shown = (vobject.calendar_text if kind == "ics" else vobject.contact_text)(pulled.select("key", "content"))
-        parts = pulled.select("key", "grp").join(shown, "key", "left").select("key", "grp", F.lit(None).cast("string").alias("part"), F.col("text").cast("binary").alias("content"), F.when(F.col("text").isNull(), f"is not {'an iCalendar' if kind == 'ics' else 'a vCard'} file").alias("error"))
-    elif not tool:
+        why = F.when(F.octet_length(pulled["content"]) > vobject.MOST_BYTES, f"is larger than {vobject.MOST_BYTES >> 20} MiB").when(F.col("text").isNull(), f"is not {'an iCalendar' if kind == 'ics' else 'a vCard'} file")
+        parts = pulled.join(shown, "key", "left").select("key", "grp", F.lit(None).cast("string").alias("part"), F.col("text").cast("binary").alias("content"), why.alias("error"))
+    elif not tool and output in endings.split(" "):
         parts = single(pulled)
+    elif not tool:
+        parts = single(pulled).withColumn("content", F.lit(None).cast("binary")).withColumn("error", F.lit(f"no reader for {kind} files is here"))
     else:
         parts = single(pulled).withColumn("content", F.lit(None).cast("binary")).withColumn("error", F.lit(f"needs {tool}, which is not here"))
     parts = settle(parts)

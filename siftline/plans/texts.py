@@ -32,12 +32,14 @@ def email_shape(spark, sf_dir):
     return seen.select("conv_id", "turn", text.is_email_shaped(F.col("s")).alias("shaped"), text.describe(F.col("s")).alias("families"))
 
 
-@query("text_window", """select doc_id, case when strlen(text) <= 512 then length(text) else length(decode(encode(text)[1:256]) || chr(10)) + 0 end as n from documents where strlen(text) = length(text)""")
+@query("text_window", """with h as (select doc_id, text, strlen(text) as n, hex(encode(text)) as x from documents),
+c as (select *, x[1:512] as head, right(x, 512) as tail from h),
+k as (select *, regexp_extract(head, '^((?:..)*?)(?:C[2-9A-F]|D[0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-4](?:[89AB][0-9A-F]){0,2})$', 1) as whole,
+  regexp_matches(head, '^(?:..)*(?:C[2-9A-F]|D[0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F])?|F[0-4](?:[89AB][0-9A-F]){0,2})$') as torn, length(regexp_extract(tail, '^((?:[89AB][0-9A-F])*)', 1)) as stray from c)
+select doc_id, case when n <= 512 then sha256(text) else sha256(unhex(case when torn then whole || 'EFBFBD' else head end || '0A' || repeat('EFBFBD', (stray // 2)::int) || tail[stray + 1:])) end as seen from k""")
 def text_window(spark, sf_dir):
-    """Length of the head and of the break of long ASCII documents read through a small window."""
-    d = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
-    seen = text.window(F.col("text"), 256)
-    return d.select("doc_id", F.when(F.octet_length("text") <= 512, F.length(seen)).otherwise(F.length(seen) - 256).cast("bigint").alias("n"))
+    """Digest of what is seen of each text through a small window, whose ends may tear a character."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.window(F.col("text"), 256), 256).alias("seen"))
 
 
 @query("kind_dimension", f"""with {OBJECTS}, k as (select *, {EXTENSION} as ending from objects)

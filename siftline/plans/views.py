@@ -42,13 +42,13 @@ def server(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where((F.col("event_id") % 3 != 0) & (F.col("event_id") < 8000))
+    e = events(spark, sf_dir).where(F.col("event_id") % 3 != 0)
     return e.select(F.col("event_type").alias("mailbox"), (F.col("user_id") % 3).alias("uidvalidity"), F.col("event_id").alias("uid"))
 
 
 MAIL = """
 server as (select event_type as mailbox, user_id % 3 as uidvalidity, event_id as uid from events where event_id % 5 <> 0),
-ingested as (select event_type as mailbox, user_id % 3 as uidvalidity, event_id as uid from events where event_id % 3 <> 0 and event_id < 8000)"""
+ingested as (select event_type as mailbox, user_id % 3 as uidvalidity, event_id as uid from events where event_id % 3 <> 0)"""
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from email import message_from_bytes, policy
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,24 +29,37 @@ from ..session import settle
 EXPANSION, DEPTH, TABLE_BYTES = 100, 10, 512 << 20
 
 PART = "key string, part string, position long, content binary, error string"
+NAMES, TYPES = ["key", "part", "position", "content", "error"], [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+#: Bytes and rows of a batch of parts, about.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 Parts = Iterator[tuple[str, bytes]]
 
 
 def expand(files: DataFrame, parts: Callable[[bytes], Parts]) -> DataFrame:
-    """PART rows of files (key, content) by a reader that yields the name and bytes of each part."""
+    """PART rows of files (key, content) by a reader that yields the name and bytes of each part.
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Parts leave a task in Arrow batches of about BATCH_BYTES; a part larger than that is a batch of its own.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
-            for key, content in zip(batch["key"], batch["content"], strict=True):
-                position = 0
+            for key, content in zip(batch.column(0), batch.column(1), strict=True):
+                position, own = 0, key.as_py()
                 try:
-                    for name, data in parts(bytes(content)):
-                        yield pd.DataFrame({"key": [key], "part": [name], "position": [position], "content": [data], "error": [None]})
-                        position += 1
+                    for name, data in parts(content.as_py() or b""):
+                        rows.append((own, name, position, data, None))
+                        position, held = position + 1, held + len(data)
+                        if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(TYPES)], NAMES)
+                            rows, held = [], 0
                 except Exception as error:  # noqa: BLE001  any damage of a file is that file's result
-                    yield pd.DataFrame({"key": [key], "part": [None], "position": [position], "content": [None], "error": [f"{type(error).__name__}: {error}"]})
+                    rows.append((own, None, position, None, f"{type(error).__name__}: {error}"))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(TYPES)], NAMES)
 
-    return files.select("key", "content").mapInPandas(run, PART)
+    return files.select("key", F.col("content").cast("binary").alias("content")).mapInArrow(run, PART)
 
 
 def zip_members(content: bytes) -> Parts:
@@ -71,7 +85,10 @@ def members(files: DataFrame) -> DataFrame:
 
 
 def all_members(files: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(root_key, key, content, depth, error) of files and of what is in them, archives in archives included."""
+    """(root_key, key, content, depth, error) of files and of what is in them, archives in archives included.
+
+    Archives below the deepest level are rows with an error, so that their root is known not to be whole.
+    """
     level = files.select(F.col("key").alias("root_key"), "key", "content", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("error"))
     found = level
     for n in range(1, depth + 1):
@@ -80,6 +97,10 @@ def all_members(files: DataFrame, depth: int = DEPTH) -> DataFrame:
         level = settle(members(zips.select("key", "content")).join(roots, "archive").select("root_key", "key", "content", F.lit(n).alias("depth"), "error"))
         if level.isEmpty():
             break
+        if n == depth:
+            deep = paths.is_zip(F.col("key")) & F.col("content").isNotNull()
+            level = level.withColumn("error", F.when(deep, f"ValueError: archives nest deeper than {depth} levels").otherwise(F.col("error")))
+            level = level.withColumn("content", F.when(~deep, F.col("content")))
         found = found.unionByName(level)
     return found
 
@@ -148,10 +169,14 @@ ICON_WIDTHS = {"icp4": 16, "icp5": 32, "icp6": 64, "ic07": 128, "ic08": 256, "ic
 
 
 def largest_icons(files: DataFrame) -> DataFrame:
-    """The largest image of each icon file by nominal width, then bytes; the first of equal ones."""
+    """(key, part, content, error): the largest image of each icon file by nominal width, then bytes; the first of equal
+    ones. Files that cannot be read, or hold no image that can be copied, have an error."""
     width = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ICON_WIDTHS.items() for x in kv]), F.col("part")), F.lit(0))
     found = expand(files, icon_images)
-    return found.where(F.col("error").isNull()).groupBy("key").agg(F.max_by("part", F.struct(width.alias("w"), F.octet_length("content").alias("n"), (-F.col("position")).alias("p"))).alias("part"))
+    rank = F.when(F.col("error").isNull(), F.struct(width.alias("w"), F.octet_length("content").alias("n"), (-F.col("position")).alias("p")))
+    best = found.groupBy("key").agg(F.max_by(F.struct("part", "content"), rank).alias("best"), F.max("error").alias("error"))
+    error = F.coalesce("error", F.when(F.col("best").isNull(), "ValueError: holds no PNG or JPEG 2000 image"))
+    return files.select("key").distinct().join(best, "key", "left").select("key", "best.part", "best.content", error.alias("error"))
 
 
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"

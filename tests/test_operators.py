@@ -247,6 +247,71 @@ def test_deduplicate_job(spark):
     assert {r.key for r in out["checkpoint"].collect()} == {"2024-01-01-x.txt", "y.txt", "z.zip", "._r"}
 
 
+@pytest.mark.parametrize("kind", ["xls", "procreate", "procreate-2", "icns", "pdf"])
+def test_no_kind_is_delivered_without_a_reader(spark, kind):
+    from siftline.functions import kinds
+
+    endings = next(k[1] for k in kinds.KINDS if k[0] == kind)
+    ending = endings if kind == "procreate-2" else endings.split(" ")[0]
+    out = pipelines.transform(files(spark, **{f"a/b.{ending}": b"bytes"}), spark.createDataFrame([], "name string"), kind, "src")
+    assert out["outputs"].count() == (kind == "pdf") and rows(out["outcomes"], "outcome") == [("copied" if kind == "pdf" else "failed",)]
+
+
+def test_icons_are_read(spark):
+    entry = lambda kind, data: kind + (len(data) + 8).to_bytes(4, "big") + data
+    icon = entry(b"icns", entry(b"ic07", b"\x89PNGsmall") + entry(b"ic09", b"\x89PNGbig"))
+    out = pipelines.transform(files(spark, **{"i.icns": icon}), spark.createDataFrame([], "name string"), "icns", "src")
+    assert bytes(out["outputs"].first().content) == b"\x89PNGbig" and out["outcomes"].first().outcome == "transcoded"
+
+
+def test_archives_beyond_the_deepest_level_fail(spark):
+    data = b"deep"
+    for k in range(11):
+        data = zip_of(**{f"m{k}.zip" if k else "note.txt": data})
+    tasks = spark.createDataFrame([("a", "r.zip", len(data), bytearray(data))], "bucket_alias string, key string, size long, content binary")
+    out = pipelines.deduplicate(tasks, spark.createDataFrame([], "bucket_alias string, key string"))
+    assert out["failures"].count() == 1 and "deeper than 10" in out["failures"].first().error and out["checkpoint"].count() == 0
+    assert out["placed"].count() == 0
+
+
+def test_large_calendars_fail_with_their_size(spark, monkeypatch):
+    from siftline.sources import vobject
+
+    monkeypatch.setattr(vobject, "MOST_BYTES", 20)
+    out = pipelines.transform(files(spark, **{"c.ics": MEETING.encode()}), spark.createDataFrame([], "name string"), "ics", "src")
+    assert "is larger than" in out["outcomes"].first().error
+
+
+def test_exact_names_equal_the_loop(spark):
+    import random
+
+    r = random.Random(5)
+    names = [r.choice(["a.txt", "a-2.txt", "a-2-2.txt", "a-3.txt", "b", "b-2", "c-7.md", "c.md", "d.x", "a-02.txt"]) for _ in range(300)]
+    data = [(f"{r.randrange(10**6):06d}/{n}", "b") for n in names]
+    taken, want = set(), {}
+    for key, _ in sorted(data):
+        name = key.split("/")[1]
+        stem, dot, end = name.rpartition(".") if "." in name else (name, "", "")
+        n, choice = 1, name
+        while (end, choice) in taken:
+            n += 1
+            choice = f"{stem}-{n}{dot}{end}"
+        taken.add((end, choice))
+        want[key] = f"{end or '(none)'}/{choice}"
+    got = {x.original_key: x.placed for x in dedup.exact_names(spark.createDataFrame(data, "original_key string, bucket_alias string")).collect()}
+    assert got == want
+
+
+def test_many_equal_names_take_seconds(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    many = spark.range(100_000).select(F.concat(F.format_string("%06d", "id"), F.when(F.col("id") == 5, "/image-3.jpg").otherwise("/image.jpg")).alias("original_key"), F.lit("b").alias("bucket_alias"))
+    began = time.time()
+    assert dedup.exact_names(many).select("placed").distinct().count() == 100_000 and time.time() - began < 60
+
+
 def test_transform_job(spark):
     nothing = spark.createDataFrame([], "name string")
     notes = files(spark, **{"a/n.md": FRONT_NOTE.encode(), "b/m.md": b"plain", "._x.md": b"r", "q.txt": b"other"})

@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 from siftline.llm import blocks, language, pieces, rules
 from siftline.llm.common import Memo
@@ -244,3 +246,61 @@ def test_texts_in_unlearned_scripts_are_rejected(spark, langs):
     strange = [(-1, "ภาษาไทยเป็นภาษาราชการ " * 20, None), (-2, "यह हिन्दी में लिखा है " * 20, None), (-3, "η ελληνική γλώσσα " * 20 + "ok", None)]
     kept = {r.doc_id for r in language.accepted(spark.createDataFrame([*few, *strange], "doc_id long, text string, lang string")).collect()}
     assert kept == {r[0] for r in few if re.search("[A-Za-z]", r[1])}
+
+
+def plain_units(text):
+    """Letters of each word, cut where the script changes and every LONGEST letters of a script."""
+    found = []
+    for word in (text or "").encode().split():
+        stem = regex.sub(r"[^\p{L}]+", "", word.decode()).lower()
+        runs = []
+        for c in stem:
+            script = int(language.SCRIPT_OF[ord(c)])
+            if runs and runs[-1][0] == script and len(runs[-1][1]) < language.LONGEST:
+                runs[-1][1].append(c)
+            else:
+                runs.append((script, [c]))
+        found += ["".join(r) for _, r in runs] or [""]
+    return found
+
+
+def plain_prediction(model, text):
+    """lang_pred and score by loops over letters, units and languages, with Viterbi's steps one by one."""
+    mask, one, two, three = (1 << 64) - 1, int(language.ONE), int(language.TWO), int(language.THREE)
+    slot = lambda h: (((h ^ (h >> 29)) * two & mask) >> 48) % language.SLOTS
+    langs, units, table = model["langs"], plain_units(text), []
+    for unit in units:
+        c = [32, *map(ord, unit), 32]
+        slots = [slot(x * one & mask) for x in c[1:-1]]
+        slots += [slot(((a * one + b) * three + 2) & mask) for a, b in zip(c, c[1:], strict=False)] if unit else []
+        slots += [slot((((a * one + b) * three + x) * one + 3) & mask) for a, b, x in zip(c, c[1:], c[2:], strict=False)] if unit else []
+        fits = model["scripts"][language.SCRIPT_OF[c[1]]]
+        sums = {k: float(sum(float(model["weights"][s, k]) for s in slots)) / language.GRAM for k in range(len(langs)) if fits[k]}
+        best = max(sums.values(), default=0.0)
+        table.append([max(sums[k] - best, language.FLOOR) if k in sums else language.FLOOR if sums else 0.0 for k in range(len(langs))] if unit else [0.0] * len(langs))
+    if not any(units):
+        return "und", 0.0
+    total, came = table[0], []
+    for row in table[1:]:
+        top = max(range(len(langs)), key=lambda k: total[k])
+        came.append([k if total[k] >= total[top] - language.PENALTY else top for k in range(len(langs))])
+        total = [total[b] - language.PENALTY * (b != k) + x for k, (b, x) in enumerate(zip(came[-1], row, strict=True))]
+    at = max(range(len(langs)), key=lambda k: total[k])
+    letters = [0] * len(langs)
+    for unit, back in zip(reversed(units), [*reversed(came), None], strict=True):
+        letters[at] += len(unit)
+        at = back[at] if back else at
+    sums = np.sum(table, axis=0)
+    best = int(np.argmax(letters))
+    return langs[best], letters[best] / sum(letters) * float(1 / np.exp(sums - sums.max()).sum())
+
+
+def test_language_equals_plain_loops(spark, messy, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    for rows in (docs, messy.where("length(text) < 20000 or text is null").select("doc_id", "text", "lang")):
+        found = language.predict(rows, model).collect()
+        assert found
+        for r in found:
+            lang, score = plain_prediction(model, r.text)
+            assert r.lang_pred == lang and r.score == pytest.approx(score, abs=2e-3), r.doc_id

@@ -203,3 +203,34 @@ def is_truncated(before: Column, after: Column) -> Column:
 
 def is_stale(on_disk: Column, current: Column) -> Column:
     return on_disk.isNotNull() & (on_disk != current)
+
+
+#: Elements that draw, beginnings of files in hexadecimal.
+DRAWING = ["path", "image", "text", "polygon", "polyline", "circle", "ellipse", "line"]
+HEADERS = {"504B0304": "zip", "69636E73": "icns", "89504E47": "png", "0000000C6A502020": "jp2"}
+#: How TLS libraries say that a server spoke in plain text.
+PLAINTEXT = ["record overflow", "wrong version number"]
+
+
+def draws_something(svg: Column) -> Column:
+    """Does an SVG draw anything outside its definitions, other than the boxes that exporters put around shapes?"""
+    body = F.regexp_replace(svg, r"(?s)<defs(?:[^>]*/>|.*?</defs>|.*$)", "")
+    end = r"(?=[\s\p{Z}\x85/>]|$)"
+    return body.rlike(f"<(?:{'|'.join(DRAWING)}){end}") | body.rlike(f'<rect{end}(?![^>]*class="BoundingBox")')
+
+
+def header_kind(content: Column) -> Column:
+    """What a file is by its first bytes: zip, icns, png or jp2, else null."""
+    start = F.hex(F.substring(content, 1, 8))
+    return F.coalesce(*[F.when(F.startswith(start, F.lit(h)), F.lit(kind)) for h, kind in HEADERS.items()])
+
+
+def tls_hint(error: Column) -> Column:
+    """What to try where a TLS handshake met plain text; null for other errors."""
+    return F.when(contains_any(ascii_lower(error), PLAINTEXT), F.lit("the server answered in plain text: try security=starttls"))
+
+
+def lacks_starttls(greeting: Column) -> Column:
+    """Does a greeting list what the server can do, and not STARTTLS? A greeting without a list proves nothing."""
+    listed = F.regexp_extract(greeting, r"(?i)^\* [A-Z]+ \[CAPABILITY ([^\]]*)\]", 1)
+    return (listed != "") & ~F.array_contains(F.split(F.upper(listed), " +"), "STARTTLS")

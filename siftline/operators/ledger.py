@@ -32,7 +32,12 @@ def parse(text: DataFrame) -> DataFrame:
 
 
 def serialize(ledger: DataFrame) -> DataFrame:
-    return ledger.orderBy(*KEY).select(F.concat_ws("\t", "mailbox", F.col("uidvalidity").cast("string"), F.col("uid").cast("string"), "ingested_at").alias("value"))
+    return line(ledger.orderBy(*KEY))
+
+
+def line(ledger: DataFrame) -> DataFrame:
+    """Rows as lines, in the order they have."""
+    return ledger.select(F.concat_ws("\t", "mailbox", F.col("uidvalidity").cast("string"), F.col("uid").cast("string"), "ingested_at").alias("value"))
 
 
 def missing(server: DataFrame, ledger: DataFrame) -> DataFrame:

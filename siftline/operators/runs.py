@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,39 @@ def schedule(requests: DataFrame, per_minute: int = 120, lane: str = "lane") ->
     return requests.withColumn("spent", spent).withColumn("start", F.col("spent") + F.max(F.col("at") - F.col("spent")).over(upto)).drop("spent")
 
 
+#: Fixed value: how often a batch that failed is tried again.
+ATTEMPTS = 3
+
+
+def retry_wait(attempt: Column, backoff: float) -> Column:
+    """Seconds before an attempt, counted from 0: the wait grows by one back-off each time."""
+    return attempt * F.lit(backoff)
+
+
+def in_rounds(batches: DataFrame, attempt: Callable[[DataFrame], DataFrame], attempts: int = ATTEMPTS) -> DataFrame:
+    """batches with `tried` (how often before the last time) and `failed_step` (null: it worked in the end).
+
+    attempt takes rows with `tried` and returns them with `failed_step`. What fails is put behind all that waits, so
+    the work goes in rounds; each round is written down, and none is repeated when an executor is lost.
+    """
+    from ..session import settle
+
+    waiting, finished = batches, []
+    for tried in range(attempts + 1):
+        done = settle(attempt(waiting.withColumn("tried", F.lit(tried))), "round")
+        if tried == attempts:
+            finished.append(done)
+            break
+        finished.append(done.where("failed_step is null"))
+        waiting = done.where("failed_step is not null").drop("failed_step")
+        if waiting.isEmpty():
+            break
+    every = finished[0]
+    for more in finished[1:]:
+        every = every.unionByName(more)
+    return every
+
+
 def within_budget(members: DataFrame, times: int = EXPANSION) -> DataFrame:
     """Archive members (archive, position, size, zip_size) with `kept`: dropped once the running total of sizes, those
     of dropped members included, is beyond the archive's budget; empty members always pass."""

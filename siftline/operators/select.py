@@ -21,6 +21,16 @@ def needing_pull(keys: DataFrame, complete: DataFrame) -> DataFrame:
     return keys.join(done, "grp", "left").withColumn("skip_reason", skip_reason(F.col("done").isNotNull())).drop("done")
 
 
+def dispatch(arrivals: DataFrame, complete: DataFrame) -> DataFrame:
+    """arrivals (key, grp, position) with `outcome`: a skip reason, already_dispatched behind the key's first arrival, or
+    queued. Every source may report a key, so it can arrive many times; positions of one key differ."""
+    first = arrivals.groupBy("key").agg(F.min("position").alias("first"))
+    done = complete.select("grp").distinct().withColumn("done", F.lit(True))
+    seen = arrivals.join(first, "key").join(done, "grp", "left")
+    later = F.when(F.col("position") != F.col("first"), "already_dispatched").otherwise("queued")
+    return seen.withColumn("outcome", F.coalesce(skip_reason(F.col("done").isNotNull()), later)).drop("first", "done")
+
+
 def group_states(names: DataFrame) -> DataFrame:
     """(grp, complete) from destination names: an output without a marker completes its group; otherwise all markers
     must agree on the total and each of its indices must be there."""

@@ -237,10 +237,13 @@ def remote_target_parse(spark, sf_dir):
 
 
 @query("sized_names", f"""with {OBJECTS}
-select key, case when size < 1024 then size::varchar || ' B' else printf('%.1f KB', size / 1024.0) end as size_text,
-regexp_replace(key, '[/\\\\:]', '-', 'g') as log_name from objects""")
+select key, case when b < 1024 then b::varchar || ' B' when b < 1024 ** 2 then printf('%.1f KB', b / 1024.0) when b < 1024 ** 3 then printf('%.1f MB', b / 1024.0 ** 2)
+when b < 1024 ** 4 then printf('%.1f GB', b / 1024.0 ** 3) else printf('%.1f TB', b / 1024.0 ** 4) end as size_text,
+regexp_replace(key, '[/\\\\:]', '-', 'g') as log_name from (select key, size * (1024 ** (doc_id % 5))::bigint as b from objects)""")
 def sized_names(spark, sf_dir):
-    return objects(spark, sf_dir).select("key", text.format_bytes(F.col("size")).alias("size_text"), paths.flat_log_name(F.col("key")).alias("log_name"))
+    """Sizes of documents, taken for bytes, KB, MB, GB or TB."""
+    size = F.col("size") * F.pow(F.lit(1024), F.col("doc_id") % 5).cast("bigint")
+    return objects(spark, sf_dir).select("key", text.format_bytes(size).alias("size_text"), paths.flat_log_name(F.col("key")).alias("log_name"))
 
 
 @query("largest_in_group", f"with {OBJECTS} select bucket_alias, max_by(key, [size, -doc_id]) as key, max(size) as size, count(*) as n from objects group by 1")

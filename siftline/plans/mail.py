@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import ledger, runs
+from ..session import shared_folder
+from ..sources import bodystructure
+from . import pipelines
 from .registry import query
 from .views import MAIL, events, ingested, server, table
 
@@ -85,14 +88,14 @@ def attachment_cap(spark, sf_dir):
 
 
 BOXES = """
-boxes as (select n_name as mailbox, lower(replace(substr(n_name, 1, 3), ' ', '-')) as relpath, n_nationkey::bigint as uidvalidity from nation),
-listing as (select lower(replace(substr(n_name, 1, 3), ' ', '-')) as relpath, event_id as uid, event_id % 9 <> 0 as is_message from events join nation on n_nationkey = user_id % 25),
+boxes as (select n_name as mailbox, lower(substr(n_name, 8, 1)) as relpath, n_nationkey::bigint as uidvalidity from nation),
+listing as (select lower(substr(n_name, 8, 1)) as relpath, event_id as uid, event_id % 9 <> 0 as is_message from events join nation on n_nationkey = user_id % 25),
 owned as (select relpath, count(*) as owners, min(mailbox) as mailbox, min(uidvalidity) as uidvalidity from boxes group by 1)"""
 
 
 def seeded(spark, sf_dir):
     nation = table(spark, sf_dir, "nation")
-    rel = F.lower(F.replace(F.substring("n_name", 1, 3), F.lit(" "), F.lit("-")))
+    rel = F.lower(F.substring("n_name", 8, 1))
     boxes = nation.select(F.col("n_name").alias("mailbox"), rel.alias("relpath"), F.col("n_nationkey").cast("bigint").alias("uidvalidity"))
     e = events(spark, sf_dir).join(nation, F.col("n_nationkey") == F.col("user_id") % 25)
     end = F.when(F.col("event_id") % 9 != 0, ".eml").otherwise("/attachments/a.pdf")
@@ -166,3 +169,44 @@ def provider_detect(spark, sf_dir):
     email = F.when(k == 0, "a@gmail.com").when(k == 1, "b@FastMail.fm").when(k == 2, "c@me.com").when(k == 3, "d@icloud.com").otherwise(F.concat(F.lit("e@"), host))
     p = table(spark, sf_dir, "pages").select("page_id", email.alias("email"))
     return p.select("page_id", "email", kinds.provider(F.col("email")).alias("provider")).withColumn("host", kinds.provider_host(F.col("provider")))
+
+
+@query("tls_hints", """with e as (select page_id, 'handshake with ' || url || case page_id % 3 when 0 then ': Wrong Version Number' when 1 then ': record OVERFLOW' else ': timeout' end as error,
+case page_id % 4 when 0 then '* OK [CAPABILITY IMAP4rev1 STARTTLS] ready' when 1 then '* OK [capability IMAP4rev1 IDLE] ready' when 2 then '* OK ready' else '* OK [CAPABILITY IMAP4rev1  starttls]' end as greeting from pages)
+select page_id, error like '%Wrong Version Number' or error like '%record OVERFLOW' as hinted, page_id % 4 = 1 as lacks_starttls from e""")
+def tls_hints(spark, sf_dir):
+    k = F.col("page_id")
+    error = F.concat(F.lit("handshake with "), "url", F.when(k % 3 == 0, ": Wrong Version Number").when(k % 3 == 1, ": record OVERFLOW").otherwise(": timeout"))
+    greeting = F.when(k % 4 == 0, "* OK [CAPABILITY IMAP4rev1 STARTTLS] ready").when(k % 4 == 1, "* OK [capability IMAP4rev1 IDLE] ready").when(k % 4 == 2, "* OK ready").otherwise("* OK [CAPABILITY IMAP4rev1  starttls]")
+    return table(spark, sf_dir, "pages").select("page_id", text.tls_hint(error).isNotNull().alias("hinted"), text.lacks_starttls(greeting).alias("lacks_starttls"))
+
+
+PLAIN = '("TEXT" "PLAIN" ("CHARSET" "utf-8") NIL NIL "7BIT" 10 1 NIL NIL NIL)'
+ATTACHED = '("APPLICATION" "PDF" NIL NIL NIL "BASE64" 10 NIL ("ATTACHMENT" ("FILENAME" "a (1) \\"x\\".pdf")) NIL)'
+NAMED = '("IMAGE" "PNG" ("NAME" "x.png") NIL NIL "BASE64" 10)'
+INNER = f'("MESSAGE" "RFC822" NIL NIL NIL "7BIT" 99 (NIL NIL NIL NIL NIL NIL NIL NIL NIL NIL) {ATTACHED} 3 NIL ("inline" NIL))'
+
+
+@query("attachment_counts", """select source as mailbox, count(*) as messages, sum(case when doc_id % 13 = 0 or doc_id % 11 = 0 then 0 else doc_id % 4 + case when doc_id % 3 = 0 then 2 else 0 end end)::bigint as attachments,
+count(*) filter (doc_id % 11 = 0 and doc_id % 13 <> 0) as unparsed from documents group by source""")
+def attachment_counts(spark, sf_dir):
+    """Documents as messages with parts in parts; some structures are damaged, some are missing."""
+    d = table(spark, sf_dir, "documents")
+    related = F.when(F.col("doc_id") % 3 == 0, f'({NAMED}{NAMED} "MIXED")').otherwise("")
+    whole = F.concat(F.lit(f"({PLAIN}"), F.repeat(F.lit(ATTACHED), (F.col("doc_id") % 4).cast("int")), related, F.lit(f'{INNER} "MIXED" ("BOUNDARY" "b"))'))
+    cut = F.when(F.col("doc_id") % 11 == 0, F.expr("left(s, length(s) - 1)")).otherwise(F.col("s"))
+    rows = d.select(F.col("source").alias("mailbox"), "doc_id", whole.alias("s")).select("mailbox", F.when(F.col("doc_id") % 13 != 0, cut).alias("structure"))
+    return bodystructure.by_mailbox(rows)
+
+
+@query("import_delivery", """select coalesce(lang, 'none') as mailbox, 1::bigint as uidvalidity, doc_id as uid, '2024-01-01T00:00:00Z' as ingested_at, strlen('Subject: x' || chr(10) || chr(10) || coalesce(text, ''))::bigint as bytes
+from documents where doc_id % 3 <> 0""")
+def import_delivery(spark, sf_dir):
+    """Documents as messages: what the ledger says after an import, with the sizes of the objects that were written."""
+    body = F.encode(F.concat(F.lit("Subject: x\n\n"), F.coalesce("text", F.lit(""))), "UTF-8")
+    mail = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("mailbox"), F.lit(1).cast("bigint").alias("uidvalidity"), F.col("doc_id").alias("uid"), body.alias("content"))
+    known = mail.where(F.col("uid") % 3 == 0).select(*ledger.KEY, F.lit("2023").alias("ingested_at"))
+    folder = shared_folder(spark, "import")
+    done = pipelines.deliver(mail, known, "me", "2024-01-01T00:00:00Z", f"file://{folder}/objects" if folder.startswith("/") else f"{folder}/objects", f"{folder}/ledger")
+    there = done.where("outcome = 'written'").select(F.regexp_extract("key", r"/([0-9]+)\.eml$", 1).try_cast("bigint").alias("uid"), "bytes")
+    return ledger.parse(spark.read.text(f"{folder}/ledger")).join(there, "uid").select(*ledger.KEY, "ingested_at", "bytes")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kinds, paths, text
-from ..operators import dedup, ledger, runs, select
+from ..operators import dedup, ledger, reports, runs, select
 from ..session import settle
-from ..sources import archives, vobject
+from ..sources import archives, bodystructure, sinks, vobject
 
 
 def deduplicate(files: DataFrame, checkpoint: DataFrame, index: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -70,7 +70,10 @@ def transform(files: DataFrame, destination: DataFrame, kind: str, source: str)
     elif not tool:
         parts = single(pulled).withColumn("content", F.lit(None).cast("binary")).withColumn("error", F.lit(f"no reader for {kind} files is here"))
     else:
-        parts = single(pulled).withColumn("content", F.lit(None).cast("binary")).withColumn("error", F.lit(f"needs {tool}, which is not here"))
+        needs = F.lit(f"needs {tool}, which is not here")
+        if kind == "key":  # often the ending of a private key
+            needs = F.when(F.coalesce(text.header_kind(F.col("content")) != "zip", F.lit(True)), "is not a Keynote presentation: it does not begin as a zip container").otherwise(needs)
+        parts = single(pulled).withColumn("error", needs).withColumn("content", F.lit(None).cast("binary"))
     parts = settle(parts)
     sheets = select.sheet_names(parts.where("part is not null").select("key", "grp", "content", F.split_part("part", F.lit(":"), F.lit(1)).cast("int").alias("position"), F.regexp_replace("part", "^[0-9]+:", "").alias("title")), output)
     plain = parts.where("part is null and error is null").select("key", F.concat("grp", F.lit(f".{output}")).alias("name"), "content")
@@ -82,7 +85,10 @@ def transform(files: DataFrame, destination: DataFrame, kind: str, source: str)
 
 
 def email_scan(server: DataFrame, known: DataFrame, previous: DataFrame, at: str) -> DataFrame:
-    """Status of every mailbox and of all: server and known have (mailbox, uidvalidity, uid), server also attachments."""
+    """Status of every mailbox and of all: server and known have (mailbox, uidvalidity, uid), server also
+    attachments or the structure that they are counted from; a structure that cannot be parsed counts as none."""
+    if "structure" in server.columns:
+        server = settle(server.withColumn("attachments", F.coalesce(bodystructure.attachments(F.col("structure")), F.lit(0))).drop("structure"))
     present = server.select("mailbox", "uidvalidity").distinct()
     valid = known.join(present, ["mailbox", "uidvalidity"], "left_semi")
     fresh = ledger.missing(server, valid).groupBy("mailbox").agg(ledger.sum_or_unknown(F.col("attachments")).alias("new_attachments"))
@@ -100,3 +106,30 @@ def email_import(messages: DataFrame, known: DataFrame, identity: str, at: str,
     batched = ledger.batches(new.select("mailbox", "uid"), batch_size)
     requests = batched.select(F.lit(identity).alias("lane"), F.struct("mailbox", "batch").alias("i"), F.lit(0.0).alias("at"), F.size("uids").alias("n"), "mailbox", "batch")
     return {"objects": raw.unionByName(attached), "ledger": ledger.merge(known, new.select(*ledger.KEY, F.lit(at).alias("ingested_at"))), "schedule": runs.schedule(requests, per_minute).select("mailbox", "batch", "start")}
+
+
+def deliver(messages: DataFrame, known: DataFrame, identity: str, at: str, root: str, ledger_path: str) -> DataFrame:
+    """Imports messages and writes down those that arrived: (key, bytes, outcome) of the objects.
+
+    A message enters the ledger only after it and all its attachments are there; objects are written whole or not at
+    all, and again under the same names by a later run if this one ends before the ledger does.
+    """
+    new = settle(ledger.missing(messages, known))
+    done = sinks.put(email_import(new, known, identity, at)["objects"], root, existing="overwrite")
+    message = lambda key: F.regexp_replace(key, r"(?s)(/attachments/.*|\.eml)$", "")
+    broken = done.where(F.startswith("outcome", F.lit("failed"))).select(message(F.col("key")).alias("message")).distinct()
+    name = message(paths.message_key(F.lit(identity), paths.sanitize_mailbox(F.col("mailbox"), "/"), F.col("uid")))
+    arrived = new.withColumn("message", name).join(broken, "message", "left_anti").select(*ledger.KEY, F.lit(at).alias("ingested_at"))
+    ledger.line(arrived).write.mode("append").text(ledger_path)
+    return done
+
+
+def report(result: dict[str, DataFrame], job: str, root: str, prefix: str) -> dict[str, str]:
+    """Writes the report of deduplicate() or transform() under the run's folder; what could not be written, by name."""
+    if "merged" in result:
+        lines = reports.dedup_lines(result["merged"], result["failures"])
+    elif "outcomes" in result:
+        lines = reports.transform_lines(result["outcomes"], result["outputs"], result.get("collisions"))
+    else:
+        raise ValueError(f"{job} has no report of its own: write reports.summary_lines")
+    return reports.publish({f"{job}-report": lines}, root, prefix)

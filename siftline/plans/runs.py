@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import runs
+from ..functions import paths, text
+from ..operators import dedup, reports, runs, select
+from ..session import shared_folder
 from .registry import query
-from .views import LOG, OUTCOMES, events, log, outcomes, table
+from .files import KEPT
+from .views import BASE, EXTENSION, LOG, OBJECTS, OUTCOMES, events, log, objects, outcomes, table
 
 STAGES = ["pull", "transcode", "place", "push"]
 COUNTS = ", ".join(f"count(*) filter (outcome = 'failed' and stage = '{s}') as failed_{s}" for s in STAGES)
@@ -41,10 +43,25 @@ def circuit_breaker(spark, sf_dir):
     return runs.breaker(outcomes(spark, sf_dir))
 
 
-@query("error_classes", f"""with {OUTCOMES} select position, coalesce(regexp_matches(error, 'dial tcp|i/o timeout'), false) as unreachable, coalesce(error like '%moov atom not found%', false) as not_retryable from outcomes""")
+MESSAGES = ["lookup x: no such host", "Too Many Requests, THROTTLED", "a.vcf is not a vCard file", "Unknown encoder", "over quota; moov atom not found", "No Such Host", "done"]
+
+
+def any_of(parts: list[str], value: str = "error") -> str:
+    return " or ".join(f"contains({value}, {sql_text(p)})" for p in parts)
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+@query("error_classes", f"""with {OUTCOMES}, e as (select position, coalesce(error, '') || ' ' || [{', '.join(map(sql_text, MESSAGES))}][position % 7 + 1] as error from outcomes)
+select position, {any_of(text.UNREACHABLE)} as unreachable, {any_of(text.OVERLOADED, 'lower(error)')} as overloaded, {any_of(text.WRONG_KIND)} as wrong_kind, {any_of(text.NOT_RETRYABLE)} as not_retryable from e""")
 def error_classes(spark, sf_dir):
-    error = F.coalesce("error", F.lit(""))
-    return outcomes(spark, sf_dir).select("position", text.is_unreachable(error).alias("unreachable"), text.is_not_retryable(error).alias("not_retryable"))
+    """Errors of completions, each with a second message behind it, by the four classes."""
+    second = F.element_at(F.array(*map(F.lit, MESSAGES)), (F.col("position") % 7 + 1).cast("int"))
+    e = outcomes(spark, sf_dir).select("position", F.concat(F.coalesce("error", F.lit("")), F.lit(" "), second).alias("error"))
+    classes = {"unreachable": text.is_unreachable, "overloaded": text.is_overloaded, "wrong_kind": text.is_wrong_kind, "not_retryable": text.is_not_retryable}
+    return e.select("position", *[f(F.col("error")).alias(n) for n, f in classes.items()])
 
 
 @query("counter_deltas", f"""with {LOG},
@@ -105,3 +122,87 @@ def truncation_guard(spark, sf_dir):
 def resource_sums(spark, sf_dir):
     tick = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 600)
     return events(spark, sf_dir).groupBy((F.col("user_id") % 10).alias("pid"), tick.alias("tick")).agg(F.sum(F.col("event_id") % 100).alias("cpu"), F.count("*").alias("samples"))
+
+
+REMOVED = f"""with {OBJECTS}, {KEPT}, broken as (select * from objects where doc_id % 97 = 0),
+k as (select *, {EXTENSION.replace('key', 'kept_key')} || '/' || {BASE.replace('key', 'kept_key')} as kept_path from ranked where rn > 1)"""
+
+
+@query("dedup_report_lines", f"""{REMOVED}
+select {sql_text(chr(9).join(reports.DEDUP_HEAD))} as line
+union all select concat_ws(chr(9), key, content_hash, kept_path, kept_key, coalesce(bucket_alias, ''), coalesce(kept_bucket, '')) from k
+union all select count(*)::varchar || ' duplicate(s) removed.' from k
+union all select count(*)::varchar || ' archive(s) need manual attention:' from broken
+union all select key || chr(9) || 'BadZipFile' from broken""")
+def dedup_report_lines(spark, sf_dir):
+    """The report of a deduplication, written under a run's folder and read from there."""
+    files = objects(spark, sf_dir)
+    records = dedup.merge_records(dedup.keep_first(files.withColumn("extension", paths.extension_of(F.col("key")))))
+    failures = files.where(F.col("doc_id") % 97 == 0).select("key", F.lit("BadZipFile").alias("error"))
+    root = shared_folder(spark, "reports")
+    reports.publish({"deduplicate-report": reports.dedup_lines(records, failures)}, root, "run")
+    return spark.read.text(f"{root}/run/deduplicate-report").withColumnRenamed("value", "line")
+
+
+SKIPPED = "case when skipped then ['already_done', 'apple_double', 'lock_stub', 'email_shaped'][position % 4 + 1] end"
+TOLD = f"""with {OUTCOMES}, o as (select 'k-' || position::varchar as key, case when skipped then 'skipped' else outcome end as outcome, stage, error, {SKIPPED} as skip_reason from outcomes),
+w as (select *, case when outcome = 'transcoded' then 2 when outcome = 'copied' then 1 else 0 end as n from o)"""
+
+
+def counts(column: str, values: list[str], where: str = "true") -> str:
+    return " || ', ' || ".join(f"count(*) filter ({where} and {column} = '{v}')::varchar || ' {v}'" for v in values)
+
+
+@query("transform_report_lines", f"""{TOLD}
+select {sql_text(chr(9).join(reports.TRANSFORM_HEAD))} as line
+union all select concat_ws(chr(9), key, outcome, coalesce(stage, ''), case n when 2 then key || '-a.csv,' || key || '-b.csv' when 1 then key || '-a.csv' else '' end, coalesce(error, '')) from w where outcome <> 'skipped'
+union all select {counts('outcome', ['transcoded', 'copied', 'failed'])} || '.' from w
+union all select sum(n)::bigint::varchar || ' output file(s).' from w
+union all select 'failures by stage: ' || {counts('stage', reports.STAGES, "outcome = 'failed'")} || '.' from w
+union all select 'skipped: ' || {counts('skip_reason', reports.SKIPS)} || '.' from w""")
+def transform_report_lines(spark, sf_dir):
+    """The report of a conversion, written under a run's folder and read from there."""
+    reason = F.element_at(F.array(*[F.lit(s) for s in ("already_done", "apple_double", "lock_stub", "email_shaped")]), (F.col("position") % 4 + 1).cast("int"))
+    o = outcomes(spark, sf_dir).select(F.concat(F.lit("k-"), F.col("position").cast("string")).alias("key"), F.when(F.col("skipped"), "skipped").otherwise(F.col("outcome")).alias("outcome"), "stage", "error", F.when(F.col("skipped"), reason).alias("skip_reason"))
+    ends = F.when(F.col("outcome") == "transcoded", F.array(F.lit("-b.csv"), F.lit("-a.csv"))).when(F.col("outcome") == "copied", F.array(F.lit("-a.csv")))
+    outputs = o.select("key", F.explode(ends).alias("end")).select("key", F.concat("key", "end").alias("name"))
+    root = shared_folder(spark, "reports")
+    reports.publish({"transform-report": reports.transform_lines(o, outputs)}, root, "run")
+    return spark.read.text(f"{root}/run/transform-report").withColumnRenamed("value", "line")
+
+
+@query("run_summary_lines", f"with {OUTCOMES} select '{{\"job\":\"' || job || '\",\"failed\":' || count(*) filter (outcome = 'failed')::varchar || ',\"first_error\":' || coalesce('\"' || arg_min(error, position) || '\"', 'null') || '}}' as line from outcomes group by job")
+def run_summary_lines(spark, sf_dir):
+    first = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("position")))
+    summary = outcomes(spark, sf_dir).groupBy("job").agg(F.count_if(F.col("outcome") == "failed").alias("failed"), first.alias("first_error"))
+    return reports.summary_lines(summary).select("line")
+
+
+@query("run_prefixes", """select event_id, strftime(ts, '%Y-%m-%d') || '-' || event_type || '-' || printf('%x', epoch_us(ts) * 1000 + event_id) || '-host-' || printf('%x', user_id) as prefix from events""")
+def run_prefixes(spark, sf_dir):
+    nanos = F.unix_micros(F.col("ts").cast("timestamp")) * 1000 + F.col("event_id")
+    run = reports.run_id(nanos, F.lit("host"), F.col("user_id"))
+    return events(spark, sf_dir).select("event_id", reports.run_prefix(F.col("ts"), F.col("event_type"), run).alias("prefix"))
+
+
+ARRIVALS = """a as (select event_id, user_id, case user_id % 10 when 0 then '._' when 1 then '~$' else '' end || user_id::varchar || '.xlsx' as key from events)"""
+
+
+@query("dispatch_outcomes", f"""with {ARRIVALS} select event_id, key, case when user_id % 10 = 0 then 'apple_double' when user_id % 10 = 1 then 'lock_stub' when user_id % 4 = 0 then 'already_done'
+when event_id > min(event_id) over (partition by key) then 'already_dispatched' else 'queued' end as outcome from a""")
+def dispatch_outcomes(spark, sf_dir):
+    """Events as arrivals of files, every fourth of which is complete at the destination."""
+    k = F.col("user_id") % 10
+    start = F.when(k == 0, "d/._").when(k == 1, "d/~$").otherwise("d/")
+    a = events(spark, sf_dir).select("event_id", F.concat(start, F.col("user_id").cast("string"), F.lit(".xlsx")).alias("key"), F.col("user_id").cast("string").alias("grp"), F.col("event_id").alias("position"), "user_id")
+    complete = a.where(F.col("user_id") % 4 == 0).select("grp")
+    return select.dispatch(a, complete).select("event_id", F.substring_index("key", "/", -1).alias("key"), "outcome")
+
+
+@query("requeue_rounds", """select o_orderkey, least(o_orderkey % 7, 3)::int as tried, case when o_orderkey % 7 > 3 then ['fetch', 'push'][o_orderkey % 2 + 1] end as failed_step, 30.0::double * least(o_orderkey % 7, 3) as last_wait from orders""")
+def requeue_rounds(spark, sf_dir):
+    """Orders as batches; each fails as often as its key says."""
+    step = F.when(F.col("o_orderkey") % 2 == 0, "fetch").otherwise("push")
+    attempt = lambda rows: rows.withColumn("failed_step", F.when(F.col("o_orderkey") % 7 > F.col("tried"), step))
+    done = runs.in_rounds(table(spark, sf_dir, "orders").select("o_orderkey"), attempt)
+    return done.select("o_orderkey", "tried", "failed_step", runs.retry_wait(F.col("tried"), 30.0).alias("last_wait"))

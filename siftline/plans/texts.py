@@ -76,3 +76,24 @@ select event_id, case when event_id % 2 = 0 then strftime(date '1899-12-30' + (e
 def serial_dates(spark, sf_dir):
     serial = (F.col("event_id") % 60000) + F.when(F.col("event_id") % 2 == 0, 0.0).otherwise(0.25)
     return table(spark, sf_dir, "events").select("event_id", text.serial_date(serial).alias("rendered"))
+
+
+SHAPES = ['<svg><defs id="d"><path d="x"/></defs><rect class="BoundingBox" x="1"/></svg>', "<svg><defs/><text>x</text></svg>", "<svg><defs><path/><g/>", "<svg><rectangle/><textPath/></svg>", '<svg><rect class="x" y="1"/></svg>', "<svg><defs><path/></defs><defs/><line\n/></svg>"]
+
+
+@query("svg_draws", f"""with s as (select page_id, [{', '.join("'" + s + "'" for s in SHAPES)}][page_id % 6 + 1] || case when page_id % 4 = 0 then html else '' end as svg from pages),
+b as (select page_id, regexp_replace(svg, '(?s)<defs(?:[^>]*/>|.*?</defs>|.*$)', '', 'g') as body from s)
+select page_id, regexp_matches(body, '<(path|image|text|polygon|polyline|circle|ellipse|line)[\\s/>]') or len(list_filter(regexp_extract_all(body, '<rect[\\s/>][^>]*'), lambda r: not contains(r, 'class="BoundingBox"'))) > 0 as draws from b""")
+def svg_draws(spark, sf_dir):
+    """Drawings that draw and drawings that do not, some with a whole page behind them."""
+    shape = F.element_at(F.array(*map(F.lit, SHAPES)), (F.col("page_id") % 6 + 1).cast("int"))
+    svg = F.concat(shape, F.when(F.col("page_id") % 4 == 0, F.col("html")).otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", text.draws_something(svg).alias("draws"))
+
+
+@query("header_kinds", """select doc_id, case doc_id % 6 when 0 then 'zip' when 1 then 'icns' when 2 then 'png' when 3 then 'jp2' end as kind from documents""")
+def header_kinds(spark, sf_dir):
+    """Documents behind the first bytes of other files; every sixth behind half of such a header."""
+    starts = [b"PK\x03\x04", b"icns", b"\x89PNG", b"\x00\x00\x00\x0cjP  ", b"PK\x03", b""]
+    start = F.element_at(F.array(*[F.lit(s) for s in starts]), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.header_kind(F.concat(start, F.coalesce(F.col("text"), F.lit("")).cast("binary"))).alias("kind"))

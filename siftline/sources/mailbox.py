@@ -3,6 +3,7 @@
     spark.dataSource.register(MailboxSource)
     spark.read.format("mailbox").option("host", ...).option("user", ...).option("secret_variable", ...).load()
 
+option("items", "structures") gives the structure of each message as its content, null where the server cannot tell it.
 option("folder") reads a folder of folders of .eml files instead of a server, for tests and for mail that is already
 on disk. Secrets are taken from the environment of the tasks and never from an option.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,6 +20,31 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "mailbox string, uidvalidity long, uid long, content binary"
 
 
+#: Fixed value: messages whose structures are asked for at once.
+STRUCTURES_AT_ONCE = 50
+
+
+def in_halves(fetch: Callable[[list], Iterable[tuple]], items: list, size: int) -> Iterator[tuple]:
+    """What fetch gives for batches of items, as (item, value). A batch that fails is halved until the item that spoils
+    it is alone, which comes with None; a lost connection ends it all, for Spark to try the task again."""
+    import imaplib
+
+    work = [items[k : k + size] for k in range(0, len(items), size)][::-1]
+    while work:
+        batch = work.pop()
+        try:
+            found = list(fetch(batch))
+        except imaplib.IMAP4.abort:
+            raise
+        except imaplib.IMAP4.error:
+            half = len(batch) // 2
+            if half:
+                work += [batch[half:], batch[:half]]
+                continue
+            found = [(batch[0], None)]
+        yield from found
+
+
 class Mailbox(InputPartition):
     def __init__(self, name: str):
         self.name = name
@@ -73,6 +99,11 @@ class ServerReader(DataSourceReader):
         epoch = int((server.response("UIDVALIDITY")[1] or [b"0"])[0] or 0)
         _, found = server.uid("SEARCH", "ALL")
         uids = found[0].split()
+        if self.options.get("items") == "structures":
+            for uid, structure in in_halves(lambda some: structures(server, some), uids, STRUCTURES_AT_ONCE):
+                yield partition.name, epoch, int(uid), structure
+            server.logout()
+            return
         size = int(self.options.get("batch_size", "20"))
         for k in range(0, len(uids), size):
             _, parts = server.uid("FETCH", b",".join(uids[k : k + size]).decode(), "(UID BODY.PEEK[])")
@@ -83,6 +114,23 @@ class ServerReader(DataSourceReader):
         server.logout()
 
 
+def structures(server, uids: list[bytes]) -> Iterator[tuple]:
+    """(uid, structure) of messages; a structure with literals in it comes in several pieces."""
+    import imaplib
+
+    status, parts = server.uid("FETCH", b",".join(uids).decode(), "(UID BODYSTRUCTURE)")
+    if status != "OK":
+        raise imaplib.IMAP4.error(str(parts))
+    whole = b"".join(b"".join((p[0], b"\r\n", p[1])) if isinstance(p, tuple) else (p or b"") + b"\n" for p in parts)
+    starts = [m.start() for m in re.finditer(rb"(?m)^[0-9]+ \((?=UID |BODYSTRUCTURE )", whole)]
+    for start, end in zip(starts, [*starts[1:], len(whole)], strict=True):
+        answer = whole[start:end].strip()
+        uid, body = re.search(rb"UID ([0-9]+)", answer), answer.find(b"BODYSTRUCTURE ")
+        if uid and body >= 0:
+            text = answer[body + len(b"BODYSTRUCTURE ") : -1]
+            yield uid[1], re.sub(rb" UID [0-9]+$", b"", text)
+
+
 class MailboxSource(DataSource):
     @classmethod
     def name(cls) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -147,17 +149,22 @@ def sheet_name(group: Column, index: Column, total: Column, name: Column, extens
     return F.concat(group, F.lit("-"), two_digits(index), F.lit("of"), two_digits(total), F.lit("-"), sheet_slug(name), F.lit(f".{extension}"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often use refers to it, also in lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def candidate_groups(stem: Column) -> Column:
     """All beginnings of a stem that end in "-" and 16 hex digits, at the stem's end or before another "-", with the rest."""
-    # a digest holds no "-", so the pieces between digests are found by one split; the last piece has none after it
+    # a digest holds no "-", so one split finds them all; each is as long as the others
     mark = f"-[0-9a-f]{{{DIGEST_DIGITS}}}(?=-|$)"
-    digests, pieces = F.regexp_extract_all(stem, F.lit(mark), F.lit(0)), F.split(stem, mark, -1)
 
-    def beginning(digest: Column, k: Column) -> Column:
-        before = F.aggregate(F.slice(F.zip_with(F.slice(pieces, F.lit(1), F.size(digests)), digests, lambda p, d: F.concat(p, d)), F.lit(1), k + 1), F.lit(""), lambda a, x: F.concat(a, x))
-        return F.struct(before.alias("grp"), F.substr(stem, F.length(before) + 1, F.length(stem)).alias("rest"))
+    def groups(x: Column) -> Column:
+        pieces, length = x["pieces"], F.length(x["stem"])
+        ends = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda _, k: F.aggregate(F.slice(pieces, F.lit(1), k + 1), F.lit(0), lambda n, p: n + F.length(p) + DIGEST_DIGITS + 1))
+        return F.transform(ends, lambda e: F.struct(F.substr(x["stem"], F.lit(1), e).alias("grp"), F.substr(x["stem"], e + 1, length).alias("rest")))
 
-    return F.transform(digests, beginning)
+    return bound(F.struct(stem.alias("stem"), F.split(stem, mark, -1).alias("pieces")), groups)
 
 
 def sheet_marker(rest: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .paths import ascii_lower
+from .paths import ascii_lower, bound
 
 # What error messages are recognised by.
 UNREACHABLE = [
@@ -104,34 +104,53 @@ def lines(text: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(text, "\n$", ""), "\n"), lambda s: F.regexp_replace(s, "\r$", ""))
 
 
+def trimmed(s: Column) -> Column:
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
+
+
 def email_signals(text: Column) -> Column:
     """The four families of signs that a document is a rendered message."""
-    body_text = F.regexp_replace(text, "^﻿", "")
-    raw = F.split(body_text, "\n")
-    fence = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "") == "---"
-    closing = F.filter(F.sequence(F.lit(2), F.greatest(F.size(raw), F.lit(2))), lambda k: fence(F.get(raw, k - 1)))
-    end = F.get(closing, F.lit(0))
-    fenced = fence(F.get(raw, F.lit(0))) & end.isNotNull() & (end <= F.size(raw))
-    front = F.when(fenced, F.transform(F.slice(raw, 2, F.greatest(end - 2, F.lit(0))), lambda s: F.regexp_replace(s, "\r+$", ""))).otherwise(F.expr("cast(array() as array<string>)"))
-    body = F.when(fenced, F.array_join(F.slice(raw, end + 1, F.size(raw)), "\n")).otherwise(body_text)
-    trim = lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")
-    keyed = F.filter(front, lambda s: F.contains(s, F.lit(":")) & ~s.rlike("^[ \t#-]"))
-    key = lambda s: trim(F.substring_index(s, ":", 1))
-    value = lambda s: trim(F.substr(s, F.length(F.substring_index(s, ":", 1)) + 2, F.length(s)))
-    has = lambda *names: F.exists(keyed, lambda s: key(s).isin(*names))
+    body_text = F.regexp_replace(text, "^\ufeff", "")
+    return bound(F.struct(body_text.alias("text"), F.split(body_text, "\n").alias("raw")), signals_of_lines)
+
+
+def signals_of_lines(x: Column) -> Column:
+    """email_signals() of (text, raw): a text and its lines."""
+    raw = x["raw"]
+    fence = lambda s: F.contains(s, F.lit("---")) & (trimmed(s) == "---")
+    closing = F.array_position(F.transform(F.slice(raw, F.lit(2), F.size(raw)), fence), True)
+    # the closing fence counts lines from 1; 0 where there is no front matter
+    end = F.when(fence(F.get(raw, F.lit(0))) & (closing > 0), closing + 1).otherwise(0).cast("int")
+
+    def split_at(end: Column) -> Column:
+        front = F.when(end > 0, F.transform(F.slice(raw, F.lit(2), F.greatest(end - 2, F.lit(0))), lambda s: F.regexp_replace(s, "\r+$", ""))).otherwise(F.expr("cast(array() as array<string>)"))
+        body = F.when(end > 0, F.array_join(F.slice(raw, end + 1, F.size(raw)), "\n")).otherwise(x["text"])
+        return F.struct(front.alias("front"), lines(body).alias("body"))
+
+    def ready(y: Column) -> Column:
+        keyed = F.filter(y["front"], lambda s: F.contains(s, F.lit(":")) & ~s.rlike("^[ \t#-]"))
+        pairs = F.transform(keyed, lambda s: F.struct(trimmed(F.substring_index(s, ":", 1)).alias("k"), trimmed(F.substr(s, F.length(F.substring_index(s, ":", 1)) + 2, F.length(s))).alias("v")))
+        top = F.transform(F.slice(y["body"], 1, TABLE_LINES), lambda s: ascii_lower(trimmed(s)))
+        return F.struct(y["front"].alias("front"), y["body"].alias("body"), pairs.alias("pairs"), top.alias("top"), ascii_lower(x["text"]).alias("lower"))
+
+    return bound(end, lambda e: bound(split_at(e), lambda y: bound(ready(y), families)))
+
+
+def families(z: Column) -> Column:
+    """email_signals() of (front, body, pairs, top, lower): lines, keys and values of the front matter, the beginning
+    of the body and the whole text in lower case."""
+    has = lambda *names: F.exists(z["pairs"], lambda p: p["k"].isin(*names))
     heads = sum((has(n).cast("int") for n in ("from", "to", "cc", "subject")), F.lit(0))
-    from_file = F.exists(keyed, lambda s: (key(s) == "source") & F.endswith(ascii_lower(F.regexp_replace(value(s), "^[\"']+|[\"']+$", "")), F.lit(".eml")))
-    tagged = F.exists(front, lambda s: F.exists(F.split(s, r"[\s,\[\]\"']"), lambda t: F.startswith(t, F.lit("mailbox/")) | F.startswith(t, F.lit("identity/"))))
-    body_lines = lines(body)
-    named = F.exists(body_lines, lambda s: F.contains(ascii_lower(s), F.lit("original file")) & F.contains(ascii_lower(s), F.lit(".eml")))
-    top = F.transform(F.slice(body_lines, 1, TABLE_LINES), lambda s: ascii_lower(trim(s)))
+    from_file = F.exists(z["pairs"], lambda p: (p["k"] == "source") & F.endswith(ascii_lower(F.regexp_replace(p["v"], "^[\"']+|[\"']+$", "")), F.lit(".eml")))
+    tagged = F.exists(z["front"], lambda s: F.exists(F.split(s, r"[\s,\[\]\"']"), lambda t: F.startswith(t, F.lit("mailbox/")) | F.startswith(t, F.lit("identity/"))))
+    named = F.contains(z["lower"], F.lit("original file")) & F.exists(z["body"], lambda s: F.contains(ascii_lower(s), F.lit("original file")) & F.contains(ascii_lower(s), F.lit(".eml")))
 
     def labelled(name: str) -> Column:
-        cell = lambda s: trim(F.substring_index(F.regexp_replace(s, r"^\|+", ""), "|", 1)) == f"**{name}**"
-        return F.exists(top, lambda s: F.when(F.startswith(s, F.lit("|")), cell(s)).otherwise(F.startswith(s, F.lit(f"**{name}:**")) | F.startswith(s, F.lit(f"**{name}**:"))))
+        cell = lambda s: trimmed(F.substring_index(F.regexp_replace(s, r"^\|+", ""), "|", 1)) == f"**{name}**"
+        return F.exists(z["top"], lambda s: F.when(F.startswith(s, F.lit("|")), cell(s)).otherwise(F.startswith(s, F.lit(f"**{name}:**")) | F.startswith(s, F.lit(f"**{name}**:"))))
 
     heads_at = r"(?:\A|\n)(" + "|".join(RAW_HEADERS) + ")"
-    raw_seen = F.size(F.array_distinct(F.regexp_extract_all(ascii_lower(body_text), F.lit(heads_at), F.lit(1))))
+    raw_seen = F.size(F.array_distinct(F.regexp_extract_all(z["lower"], F.lit(heads_at), F.lit(1))))
     return F.struct(
         (has("sender_domain") | (heads >= 2)).alias("frontmatter_headers"),
         (has("has_attachments", "uid", "also-in") | from_file | tagged | named).alias("provenance"),

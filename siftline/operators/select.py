@@ -35,10 +35,12 @@ def group_states(names: DataFrame) -> DataFrame:
     """(grp, complete) from destination names: an output without a marker completes its group; otherwise all markers
     must agree on the total and each of its indices must be there."""
     stem = F.regexp_replace("name", r"(?s)\.[^.]*$", "")
-    found = names.select(F.explode(paths.candidate_groups(stem)).alias("c")).select(F.col("c.grp").alias("grp"), F.col("c.rest").alias("rest"), paths.sheet_marker(F.col("c.rest")).alias("m"))
-    useful = found.where((F.col("rest") == "") | F.col("m").isNotNull())
+    # outer, for Spark would work the groups out a second time to see whether there are any
+    found = names.select(F.explode_outer(paths.candidate_groups(stem)).alias("c")).where("c is not null").select("c.grp", "c.rest")
     # distinct markers first, so that a group is counted from at most as many rows as it has different outputs
-    marks = useful.select("grp", (F.col("rest") == "").alias("plain"), F.col("m.index").alias("i"), F.col("m.total").alias("n")).distinct()
+    marked = found.where((F.col("rest") == "") | F.startswith("rest", F.lit("-"))).select("grp", (F.col("rest") == "").alias("plain"), F.regexp_extract("rest", "^-[0-9]+of[0-9]+-", 0).alias("mark")).distinct()
+    m = paths.sheet_marker(F.col("mark"))
+    marks = marked.select("grp", "plain", m["index"].alias("i"), m["total"].alias("n")).where(F.col("plain") | F.col("i").isNotNull())
     state = marks.groupBy("grp").agg(F.bool_or("plain").alias("plain"), F.countDistinct("i").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"))
     return state.select("grp", (F.col("plain") | F.coalesce((F.col("lo") == F.col("hi")) & (F.col("k") == F.col("hi")), F.lit(False))).alias("complete"))
 

@@ -42,9 +42,14 @@ def unquote_printable(value: Column) -> Column:
 
 
 def properties(files: DataFrame) -> DataFrame:
-    """Property rows of files (key, content): key, pos, grp, name, params (name and value in order) and value."""
+    """Property rows of files (key, content): key, pos, grp, name, params (name and value in order) and value.
+
+    Files are dealt by key before they are parsed: their bytes are fewer than their properties', and all that follows
+    by key stays where it is, from one exchange however often the rows are used.
+    """
     text = unfold(F.make_valid_utf8(F.col("content").cast("string")))
-    lines = files.where(F.octet_length("content") <= MOST_BYTES).select("key", F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line"))
+    dealt = files.where(F.octet_length("content") <= MOST_BYTES).select("key", "content").repartition("key")
+    lines = dealt.select("key", F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line"))
     head = F.regexp_extract("line", r'^((?:[^":]|"[^"]*")*):', 1)
     split = lines.where(F.col("line").rlike(r'^(?:[^":]|"[^"]*")+:')).select("key", "pos", F.regexp_extract_all(head, F.lit(PART), F.lit(0)).alias("parts"), F.substr("line", F.length(head) + 2, F.length("line")).alias("raw"))
     first = F.upper(trim(F.get("parts", F.lit(0))))
@@ -95,8 +100,9 @@ def field(label: Column | str, value: Column) -> Column:
 
 
 def first_of(name: str, what: Column) -> Column:
-    """Of a group of properties, `what` of the first one of a name."""
-    return F.min_by(what, F.when(F.col("name") == name, F.col("pos")))
+    """Of a group of properties, `what` of the first one of a name; it is worked out for those of that name only."""
+    own = F.col("name") == name
+    return F.min_by(F.when(own, what), F.when(own, F.col("pos")))
 
 
 def all_of(name: str, what: Column) -> Column:

@@ -81,7 +81,7 @@ def components(rows: DataFrame, *wanted: str) -> DataFrame:
     before = W.partitionBy("key").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     upto = W.partitionBy("key").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     begin, end = F.col("name") == "BEGIN", F.col("name") == "END"
-    kind = F.upper(trim(F.col("value")))
+    kind = F.when(begin | end, F.upper(trim(F.col("value"))))
     depth = F.coalesce(F.sum(begin.cast("int") - end.cast("int")).over(before), F.lit(0))
     opened = F.when(begin & kind.isin(*wanted), F.struct(F.col("depth").alias("depth"), kind.alias("kind")))
     leveled = rows.withColumn("depth", depth).withColumn("opened", F.last(opened, ignorenulls=True).over(upto))

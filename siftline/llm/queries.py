@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, exact, language, mixing, near, pieces, private, rules, sharding, warc
+from . import blocks, exact, language, lines, mixing, near, periods, phrases, pieces, private, rules, sharding, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_private")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periods")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.summary(periods.annotate(periods.with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
+@query("op12_phrases", phrases.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_lines", lines.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))

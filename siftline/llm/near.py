@@ -17,11 +17,14 @@ Documents with equal word sequences are one class and take part once. In a bucke
    group that are not in the leader's component meet the leader. The first leader is the member with the fewest
    shingles of its own, as an original has among its copies; later ones are drawn, and so come from large components
    mostly. That joins nearly all that belongs together, with at most one pair a row of a prefix and round;
-3. then all pairs of different components in a group whose sizes and places in the order allow enough in common, and
-   whose signatures agree enough; both are tested where the rows are, and only pairs that pass leave the task.
-
-Nothing is capped, and steps 2 and 3 lose no pair of the buckets. Candidate pairs are confirmed on the full sets of
-shingles themselves, not of hashes. Components come from alternating large-star and small-star rounds over a
+3. then all members of different components in a group whose sizes and places in the order allow enough in common, and
+   whose signatures agree enough; both are tested where the rows are. No pair leaves the task but a spanning forest of
+   those that pass, whose components are families. In a family the hashed sets themselves are compared, in blocks, and
+   again a spanning forest is what leaves the task. Texts that are all just below the limit to each other are compared in
+   their blocks, and make no pair.
+
+Nothing is capped, and steps 2 and 3 lose no link between the buckets' documents that is not made by others. Candidate
+pairs are confirmed on the full sets of shingles themselves, not of hashes. Components come from alternating large-star and small-star rounds over a
 distributed table of links, each round a written table.
 
 Null text and text without words have an empty set and are linked with nothing. With fewer than five words the whole
@@ -32,12 +35,12 @@ is its own component (null), and its row is kept. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -51,10 +54,10 @@ PERCENT = 85
 #: A pair at the limit is missed by all bands with at most this probability, and has so many deviations fewer values
 #: in common than expected with about the same.
 MISSED, DEVIATIONS = 1e-6, 5.1
-#: Rounds in which groups meet their leaders before all that may still be linked meet.
+#: Rounds in which groups meet their leaders before all that may still be linked are compared.
 ROUNDS = 2
-#: Members of a bucket that meet in one task, and identifiers that are sent to all executors at most.
-BLOCK, BROADCAST_IDS = 400, 500_000
+#: Members of a block, shingles of a block, and identifiers that are sent to all executors at most.
+BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 400, 1 << 20, 500_000
 #: Bytes of text that one round of vectorised hashing takes.
 CHUNK = 1 << 20
 
@@ -246,16 +249,15 @@ def components(links: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
-PREFIX = T.StructType([
+SETS = T.StructType([
     T.StructField("rep", T.LongType()),
     T.StructField("mark", T.LongType()),
-    T.StructField("n", T.LongType()),
-    T.StructField("h", T.LongType()),
+    T.StructField("set", T.ArrayType(T.LongType())),
 ])
 
 
-def shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(identifier, mark of the text, text) to PREFIX, a row a shingle."""
+def shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(identifier, mark of the text, text) to SETS: the hashes of each text's shingles."""
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
         first = 0
@@ -265,24 +267,29 @@ def shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(texts[last])
                 last += 1
             sets = hashed_sets(texts[first:last])
-            sizes = np.array([len(h) for h in sets], np.int64)
-            own = lambda k: np.repeat(batch.column(k).to_numpy()[first:last], sizes)  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(own(0)), pa.array(own(1)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets).view(np.int64))], PREFIX.names)
+            ends = np.cumsum([0, *[len(h) for h in sets]]).astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first), held], SETS.names)
             first = last
 
 
-def prefixes(members: DataFrame, labels: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """(h, rep, n, pos, own) of the first shingles, in one order of all, of the documents in buckets of several components.
-
-    Shingles that only one document has are left out, since nobody meets there; own is the share of those.
-    """
+def open_sets(members: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """SETS of the documents in buckets of several components."""
     named = members.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     named = settle(named, "named")
     mixed_keys = settle(named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "mixed")
     open_ids = settle(named.join(mixed_keys, "key", "left_semi").select(F.col("rep").alias("i")).distinct(), "open")
     wanted = F.broadcast(open_ids) if open_ids.count() <= BROADCAST_IDS else open_ids
     texts = docs.join(wanted, F.col("doc_id") == F.col("i"), "left_semi").select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    rows = settle(texts.mapInArrow(shingle_rows, PREFIX), "shingles")
+    return settle(texts.mapInArrow(shingle_sets, SETS), "sets")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(h, rep, n, pos, own) of the first shingles, in one order of all, of each set.
+
+    Shingles that only one document has are left out, since nobody meets there; own is the share of those.
+    """
+    rows = sets.select("rep", "mark", F.size("set").cast("long").alias("n"), F.explode("set").alias("h"))
     ranked = rows.join(rows.groupBy("h").agg(F.count("*").alias("df")), "h")
     of_text = W.partitionBy("rep", "mark")
     ranked = ranked.withColumn("pos", F.row_number().over(of_text.orderBy("df", "h")).cast("long")).withColumn("own", F.count_if(F.col("df") == 1).over(of_text) / F.col("n"))
@@ -323,56 +330,159 @@ def stars(tokens: DataFrame, labels: DataFrame, percent: int, number: int) -> Da
     return met.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
 
 
-def meet(own: np.ndarray, x: int, y: int, rep: np.ndarray, component: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs (a, b) of two blocks of a group, or of one block if x is y, that may be similar enough."""
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Rows that are sorted by their first `keys` columns, as tables of whole groups with the groups' bounds.
+
+    Only the rows of a group that is not whole yet are held; they are joined once it is.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def bounds(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+        change = np.zeros(max(0, rows.num_rows - 1), bool)
+        for k in range(keys):
+            column = rows.column(k).to_numpy()
+            change |= column[1:] != column[:-1]
+        return np.nonzero(change)[0] + 1
+
+    def table(parts: list[pa.RecordBatch]) -> tuple[pa.Table, list[tuple[int, int]]]:
+        rows = pa.Table.from_batches(parts)
+        return rows, list(pairwise([0, *bounds(rows).tolist(), rows.num_rows]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = bounds(batch)
+        same = not held or all(held[-1].column(k)[-1] == batch.column(k)[0] for k in range(keys))
+        if not same:
+            yield table(held)
+            held = []
+        if len(cuts):
+            last = int(cuts[-1])
+            yield table([*held, batch.slice(0, last)])
+            held = [batch.slice(last)]
+        else:
+            held.append(batch)
+    if held:
+        yield table(held)
+
+
+def forest(own: np.ndarray, x: int, y: int, name: np.ndarray, component: np.ndarray, similar: Callable[[int, np.ndarray], np.ndarray], every: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of names that join what similar rows of two blocks join, or of one block if x is y: at most one a row; and
+    which rows have somebody similar.
+
+    similar(k, others) says which others a row is similar to. Rows of one component are not compared, nor rows that
+    earlier pairs have joined, unless `every` other pair is wanted.
+    """
+    label = np.unique(component, return_inverse=True)[1]
+    first = label.copy()
     left, right = np.nonzero(own == x)[0], np.nonzero(own == y)[0]
-    enough = least_agree(percent)
-    found = []
+    found, met = [], np.zeros(len(own), bool)
     for k in left:
         other = right if x != y else right[right > k]
-        other = other[component[other] != component[k]]
-        other = other[may_link(n[k], pos[k], n[other], pos[other], percent)]
-        other = other[(sig[other] == sig[k]).sum(axis=1) >= enough] if len(other) else other
+        other = other[first[other] != first[k]] if every else other[label[other] != label[k]]
+        other = other[similar(k, other)] if len(other) else other
         if len(other):
-            found.append(np.stack([np.minimum(rep[other], rep[k]), np.maximum(rep[other], rep[k])], axis=1))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            met[k] = met[other] = True
+            joins, at = np.unique(label[other], return_index=True)
+            other = other[at[joins != label[k]]]
+            found.append(np.stack([np.minimum(name[other], name[k]), np.maximum(name[other], name[k])], axis=1))
+            label[np.isin(label, joins)] = label[k]
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64), met
+
+
+def in_blocks(rows: DataFrame, group: str, sizes: DataFrame, columns: list[str]) -> DataFrame:
+    """rows (group, rep, ...) dealt into blocks by `sizes` (group, blocks), so that every two blocks of a group meet in a
+    group (group, x, y) of its own, sorted by it; own is the row's block."""
+    own = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int")
+    dealt = rows.join(sizes, group).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    dealt = dealt.select(group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component", *columns)
+    return dealt.repartition(F.col(group), F.col("x"), F.col("y")).sortWithinPartitions(group, "x", "y", "rep")
+
+
+def n_blocks(rows: Column, weight: Column | None = None) -> Column:
+    """Blocks of BLOCK rows, or of the square root of all if that is more, so that n rows make n ** 1.5 copies at most; and
+    more where they would weigh more than BLOCK_SHINGLES each."""
+    by_rows = F.ceil(rows / F.greatest(F.lit(BLOCK), F.sqrt(rows)))
+    return F.greatest(by_rows, F.ceil(weight / BLOCK_SHINGLES)) if weight is not None else by_rows
 
 
-def rest(tokens: DataFrame, labels: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that meet by a shingle of their prefixes and may be similar enough."""
+def families(tokens: DataFrame, labels: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """(rep, component, family) of the documents that may be similar enough to one of another component.
+
+    Pairs meet by a shingle of their prefixes, and are told by sizes, places and signatures where the rows are. What
+    leaves a task is who has such a partner, and a spanning forest of their components; families are its trees.
+    """
     named = settle(with_components(tokens, labels), "named")
-    groups = settle(named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("h", "size"), "groups")
-    # a group of many documents is dealt into blocks, and every two blocks meet in a group of their own
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit("block")), n_blocks).cast("int")
-    rows = named.join(groups, "h").join(signed.select("rep", "sig"), "rep").withColumn("own", own)
-    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "rep", "component", "n", "pos", "sig")
-    sorted_groups = dealt.repartition(F.col("h"), F.col("x"), F.col("y")).sortWithinPartitions("h", "x", "y", "rep")
+    groups = named.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+    groups = settle(groups.select("h", n_blocks(F.col("size")).alias("blocks")), "groups")
+    rows = in_blocks(named.join(signed.select("rep", "sig"), "rep"), "h", groups, ["n", "pos", "sig"])
+    enough = least_agree(percent)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: pa.Table | None = None
-
-        def done(rows: pa.Table, final: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
-            """Pairs of all whole groups, and the rows of the last group unless it is whole too."""
-            h, x, y, own, rep, comp, n, pos = (rows.column(k).to_numpy() for k in range(8))
+        for rows, bounds in whole_groups(batches, 3):
+            _, x, y, own, rep, comp, n, pos = (rows.column(k).to_numpy() for k in range(8))
             sig = np.frombuffer(b"".join(rows.column(8).to_pylist()), np.uint8).reshape(-1, 2 * PERMUTATIONS)
-            cuts = np.nonzero((h[1:] != h[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))[0] + 1
-            bounds = [0, *cuts.tolist(), *([len(h)] if final else [])]
-            pairs = [meet(own[a:b], x[a], y[a], rep[a:b], comp[a:b], n[a:b], pos[a:b], sig[a:b], percent) for a, b in pairwise(bounds) if b - a > 1]
-            both = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *pairs]), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"]), None if final else rows.slice(bounds[-1])
-
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([left, rows]) if left is not None else rows
-            if rows.num_rows:
-                pairs, left = done(rows, False)
-                yield pairs
-        if left is not None and left.num_rows:
-            yield done(left, True)[0]
+            pairs, who = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+            for a, b in bounds:
+                if b - a < 2:
+                    continue
+
+                def similar(k: int, other: np.ndarray, a: int = a) -> np.ndarray:
+                    k, other = k + a, other + a
+                    may = may_link(n[k], pos[k], n[other], pos[other], percent)
+                    may[may] = (sig[other[may]] == sig[k]).sum(axis=1) >= enough
+                    return may
+
+                more, met = forest(own[a:b], x[a], y[a], comp[a:b], comp[a:b], similar, every=True)
+                pairs.append(more)
+                who.append(np.stack([rep[a:b][met], comp[a:b][met]], axis=1))
+            both, those = np.unique(np.concatenate(pairs), axis=0), np.unique(np.concatenate(who), axis=0)
+            tree = np.concatenate([np.ones(len(both), bool), np.zeros(len(those), bool)])
+            all_rows = np.concatenate([both, those])
+            yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(all_rows[:, 0]), pa.array(all_rows[:, 1])], ["tree", "a", "b"])
+
+    found = settle(rows.mapInArrow(run, "tree boolean, a long, b long"), "related")
+    if found.isEmpty():
+        return found.select(F.col("a").alias("rep"), F.col("b").alias("component"), F.col("a").alias("family"))
+    trees = components(found.where("tree").select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    return found.where("not tree").select(F.col("a").alias("rep"), F.col("b").alias("component")).distinct().join(trees, "component")
+
+
+def rest(related: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that join what similar pairs within the families join; related has (rep, component, family).
+
+    A family's members carry the hashes of their shingles into its blocks and are compared there, hash by hash; what
+    leaves a task is a spanning forest of the pairs that are similar enough.
+    """
+    rows = settle(related.join(sets.select("rep", "set"), "rep"), "members")
+    sizes = settle(rows.groupBy("family").agg(n_blocks(F.count("*"), F.sum(F.size("set"))).alias("blocks")), "sizes")
 
-    return sorted_groups.mapInArrow(run, "a long, b long").distinct()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in whole_groups(batches, 3):
+            _, x, y, own, rep, comp = (rows.column(k).to_numpy() for k in range(6))
+            sets = rows.column(6).combine_chunks()
+            ends, values = sets.offsets.to_numpy(), sets.values.to_numpy()
+            found = [np.zeros((0, 2), np.int64)]
+            for a, b in bounds:
+                if b - a < 2:
+                    continue
+                known, ids = np.unique(values[ends[a] : ends[b]], return_inverse=True)
+                at, size, mark = ends[a : b + 1] - ends[a], np.diff(ends[a : b + 1]), np.zeros(len(known), bool)
+
+                def similar(k: int, other: np.ndarray, ids: np.ndarray = ids, at: np.ndarray = at, size: np.ndarray = size, mark: np.ndarray = mark) -> np.ndarray:
+                    small, large = np.minimum(size[k], size[other]), np.maximum(size[k], size[other])
+                    may = 100 * small >= percent * large
+                    mark[ids[at[k] : at[k + 1]]] = True
+                    common = np.array([np.count_nonzero(mark[ids[at[o] : at[o + 1]]]) for o in other[may]], np.int64)
+                    mark[ids[at[k] : at[k + 1]]] = False
+                    may[may] = 100 * common >= percent * (size[k] + size[other[may]] - common)
+                    return may
+
+                found.append(forest(own[a:b], x[a], y[a], rep[a:b], comp[a:b], similar)[0])
+            both = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return in_blocks(rows, "family", sizes, ["set"]).mapInArrow(run, "a long, b long").distinct()
 
 
 def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -403,12 +513,15 @@ def clusters(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percen
     shares = members.where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("bands"))
     starred = shares.groupBy(F.col("rep").alias("b")).agg(F.max_by("leader", F.struct("bands", -F.col("leader"))).alias("a")).select("a", "b")
     labels = settle(components(confirm(settle(agreeing(starred, signed, percent), "met"), slim, percent)), "components")
-    tokens = prefixes(members.select("key", "rep"), labels, slim, percent)
-    for number in range(ROUNDS + 1):
-        more = agreeing(stars(tokens, labels, percent, number), signed, percent) if number < ROUNDS else rest(tokens, labels, signed, percent)
-        more = settle(more, "met")
+    sets = open_sets(members.select("key", "rep"), labels, slim)
+    tokens = prefixes(sets, percent)
+    for number in range(ROUNDS):
+        more = settle(agreeing(stars(tokens, labels, percent, number), signed, percent), "met")
         if not more.isEmpty():
             labels = joined(labels, confirm(more, slim, percent))
+    more = settle(rest(families(tokens, labels, signed, percent), sets, percent), "met")
+    if not more.isEmpty():
+        labels = joined(labels, confirm(more, slim, percent))
     # rows of one identifier with different texts are one document: each of its classes already has that one name
     of_class = reps.select("cls", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("cls", F.coalesce("component", "rep").alias("found"))
     placed = base.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")

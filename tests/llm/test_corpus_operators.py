@@ -393,6 +393,59 @@ def test_near_pairs_of_large_groups_are_few(spark, monkeypatch):
     assert family.where("kept").count() == 1 and sum(counts) <= 3 * 1500
 
 
+@pytest.mark.parametrize("size", [300, 600])
+def test_near_families_below_the_limit_make_few_pairs(spark, monkeypatch, size):
+    """Texts that are all just below the limit to each other, with some real links among them, are compared in blocks."""
+    counts = counted_pairs(monkeypatch)
+    base, rows = prose(77, 300).split(), []
+    for k in range(size):
+        words, r = list(base), random.Random(k)
+        for at in r.sample(range(len(words)), 5):
+            words[at] = f"w{k}x{at}"
+        rows.append((k, " ".join(words)))
+        if k % 50 == 0:
+            rows.append((10_000 + k, " ".join([*words[:-1], "last"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near.clusters(docs).collect())
+    assert got == near_truth(docs.collect()) and sum(counts) <= 3 * len(rows)
+
+
+def test_forest_joins_what_all_pairs_join():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(r.integers(2, 40))
+        own, component, near_by = r.integers(0, 2, n), r.integers(0, n, n), r.random((n, n)) < 0.05
+        near_by |= near_by.T
+        name = np.arange(n) * 10
+        for every in (False, True):
+            for x, y in ((0, 0), (0, 1)):
+                pairs, met = near.forest(own, x, y, name, component, lambda k, o, m=near_by: m[k][o], every)
+                trees = {}
+                def top(v, trees=trees):
+                    while trees.get(v, v) != v:
+                        v = trees[v]
+                    return v
+                want = {}
+                def above(v, want=want):
+                    while want.get(v, v) != v:
+                        v = want[v]
+                    return v
+                for c in range(n):
+                    same = np.flatnonzero(component == component[c])
+                    trees[top(c)] = top(int(same[0]))
+                    want[above(c)] = above(int(same[0]))
+                active = set()
+                for a in range(n):
+                    for b in range(n):
+                        if own[a] == x and own[b] == y and a != b and near_by[a, b] and component[a] != component[b]:
+                            want[above(a)] = above(b)
+                            active |= {a, b}
+                for a, b in pairs // 10:
+                    trees[top(int(a))] = top(int(b))
+                assert len({(top(k), above(k)) for k in range(n)}) == len({top(k) for k in range(n)}) == len({above(k) for k in range(n)})
+                assert len(pairs) < n and (not every or set(np.flatnonzero(met)) == active)
+
+
 def test_near_hashes_and_bounds(spark, empty, monkeypatch):
     texts = [prose(k, n).encode() for k, n in enumerate((0, 1, 4, 5, 6, 300))] + [b"", b" a\t\nB  c d E ", b"x" * 50_000]
     for text, hashes in zip(texts, near.hashed_sets(texts), strict=True):

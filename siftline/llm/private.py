@@ -14,6 +14,9 @@ DISCLOSURE or more discloses the entity: all its occurrences in the documents wi
 "term", to be generalised or removed with the rest. No share can be large where a term has more documents than
 n_e * (n / n_e) ** (1 - DISCLOSURE), so only rarer terms are counted with an entity, which loses none.
 
+What is counted together are classes: entities that have equal documents are one, and so are terms. A text that shares a
+list of addresses and a list of words with another makes one pair, however long the lists are.
+
 Offsets are code points, ends exclusive. Null text counts as empty. Rows that share identifier and text share their
 spans; each counts as a document. An empty table gives no rows. An entity in a third of all rows is counted with
 partial sums and never gathered.
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import settle, unused
 
@@ -150,29 +154,53 @@ def disclosing(docs: DataFrame, held: DataFrame, key: str, text: str, disclosure
     # every word of the corpus is counted: partial counts keep the shuffle to distinct words
     every = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")), letters)).alias("term"))
     n_t = settle(every.groupBy("term").agg(F.count("*").alias("n_t")).where((F.col("n_t") > 1) & (F.col("n_t") <= most)), "terms")
-    rare = words.join(n_t, "term").where(F.col("n_t") <= F.col("most")).select(F.col(key).alias("__key"), F.col("mark").alias("__mark"), "term", "n_t")
-    both = settle(known.join(rare, same & (F.col("n_t") <= F.col("limit"))).select(key, "mark", "entity", "term", "n_e", "n_t"), "both")
-    n_te = both.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where("n_te > 1")
+    rare = words.join(n_t, "term").where(F.col("n_t") <= F.col("most")).select(key, "mark", "term", "n_t")
+    # Entities with equal documents tell and are told alike, and so do terms: their classes are paired, not they themselves.
+    rare = settle(with_class(rare, "term", ["n_t"], "t_class", key), "rare")
+    known = settle(with_class(known.select(key, "mark", "entity", "n_e", "limit"), "entity", ["n_e", "limit"], "e_class", key), "classes")
+    side = rare.select(F.col(key).alias("__key"), F.col("mark").alias("__mark"), "t_class", "n_t").distinct()
+    met = known.select(key, "mark", "e_class", "n_e", "limit").distinct().join(side, same & (F.col("n_t") <= F.col("limit")))
+    both = settle(met.select(key, "mark", "e_class", "t_class", "n_e", "n_t"), "both")
+    n_te = both.groupBy("e_class", "t_class").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t")).where("n_te > 1")
     told = F.log2((F.col("n_te") - 1) * F.lit(float(n)) / (F.col("n_t") * F.col("n_e")))
     own = F.log2(F.lit(float(n)) / F.col("n_e"))
-    shared = n_te.where((own > 0) & (told >= F.lit(disclosure) * own)).select("entity", "term")
-    return both.join(shared, ["entity", "term"], "left_semi").select(key, "mark", "term").distinct()
+    shared = n_te.where((own > 0) & (told >= F.lit(disclosure) * own)).select("e_class", "t_class")
+    telling = both.join(shared, ["e_class", "t_class"], "left_semi").select(F.col(key).alias("__key"), F.col("mark").alias("__mark"), F.col("t_class").alias("__class")).distinct()
+    return rare.join(telling, same & (F.col("t_class") == F.col("__class")), "left_semi").select(key, "mark", "term")
+
+
+def with_class(rows: DataFrame, name: str, also: list[str], out: str, key: str) -> DataFrame:
+    """rows (key, mark, name, ...) with `out`, equal for names that have equal documents and equal other columns.
+
+    A set of documents is told by their number and two 64-bit hashes of them, each xored over the set, so that partial
+    aggregates do and no set is gathered.
+    """
+    doc = lambda n: F.bit_xor(F.xxhash64(key, "mark", F.lit(f"class {n}")))
+    sets = rows.groupBy(name, *also).agg(F.count("*").alias("__n"), doc(1).alias("__a"), doc(2).alias("__b"))
+    named = sets.select(name, F.struct("__n", "__a", "__b", *also).alias(out))
+    return rows.join(named, name)
 
 
 def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text", disclosure: float = DISCLOSURE, letters: int = LETTERS) -> DataFrame:
     """Per row of docs: key, mark, spans (base) and terms (of the method), each of kind, start and end in order."""
     spans = settle(base_spans(docs, key, text), "spans")
     held = spans.where(F.size("spans") > 0).dropDuplicates([key, "mark"])
-    told = disclosing(docs, held, key, text, disclosure, letters).groupBy(F.col(key).alias("__key"), F.col("mark").alias("__mark")).agg(F.collect_set("term").alias("told"))
-    told = settle(told, "told")
+    told = settle(disclosing(docs, held, key, text, disclosure, letters), "told")
+    named = [F.col(key).alias("__key"), F.col("mark").alias("__mark")]
     same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("mark") == F.col("__mark"))
+    marked = settle(held.join(told.select(*named).distinct(), same, "left_semi"), "marked")
     either = f"{PATTERNS['email']}|{term_pattern(letters)}"  # words inside of addresses are passed over with them
-    marked = held.join(told, same).withColumn("m", F.regexp_extract_all("t", F.lit(either), F.lit(0))).withColumn("g", F.split("t", either, -1))
-    mails = F.filter("spans", lambda s: s["kind"] == "email")
-    outside = lambda x: ~F.exists(mails, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
-    chosen = F.filter(located(F.col("m"), F.col("g")), lambda x: F.array_contains("told", F.lower(x["text"])))
-    term = lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), x["end"].alias("end"), F.lit("term").alias("kind"))
-    hits = marked.select("__key", "__mark", "spans", chosen.alias("chosen")).select("__key", "__mark", F.transform(F.filter("chosen", outside), term).alias("terms"))
+    words = marked.select(key, "mark", F.explode(located(F.regexp_extract_all("t", F.lit(either), F.lit(0)), F.split("t", either, -1))).alias("x"))
+    words = words.select(key, "mark", F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.lower("x.text").alias("word"))
+    chosen = words.join(told.select(*named, "term"), same & (F.col("word") == F.col("term")), "left_semi").select(key, "mark", "start", "end", F.lit(False).alias("mail"))
+    mails = marked.select(key, "mark", F.explode(F.filter("spans", lambda s: s["kind"] == "email")).alias("x")).select(key, "mark", "x.start", "x.end", F.lit(True).alias("mail"))
+    # a chosen word that runs into an address is none of its own: the addresses around it are found in one pass a text
+    of_text = W.partitionBy(key, "mark").orderBy("start", F.desc("mail"))
+    mail = lambda c: F.when(F.col("mail"), F.col(c))
+    around = chosen.unionByName(mails).select("*", F.max(mail("end")).over(of_text.rowsBetween(W.unboundedPreceding, -1)).alias("before"), F.min(mail("start")).over(of_text.rowsBetween(1, W.unboundedFollowing)).alias("after"))
+    outside = around.where(~F.col("mail") & (F.coalesce(F.col("before"), F.lit(0)) <= F.col("start")) & (F.col("after").isNull() | (F.col("after") >= F.col("end"))))
+    term = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", F.lit("term").alias("kind"))
+    hits = outside.groupBy(*named).agg(F.array_sort(F.collect_list(term)).alias("terms"))
     brief = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     return spans.drop("t").join(hits, same, "left").select(key, "mark", brief.alias("spans"), F.coalesce("terms", F.expr("cast(array() as array<struct<start:bigint,rank:int,end:bigint,kind:string>>)")).alias("terms"))
 

@@ -38,7 +38,7 @@ LETTERS, DOCUMENTS = 40, 5
 #: White space that a key is stripped of.
 SPACE = " \t\n\x0b\x0c\r"
 #: Rows of an undecided key that a task holds; rows that it puts out together.
-HOLD, OUT = 20_000, 50_000
+HOLD, OUT = 200_000, 50_000
 
 PLACES = T.ArrayType(T.IntegerType())
 KEYED = T.StructType([
@@ -143,7 +143,8 @@ def keep_bitmaps(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     dealt = by_key.repartitionByRange(*order).sortWithinPartitions(*order)
     decided = settle(dealt.mapInArrow(lambda batches: decide(batches, documents), T.StructType([*KEYED.fields, T.StructField("state", T.ByteType())])), "decided")
     told = decided.where(F.col("state") == TELLS).groupBy("digest").agg(F.count_distinct("known", "id").alias("n"), F.max(F.struct("known", "id")).alias("largest"))
-    open_rows = decided.where(F.col("state") != GOES).join(told.where(F.col("n") >= documents), "digest").where(F.struct("known", "id") != F.col("largest"))
+    # keys left open are two a task, and one for every HOLD rows of them: few enough to be sent to where their rows are
+    open_rows = decided.where(F.col("state") != GOES).join(F.broadcast(told.where(F.col("n") >= documents)), "digest").where(F.struct("known", "id") != F.col("largest"))
     names = ["known", "id", "mark", "n_lines", "places"]
     gone = decided.where(F.col("state") == GOES).select(*names).unionByName(open_rows.select(*names))
     # a set, so that rows repeated with identifier and text do not add up; no longer than the text has lines

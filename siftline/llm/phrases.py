@@ -33,16 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
+from ..operators import scans
 from .common import LOWER, UPPER, grouped, kept, settle, small_batches
 
 #: Occurrences of a candidate, words of the longest, phrases reported a language, per cent of a longer phrase's count.
 LEAST, LONGEST, TOP, PERCENT = 100, 5, 2000, 100
 #: Buckets are 2 ** BITS, dealt in segments of 2 ** SEGMENT.
 BITS, SEGMENT = 24, 16
-#: Parts into which a language's candidates are dealt before its first ones are taken.
-DEALT = 64
 #: Bytes of text whose words are numbered together.
 TOGETHER = 4 << 20
 
@@ -276,10 +274,10 @@ def scores(found: DataFrame, words: DataFrame, *, percent: int = PERCENT) -> Dat
 def collocations(docs: DataFrame, *, lang: str = "lang", text: str = "text", least: int = LEAST, longest: int = LONGEST, top: int = TOP, percent: int = PERCENT, bits: int = BITS) -> DataFrame:
     """Each language's first `top` phrases: lang, rank, phrase, a, l, r, n, score."""
     found, words = frequencies(docs, lang=lang, text=text, least=least, longest=longest, bits=bits)
-    scored = scores(found, words, percent=percent).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(DEALT)))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    first = scored.withColumn("rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
-    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
+    scored = scores(found, words, percent=percent).withColumn("__score", -F.col("score")).withColumn("__a", -F.col("a"))
+    # a language's candidates are numbered in ranges of the order, whatever part of all of them it has
+    order = ["__score", "__a", "phrase"]
+    ranked = scans.running_count(scans.deal(scored, ["lang"], order), "rank", ["lang"], order).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

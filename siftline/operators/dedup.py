@@ -26,7 +26,7 @@ def keepers(hashed: DataFrame) -> DataFrame:
 
 
 def keep_first(hashed: DataFrame) -> DataFrame:
-    """Every file with what is kept of its content, and whether it is that."""
+    """Every file with what is kept of its content, and whether it is that. hashed is read twice: settle what is dear."""
     joined = hashed.join(keepers(hashed), "content_hash")
     same = (F.col("original_key") == F.col("kept_key")) & (F.col("bucket_alias") == F.col("kept_bucket"))
     return joined.withColumn("is_kept", same)
@@ -35,7 +35,8 @@ def keep_first(hashed: DataFrame) -> DataFrame:
 def with_index(hashed: DataFrame, index: DataFrame) -> DataFrame:
     """keep_first, where the content index of earlier runs (content_hash, index_key, index_bucket) comes first:
     of a hash that it knows even the first file of this run is a duplicate."""
-    joined = keep_first(hashed).join(index.groupBy("content_hash").agg(F.max_by("index_key", "line").alias("index_key"), F.max_by("index_bucket", "line").alias("index_bucket")), "content_hash", "left")
+    latest = index.groupBy("content_hash").agg(F.max_by("index_key", "line").alias("index_key"), F.max_by("index_bucket", "line").alias("index_bucket"))
+    joined = keep_first(hashed).join(latest, "content_hash", "left")
     known = F.col("index_key").isNotNull()
     return (
         joined.withColumn("is_kept", F.when(known, False).otherwise(F.col("is_kept")))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions import paths
+from . import scans
 
 KEY = ["mailbox", "uidvalidity", "uid"]
 TOTAL = "*"
@@ -104,15 +104,14 @@ def reset_epoch(rows: DataFrame, current: DataFrame) -> DataFrame:
 def batches(pending: DataFrame, size: int = 20) -> DataFrame:
     """(mailbox, batch, uids): ascending uids in batches of fixed size; the last may be smaller."""
     size = max(size, 1)
-    place = F.row_number().over(W.partitionBy("mailbox").orderBy("uid")) - 1
-    dealt = pending.withColumn("batch", F.floor(place / size))
+    numbered = scans.running_count(scans.deal(pending.select("mailbox", "uid"), ["mailbox"], ["uid"]), "place", ["mailbox"], ["uid"])
+    dealt = numbered.withColumn("batch", F.floor((F.col("place") - 1) / size))
     return dealt.groupBy("mailbox", "batch").agg(F.array_sort(F.collect_list("uid")).alias("uids"))
 
 
 def round_robin(batched: DataFrame) -> DataFrame:
     """Batches (identity, position) with `turn`: every identity's first, then every identity's second, and so on."""
-    turn = F.row_number().over(W.partitionBy("identity").orderBy("position")).cast("bigint")
-    return batched.withColumn("turn", turn)
+    return scans.done(scans.running_count(scans.deal(batched, ["identity"], ["position"]), "turn", ["identity"], ["position"]))
 
 
 def identity_summary(pending: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions import text
+from . import scans
 
 #: Completions that the breaker looks at, and failures among them that trip it.
 BREAKER_SAMPLE, BREAKER_TRIPS = 20, 18
@@ -33,12 +34,13 @@ def schedule(requests: DataFrame, per_minute: int = 120, lane: str = "lane") ->
     """requests (lane, i, at, n) with `start`: none before its time, none before the ones ahead have been paid for.
 
     Idle time is not paid back. In closed form: what was spent before, plus the longest lag of any request so far
-    behind what had been spent.
+    behind what had been spent. Both are running values in chunks, so a lane of any length uses all cores.
     """
-    ahead = W.partitionBy(lane).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    upto = W.partitionBy(lane).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    spent = F.coalesce(F.sum("n").over(ahead), F.lit(0)) * F.lit(interval(per_minute))
-    return requests.withColumn("spent", spent).withColumn("start", F.col("spent") + F.max(F.col("at") - F.col("spent")).over(upto)).drop("spent")
+    dealt = scans.deal(requests, [lane], ["i"])
+    spent = scans.running_sum(dealt, "__paid", F.col("n"), [lane], ["i"], before=True)
+    spent = spent.withColumn("__paid", F.col("__paid") * F.lit(interval(per_minute)))
+    lagged = scans.running_max(spent, "__lag", F.col("at") - F.col("__paid"), [lane], ["i"])
+    return scans.done(lagged).withColumn("start", F.col("__paid") + F.col("__lag")).drop("__paid", "__lag")
 
 
 #: Fixed value: how often a batch that failed is tried again.
@@ -77,8 +79,9 @@ def in_rounds(batches: DataFrame, attempt: Callable[[DataFrame], DataFrame], att
 def within_budget(members: DataFrame, times: int = EXPANSION) -> DataFrame:
     """Archive members (archive, position, size, zip_size) with `kept`: dropped once the running total of sizes, those
     of dropped members included, is beyond the archive's budget; empty members always pass."""
-    total = F.sum("size").over(W.partitionBy("archive").orderBy("position").rowsBetween(W.unboundedPreceding, 0))
-    return members.withColumn("kept", (F.col("size") == 0) | (total <= F.col("zip_size") * times))
+    dealt = scans.deal(members, ["archive"], ["position"])
+    summed = scans.done(scans.running_sum(dealt, "__total", F.col("size"), ["archive"], ["position"]))
+    return summed.withColumn("kept", (F.col("size") == 0) | (F.col("__total") <= F.col("zip_size") * times)).drop("__total")
 
 
 def failure_breakdown(outcomes: DataFrame, stages: list[str]) -> DataFrame:
@@ -128,16 +131,18 @@ def counter_deltas(stats: DataFrame, counters: list[str], lane: str = "lane") ->
     counter that fell has grown by nothing."""
     rank = F.struct("position", *counters)
     last = stats.groupBy(lane, "poll").agg(F.max(rank).alias("last"))
-    order = W.partitionBy(lane).orderBy("poll")
-    now = {c: F.coalesce(F.col(f"last.{c}"), F.lit(0)) for c in counters}
-    return last.select(lane, "poll", *[F.greatest(now[c] - F.coalesce(F.lag(now[c]).over(order), F.lit(0)), F.lit(0)).alias(c) for c in counters])
+    now = last.select(lane, "poll", *[F.coalesce(F.col(f"last.{c}"), F.lit(0)).alias(c) for c in counters])
+    dealt = scans.previous(scans.deal(now, [lane], ["poll"]), "__before", F.struct(*counters), [lane], ["poll"])
+    grown = lambda c: F.greatest(F.col(c) - F.coalesce(F.col(f"__before.value.{c}"), F.lit(0)), F.lit(0)).alias(c)
+    return dealt.select(lane, "poll", *[grown(c) for c in counters])
 
 
 def error_streaks(errors: DataFrame) -> DataFrame:
     """(poll, cause, first_key, repeated): errors of one cause in a row within a poll, where there are several."""
-    order = W.partitionBy("poll").orderBy("position")
-    begins = F.coalesce((F.lag("cause").over(order) != F.col("cause")).cast("int"), F.lit(1))
-    island = errors.withColumn("begins", begins).withColumn("island", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    lane, order = ["poll"], ["position"]
+    before = scans.previous(scans.deal(errors, lane, order), "__before", F.col("cause"), lane, order)
+    begins = F.coalesce((F.col("__before.value") != F.col("cause")).cast("long"), F.lit(1))
+    island = scans.running_sum(before, "island", begins, lane, order)
     found = island.groupBy("poll", "island", "cause").agg(F.min_by("key", "position").alias("first_key"), F.count("*").alias("n"))
     return found.where("n > 1").select("poll", "cause", "first_key", (F.col("n") - 1).alias("repeated"))
 

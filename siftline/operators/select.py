@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import paths
+from ..session import settle
+from . import scans
 
 
 def skip_reason(done: Column) -> Column:
@@ -65,38 +67,39 @@ def split_variants(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def variant_slots(keys: DataFrame) -> DataFrame:
     """key and slot of colliding keys: in order, each goes to the first slot in which every beginning of its path is
-    free or taken in the same spelling. Keys can only clash below a common first segment, which is how they are dealt.
+    free or taken in the same spelling.
+
+    That rule has a closed form. Spellings of one name below one path exclude each other whole, and come one after the
+    other in the order of keys, so the second one's keys begin where the first one's slots end. Names that fold apart do not
+    meet. A path therefore needs as many slots as the neediest of the names below it, a name as many as its spellings
+    together, and a key's slot is the sum, along its path, of what the spellings before each of its parts need. The
+    needs are summed up level by level from the deepest paths, with joins and aggregates on all cores, however many keys
+    lie below one folder.
     """
-    import pandas as pd
-
-    dealt = colliding(keys).select("key", "fold").withColumn("top", F.substring_index("fold", "/", 1))
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        slots: list[dict[str, str]] = []
-        placed = []
-        ordered = sorted(rows["key"])
-        for key in ordered:
-            parts = key.split("/")
-            heads = ["/".join(parts[: k + 1]) for k in range(len(parts))]
-            folds = [fold(h) for h in heads]
-            for number, claimed in enumerate(slots):  # noqa: B007
-                if all(claimed.get(f, h) == h for f, h in zip(folds, heads, strict=True)):
-                    break
-            else:
-                number = len(slots)
-                slots.append({})
-            slots[number].update(zip(folds, heads, strict=True))
-            placed.append(number)
-        return pd.DataFrame({"key": ordered, "slot": placed})
-
-    return dealt.groupBy("top").applyInPandas(assign, "key string, slot long")
-
-
-def fold(text: str) -> str:
-    """paths.local_fold for one Python string."""
-    import unicodedata
-
-    return unicodedata.normalize("NFC", text).lower()
+    chosen = colliding(keys).select("key").distinct()
+    parts = F.split("key", "/", -1)
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("head"), F.array_join(F.slice(parts, F.lit(1), n - 1), "/").alias("parent"), F.element_at(parts, n).alias("name")))
+    paths_of = settle(chosen.select("key", F.explode(heads).alias("p")).select("key", "p.*"), "paths")
+    nodes = paths_of.select("depth", "head", "parent", "name").distinct()
+    nodes = settle(nodes.withColumn("fold", paths.local_fold(F.col("name"))).drop("name"), "nodes")
+    deepest = nodes.agg(F.max("depth")).first()[0] or 0
+    needs, below = [], None
+    for depth in range(deepest, 0, -1):
+        level = nodes.where(F.col("depth") == depth)
+        level = level.withColumn("need", F.lit(1).cast("long")) if below is None else level.join(below, "head", "left").withColumn("need", F.greatest(F.lit(1).cast("long"), F.coalesce("inner", F.lit(0))))
+        level = settle(level.select("depth", "head", "parent", "fold", "need"), "needs")
+        needs.append(level)
+        names = level.groupBy("parent", "fold").agg(F.sum("need").alias("need"))
+        below = names.groupBy(F.col("parent").alias("head")).agg(F.max("need").alias("inner"))
+    if not needs:
+        return chosen.select("key", F.lit(0).cast("long").alias("slot"))
+    every = needs[0]
+    for more in needs[1:]:
+        every = every.unionByName(more)
+    lane = ["depth", "parent", "fold"]
+    ahead = scans.done(scans.running_sum(scans.deal(every, lane, ["head"]), "ahead", F.col("need"), lane, ["head"], before=True))
+    placed = paths_of.select("key", "depth", "head").join(ahead.where("ahead > 0").select("depth", "head", "ahead"), ["depth", "head"], "left")
+    return placed.groupBy("key").agg(F.coalesce(F.sum("ahead"), F.lit(0)).cast("long").alias("slot"))
 
 
 def undelivered(intended: DataFrame, dispatched: DataFrame, failures: DataFrame, variants: DataFrame) -> DataFrame:

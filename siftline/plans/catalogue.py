@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extracts, files, mail, runs, texts  # noqa: F401  they register their queries
+from . import extracts, files, mail, runs, stored, texts  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import paths
 from ..sources import archives, vobject
 from ..streaming import logs
 from .registry import query
@@ -35,14 +34,6 @@ def zipped(text: str, name: str) -> bytes:
     return out.getvalue()
 
 
-@query("zip_expand", """select doc_id, m.member, sha256(text) as content_hash from documents, (values ('doc.txt'), ('a/doc-2.txt')) m(member)""")
-def zip_expand(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    files = made(d.select(F.concat(F.col("doc_id").cast("string"), F.lit(".zip")).alias("key"), "text", F.lit("doc").alias("name")), zipped)
-    found = archives.members(files).where(F.col("error").isNull())
-    return found.select(F.substring_index("archive", ".", 1).cast("bigint").alias("doc_id"), F.col("part").alias("member"), F.sha2("content", 256).alias("content_hash"))
-
-
 def nested(text: str, number: int) -> bytes:
     """An archive with a note, an archive of an archive of a note, and for every seventh a damaged archive."""
     import io
@@ -59,18 +50,6 @@ def nested(text: str, number: int) -> bytes:
     return packed(a_txt=text.encode(), b_zip=packed(c_zip=packed(d_txt=text[::-1].encode())), **damaged)
 
 
-@query("zip_nested", """select doc_id, m.member, case m.depth when 1 then sha256(coalesce(text, '')) else sha256(reverse(coalesce(text, ''))) end as content_hash, m.depth, doc_id % 7 = 0 as tainted
-from documents, (values ('a.txt', 1), ('b.zip!c.zip!d.txt', 3)) m(member, depth)""")
-def zip_nested(spark, sf_dir):
-    """What is in archives of three levels, with whether their root has a damaged member."""
-    rows = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".zip")).alias("key"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
-    found = archives.all_members(made(rows, nested))
-    tainted = found.groupBy("root_key").agg(F.bool_or(F.col("error").isNotNull()).alias("tainted"))
-    leaves = found.where(F.col("error").isNull() & ~paths.is_zip(F.col("key"))).join(tainted, "root_key")
-    member = F.substr("key", F.length("root_key") + 2, F.length("key"))
-    return leaves.select(F.substring_index("root_key", ".", 1).cast("bigint").alias("doc_id"), member.alias("member"), F.sha2("content", 256).alias("content_hash"), "depth", "tainted")
-
-
 @query("tsv_to_csv", """select c_custkey, '"' || c_name || ', ' || c_mktsegment || '",' || c_nationkey::varchar || chr(10) as csv from customer""")
 def tsv_to_csv(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
@@ -137,4 +116,5 @@ def log_tail_stream(spark, sf_dir):
     folder = shared_folder(spark, "log-tail")
     written = events.select((F.col("user_id") % 16).alias("lane"), "event_id", line.alias("value")).repartition(16, "lane").sortWithinPartitions("lane", "event_id")
     written.select("lane", "value").write.partitionBy("lane").text(f"{folder}/log")
-    return logs.follow(logs.lines(spark, f"{folder}/log"), folder).select("lane", *logs.COUNTERS, F.size("streaks").alias("streaks"))
+    found = logs.follow(logs.lines(spark, f"{folder}/log"), folder)
+    return found.groupBy("lane").agg(*[F.sum(c).alias(c) for c in logs.COUNTERS], F.count_if(F.col("kind") == "streak").cast("int").alias("streaks"))

@@ -7,6 +7,8 @@ from pyspark.sql.window import Window as W
 
 from ..functions import paths, text
 from ..operators import dedup, select
+from ..session import shared_folder
+from ..sources.content_index import ContentIndex
 from .registry import query
 from .views import BASE, DEST, EXTENSION, OBJECTS, PARTS, dest_names, objects, parts, table
 
@@ -71,9 +73,13 @@ def checkpoint_anti(spark, sf_dir):
 idx as (select sha256(text) as content_hash, max_by('index/' || doc_id::varchar, doc_id) as k from documents where doc_id % 4 = 0 group by 1)
 select key, coalesce(k, kept_key) as kept_key, case when k is not null then false else rn = 1 end as is_kept from ranked left join idx using (content_hash)""")
 def content_index_lookup(spark, sf_dir):
+    """Files against an index in buckets that two earlier runs have written."""
     files = objects(spark, sf_dir).withColumn("extension", paths.extension_of(F.col("key")))
-    index = files.where(F.col("doc_id") % 4 == 0).select("content_hash", F.concat(F.lit("index/"), F.col("doc_id").cast("string")).alias("index_key"), F.lit("index").alias("index_bucket"), F.col("doc_id").alias("line"))
-    return dedup.with_index(files, index).select("key", "kept_key", "is_kept")
+    rows = files.where(F.col("doc_id") % 4 == 0).select("content_hash", F.concat(F.lit("index/"), F.col("doc_id").cast("string")).alias("index_key"), F.lit("index").alias("index_bucket"), F.col("doc_id").alias("line"))
+    index = ContentIndex(shared_folder(spark, "index"), 8)
+    for generation in (0, 4):
+        index.append(rows.where(F.col("line") % 8 == generation))
+    return index.lookup(files).select("key", "kept_key", "is_kept")
 
 
 @query("checkpoint_commit", f"""with {OBJECTS},
@@ -146,9 +152,17 @@ def bulk_variant_split(spark, sf_dir):
     return bulk.withColumn("variant", F.lit(False)).unionByName(variants.withColumn("variant", F.lit(True)))
 
 
-@query("variant_slots")
+@query("variant_slots", f"""with {PARTS}, v as (select distinct case when ascii(right(key, 1)) % 3 = 0 then lower(split_part(key, '/', 1)) else split_part(key, '/', 1) end || '/' || split_part(key, '/', 2) as key from parts),
+c as (select key, split_part(key, '/', 1) as top, lower(split_part(key, '/', 1)) as fold, lower(key) as whole from v qualify count(*) over (partition by lower(key)) > 1),
+inner_slots as (select *, row_number() over (partition by top, whole order by key) - 1 as inner_slot from c),
+tops as (select fold, top, max(inner_slot) + 1 as need from inner_slots group by all),
+offsets as (select top, coalesce(sum(need) over (partition by fold order by top rows between unbounded preceding and 1 preceding), 0)::bigint as before from tops)
+select key, inner_slot + before as slot from inner_slots join offsets using (top)""")
 def variant_slots(spark, sf_dir):
-    return select.variant_slots(parts(spark, sf_dir))
+    """Names of parts below their brands, both spelt in several ways."""
+    top, name = F.split_part("key", F.lit("/"), F.lit(1)), F.split_part("key", F.lit("/"), F.lit(2))
+    low = F.ascii(F.right("key", F.lit(1))) % 3 == 0
+    return select.variant_slots(parts(spark, sf_dir).select(F.concat(F.when(low, F.lower(top)).otherwise(top), F.lit("/"), name).alias("key")))
 
 
 @query("destination_name", f"""with {OBJECTS},

@@ -6,16 +6,23 @@
 option("items", "structures") gives the structure of each message as its content, null where the server cannot tell it.
 option("folder") reads a folder of folders of .eml files instead of a server, for tests and for mail that is already
 on disk. Secrets are taken from the environment of the tasks and never from an option.
+
+spark.readStream of the same format follows mailboxes as they grow: the offset is each mailbox's validity and its highest
+uid, and nothing else of a mailbox comes to the driver to stay. A mailbox whose validity has changed begins anew.
+option("per_batch", n) admits at most n messages of a mailbox to a micro-batch, which with the trigger's tick is the pace;
+option("position", path) is a file in which the offset of the last planned batch is noted, so that a restarted stream knows
+where admission stands. Without it the first batch after a restart admits all.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "mailbox string, uidvalidity long, uid long, content binary"
 
@@ -46,8 +53,13 @@ def in_halves(fetch: Callable[[list], Iterable[tuple]], items: list, size: int)
 
 
 class Mailbox(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+    """A mailbox, or its messages with above < uid <= upto under one validity."""
+
+    def __init__(self, name: str, epoch: int | None = None, above: int = 0, upto: int | None = None):
+        self.name, self.epoch, self.above, self.upto = name, epoch, above, upto
+
+    def holds(self, epoch: int, uid: int) -> bool:
+        return self.epoch is None or (epoch == self.epoch and self.above < uid <= self.upto)
 
 
 class FolderReader(DataSourceReader):
@@ -59,13 +71,22 @@ class FolderReader(DataSourceReader):
     def partitions(self) -> list[Mailbox]:
         return [Mailbox(str(p.relative_to(self.root))) for p in sorted(self.root.rglob("*")) if p.is_dir()]
 
+    def epoch(self, name: str) -> int:
+        mark = self.root / name / "uidvalidity"
+        return int(mark.read_text()) if mark.exists() else 0
+
+    def uids(self, name: str, above: int) -> tuple[int, list[int]]:
+        """The validity, and the uids from `above` on in order."""
+        found = (int(f.stem) for f in (self.root / name).glob("*.eml") if f.stem.isdigit())
+        return self.epoch(name), sorted(u for u in found if u > above)
+
     def read(self, partition: Mailbox) -> Iterator[tuple]:
         folder = self.root / partition.name
-        mark = folder / "uidvalidity"
-        epoch = int(mark.read_text()) if mark.exists() else 0
-        for file in sorted(folder.glob("*.eml")):
-            if file.stem.isdigit():
-                yield partition.name, epoch, int(file.stem), file.read_bytes()
+        epoch = self.epoch(partition.name)
+        files = {int(f.stem): f for f in folder.glob("*.eml") if f.stem.isdigit()}
+        for uid in sorted(files):
+            if partition.holds(epoch, uid):
+                yield partition.name, epoch, uid, files[uid].read_bytes()
 
 
 class ServerReader(DataSourceReader):
@@ -93,12 +114,22 @@ class ServerReader(DataSourceReader):
         named = [re.match(rb'\((?P<flags>[^)]*)\) (?:"[^"]*"|NIL) (?P<name>.*)', line) for line in lines if line]
         return [Mailbox(m["name"].decode().strip('"')) for m in named if m and b"\\noselect" not in m["flags"].lower()]
 
+    def uids(self, name: str, above: int) -> tuple[int, list[int]]:
+        """The validity, and the uids from `above` on in order."""
+        server = self.session()
+        server.select(f'"{name}"', readonly=True)
+        epoch = int((server.response("UIDVALIDITY")[1] or [b"0"])[0] or 0)
+        _, found = server.uid("SEARCH", f"UID {above + 1}:*")
+        server.logout()
+        # a range that begins behind the last message holds the last one
+        return epoch, sorted(u for u in map(int, found[0].split()) if u > above)
+
     def read(self, partition: Mailbox) -> Iterator[tuple]:
         server = self.session()
         server.select(f'"{partition.name}"', readonly=True)
         epoch = int((server.response("UIDVALIDITY")[1] or [b"0"])[0] or 0)
         _, found = server.uid("SEARCH", "ALL")
-        uids = found[0].split()
+        uids = [u for u in found[0].split() if partition.holds(epoch, int(u))]
         if self.options.get("items") == "structures":
             for uid, structure in in_halves(lambda some: structures(server, some), uids, STRUCTURES_AT_ONCE):
                 yield partition.name, epoch, int(uid), structure
@@ -131,6 +162,59 @@ def structures(server, uids: list[bytes]) -> Iterator[tuple]:
             yield uid[1], re.sub(rb" UID [0-9]+$", b"", text)
 
 
+class MailboxStream(DataSourceStreamReader):
+    """Follows what a reader of mailboxes sees; an offset maps a mailbox to [validity, highest uid]."""
+
+    def __init__(self, reader: FolderReader | ServerReader, per_batch: int | None, position: str | None):
+        self.reader, self.per_batch, self.note = reader, per_batch, position
+        self.at: dict[str, list[int]] | None = None
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        self.at = {}
+        return {}
+
+    def noted(self) -> dict:
+        from ..sources.stores import system_of
+
+        if self.at is None and self.note:
+            system, name = system_of(self.note)
+            if system.get_file_info(name).is_file:
+                with system.open_input_file(name) as file:
+                    self.at = json.loads(file.read())
+        return self.at or {}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        """Of each mailbox the uid up to which the next batch goes; mailboxes that are gone leave the offset."""
+        at, admits = self.noted(), self.per_batch if self.at is not None else None
+        found = {}
+        for box in self.reader.partitions():
+            known, above = at.get(box.name, [None, 0])
+            epoch, uids = self.reader.uids(box.name, above)
+            if epoch != known and above:
+                epoch, uids = self.reader.uids(box.name, 0)
+            above = above if epoch == known else 0
+            found[box.name] = [epoch, uids[:admits][-1] if uids else above]
+        return found
+
+    def partitions(self, start: dict, end: dict) -> list[Mailbox]:
+        from ..sources.stores import write_whole
+
+        self.at = end
+        if self.note:
+            write_whole(self.note, [json.dumps(end).encode()])
+        found = []
+        for name, (epoch, upto) in sorted(end.items()):
+            known, above = start.get(name, [epoch, 0])
+            above = above if known == epoch else 0
+            if upto > above:
+                found.append(Mailbox(name, epoch, above, upto))
+        return found
+
+    def read(self, partition: Mailbox) -> Iterator[tuple]:
+        """A mailbox whose validity has changed since the batch was planned gives nothing; the next batch begins it anew."""
+        return self.reader.read(partition)
+
+
 class MailboxSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -141,3 +225,7 @@ class MailboxSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return FolderReader(self.options) if "folder" in self.options else ServerReader(self.options)
+
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        n = self.options.get("per_batch")
+        return MailboxStream(self.reader(schema), int(n) if n else None, self.options.get("position"))

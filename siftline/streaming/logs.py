@@ -8,17 +8,19 @@ from __future__ import annotations
 
 import io
 import re
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
-from pyspark.sql.window import Window as W
 
 from ..operators.runs import LOG_LINE
+from . import state
+from .state import COUNTERS
 
-COUNTERS = ("bytes", "transfers", "errors", "deletes")
 #: Bytes that one task reads of a file, and bytes looked at in one step for the last line's end.
 PART_BYTES, STEP = 64 << 20, 1 << 16
 
@@ -47,17 +49,24 @@ class LogReader(DataSourceStreamReader):
         return {}
 
     def latestOffset(self, *_) -> dict:  # noqa: N802
-        """Bytes up to the last line end of each file; a folder that is not there yet holds nothing new."""
+        """Bytes up to the last line end of each file that is there; a folder that is not there yet holds nothing new.
+
+        Files that are gone leave the offset, so it grows with the folder and not with its history. A file that is shorter
+        than it was has been truncated: its lines count from the beginning again.
+        """
         from pyarrow import fs
 
         store, root = self.store()
-        found = dict(getattr(self, "seen", {}))
+        before, found = getattr(self, "seen", {}), {}
         for info in store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True)):
             name = info.path[len(root.rstrip("/")) + 1 :]
             if info.type == fs.FileType.File and not re.search("(^|/)[._]", name):
-                found[name] = self.line_end(store, info.path, found.get(name, 0), info.size)
-        self.seen = {name: at for name, at in found.items() if at}
-        return dict(self.seen)
+                known = before.get(name, 0)
+                end = self.line_end(store, info.path, known if known <= info.size else 0, info.size)
+                if end:
+                    found[name] = end
+        self.seen = found
+        return dict(found)
 
     @staticmethod
     def line_end(store, path: str, low: int, size: int) -> int:
@@ -76,7 +85,8 @@ class LogReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
         found = []
         for name, last in sorted(end.items()):
-            cuts = range(start.get(name, 0), last, PART_BYTES)
+            first = start.get(name, 0)
+            cuts = range(first if first <= last else 0, last, PART_BYTES)
             found += [Stretch(name, a, min(a + PART_BYTES, last), k == 0) for k, a in enumerate(cuts)]
         return found
 
@@ -116,75 +126,101 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.where(F.col("log").isNotNull() & (F.col("log.level").isNotNull() | F.col("log.stats").isNotNull())).select("lane", "part", "position", "log.*")
 
 
-def streaks(rows: DataFrame) -> DataFrame:
-    """(lane, streaks): a lane's errors of one cause in a row, as cause, first_key and how often it was repeated."""
-    order = W.partitionBy("lane").orderBy("part", "position")
-    errors = rows.where(F.lower("level") == "error").select("lane", "part", "position", "msg", "object")
-    begins = (~F.lag("msg").over(order).eqNullSafe(F.col("msg")) | (F.row_number().over(order) == 1)).cast("int")
-    island = errors.withColumn("begins", begins).withColumn("island", F.sum("begins").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    found = island.groupBy("lane", "island").agg(F.first("msg").alias("cause"), F.min_by("object", F.struct("part", "position")).alias("first_key"), (F.count("*") - 1).alias("repeated"))
-    listed = F.collect_list(F.struct("island", "cause", "first_key", "repeated"))
-    return found.where("repeated > 0").groupBy("lane").agg(F.transform(F.array_sort(listed), lambda s: F.struct(s["cause"].alias("cause"), s["first_key"].alias("first_key"), s["repeated"].alias("repeated"))).alias("streaks"))
-
-
-def poll(rows: DataFrame, before: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """(deltas, counters): per lane what its counters have grown by in this poll, with its streaks, and where the
-    counters of all lanes stand now. Only a lane's last counters meet the state."""
-    last = rows.groupBy("lane").agg(F.max_by("stats", F.when(F.col("stats").isNotNull(), F.struct("part", "position"))).alias("s"))
-    now = last.select("lane", F.lit(True).alias("polled"), F.col("s").isNotNull().alias("told"), *[F.coalesce(f"s.{c}", F.lit(0)).alias(f"now_{c}") for c in COUNTERS])
-    old = before if before is not None else now.select("lane", *[F.lit(0).cast("long").alias(c) for c in COUNTERS])
-    both = now.join(old, "lane", "full")
-    stands = {c: F.when(F.col("told"), F.col(f"now_{c}")).otherwise(F.coalesce(F.col(c), F.lit(0))) for c in COUNTERS}
-    grown = both.where("polled").select("lane", *[F.greatest(stands[c] - F.coalesce(F.col(c), F.lit(0)), F.lit(0)).alias(c) for c in COUNTERS])
-    nothing = F.expr("cast(array() as array<struct<cause:string,first_key:string,repeated:bigint>>)")
-    deltas = grown.join(streaks(rows), "lane", "left").withColumn("streaks", F.coalesce("streaks", nothing))
-    return deltas, both.select("lane", *[stands[c].alias(c) for c in COUNTERS])
-
-
 def follow(parsed: DataFrame, folder: str) -> DataFrame:
-    """The deltas of everything that parsed has now, a row a lane and poll, after those of earlier calls.
+    """What the lanes of parsed have grown by, and their streaks, up to all that there is now: a row a lane and poll (kind
+    "poll": the counters) and one a streak (kind "streak": cause, first_key, repeated), after those of earlier calls.
 
-    Every poll writes its rows and the state under its own number, so that a poll that is run again writes the same.
+    Every micro-batch is a poll. Counters stay in the state store from poll to poll; streaks of errors end with theirs. A
+    poll that is run again writes the same rows under its number.
     """
-    spark = parsed.sparkSession
+    start(parsed, folder).awaitTermination()
+    return changes(parsed.sparkSession, folder)
+
+
+def start(parsed: DataFrame, folder: str, *, every: str | None = None, progress_seconds: float = 0):
+    """The running query behind follow(): with `every` it polls at that tick until it is stopped, and with progress_seconds it
+    tells where a lane stands (kind "progress") as often, as long as its counters move."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        deltas, state = poll(batch, latest_snapshot(batch.sparkSession, f"{folder}/state", number))
-        deltas.write.mode("overwrite").parquet(f"{folder}/out/poll={number:09d}")
-        state.write.mode("overwrite").parquet(f"{folder}/state/snapshot={number:09d}")
+        if not batch.isEmpty():
+            batch.write.mode("overwrite").parquet(f"{folder}/out/poll={number:09d}")
         batch.unpersist()
 
-    parsed.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
-    schema = f"lane string, {', '.join(f'{c} long' for c in COUNTERS)}, streaks array<struct<cause:string,first_key:string,repeated:bigint>>, poll int"
-    return spark.read.schema(schema).parquet(f"{folder}/out") if latest_snapshot(spark, f"{folder}/state") is not None else spark.createDataFrame([], schema)
+    return state.to_table(state.lane_changes(parsed, progress_seconds=progress_seconds), folder, every=every, write=write)
+
 
+def changes(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that follow() and start() have written, with the number of their poll."""
+    schema = T.StructType([*state.CHANGE.fields, T.StructField("poll", T.IntegerType())])
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/out")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.schema(schema).parquet(f"{folder}/out") if there else spark.createDataFrame([], schema)
 
-def ledger_upsert(updates: DataFrame, path: str, checkpoint: str):
-    """Follows a stream of (mailbox, uidvalidity, uid, ingested_at) into a ledger of snapshots under path.
 
-    Each micro-batch writes a snapshot of its own number, so that a batch that is run again writes the same one, and
-    readers take the last that is whole.
+def ledger_upsert(updates: DataFrame, path: str, checkpoint: str, *, flush_seconds: float = 0, every: str | None = None):
+    """Follows a stream of (mailbox, uidvalidity, uid, ingested_at) into a ledger under path; the running query.
+
+    The least ingested_at of each key is state of the stream; what a batch lowers is appended as a change under its number.
+    A snapshot of the whole is written when the last one is flush_seconds old, so its cost does not come with each
+    batch. `ledger_now` reads both, `ledger_flush` writes a last snapshot; ledger_follow() does so at the end, whatever ends it.
     """
     from ..operators import ledger
 
+    flushed = [time.monotonic()]
+
     def write(batch: DataFrame, number: int) -> None:
-        old = latest_snapshot(batch.sparkSession, path, number)
-        merged = ledger.merge(old, batch) if old is not None else ledger.earliest(batch)
-        merged.write.mode("overwrite").parquet(f"{path}/snapshot={number:09d}")
+        batch.write.mode("overwrite").parquet(f"{path}/changes/batch={number:09d}")
+        if time.monotonic() - flushed[0] >= flush_seconds:
+            ledger_flush(batch.sparkSession, path, number)
+            flushed[0] = time.monotonic()
 
-    return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    keyed = updates.groupBy(*ledger.KEY).agg(F.min("ingested_at").alias("ingested_at"))
+    writer = keyed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def latest_snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The ledger as of the last snapshot, of those before a number if one is given; None without any."""
+def ledger_follow(updates: DataFrame, path: str, checkpoint: str, *, flush_seconds: float = 60) -> DataFrame:
+    """The ledger after all that the stream has now; a last snapshot is written also if the stream ends in an error."""
+    spark = updates.sparkSession
+    try:
+        ledger_upsert(updates, path, checkpoint, flush_seconds=flush_seconds).awaitTermination()
+    finally:
+        if numbered(spark, f"{path}/changes", "batch="):
+            ledger_flush(spark, path)
+    return ledger_now(spark, path)
+
+
+def ledger_now(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
+    """The last snapshot with the changes since, up to a batch if one is given."""
+    from ..operators import ledger
+
+    schema = "mailbox string, uidvalidity long, uid long, ingested_at string"
+    batches = [n for n in numbered(spark, f"{path}/changes", "batch=") if upto is None or n <= upto]
+    snapshots = [n for n in numbered(spark, path, "snapshot=") if upto is None or n < upto]
+    since = [n for n in batches if not snapshots or n > snapshots[-1]]
+    parts = ([f"{path}/snapshot={snapshots[-1]:09d}"] if snapshots else []) + [f"{path}/changes/batch={n:09d}" for n in since]
+    return ledger.earliest(spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema))
+
+
+def ledger_flush(spark: SparkSession, path: str, number: int | None = None) -> None:
+    """Writes the snapshot as of a batch, the last one if none is given; one that is run again writes the same."""
+    batches = numbered(spark, f"{path}/changes", "batch=")
+    number = batches[-1] if number is None else number
+    if number not in numbered(spark, path, "snapshot="):
+        ledger_now(spark, path, number).write.mode("overwrite").parquet(f"{path}/snapshot={number:09d}")
+
+
+def numbered(spark: SparkSession, path: str, start: str) -> list[int]:
+    """The numbers of the whole tables of a folder whose names begin like that, in order."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    whole = [n for n in names if n.startswith("snapshot=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-    numbers = sorted(int(n.partition("=")[2]) for n in whole)
-    numbers = [n for n in numbers if before is None or n < before]
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n[len(start) :]) for n in names if n.startswith(start) and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+
+
+def latest_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ledger as of the last snapshot; None without any."""
+    numbers = numbered(spark, path, "snapshot=")
     return spark.read.parquet(f"{path}/snapshot={numbers[-1]:09d}") if numbers else None

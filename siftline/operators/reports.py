@@ -23,7 +23,8 @@ def run_id(nanos: Column, host: Column, pid: Column) -> Column:
 
 def run_prefix(at: Column, job: Column, run: Column) -> Column:
     """The folder of a run's artifacts: its day in UTC, job and name."""
-    return F.concat_ws("-", F.date_format(at, "yyyy-MM-dd"), job, run)
+    day = F.date_from_unix_date(F.floor(F.unix_micros(at.cast("timestamp")) / 86_400_000_000).cast("int"))
+    return F.concat_ws("-", day.cast("string"), job, run)
 
 
 def section(rows: DataFrame, number: int, line: Column) -> DataFrame:
@@ -60,19 +61,24 @@ def dedup_lines(records: DataFrame, failures: DataFrame) -> DataFrame:
 
 
 def transform_lines(outcomes: DataFrame, outputs: DataFrame, collisions: DataFrame | None = None) -> DataFrame:
-    """(section, line) of a conversion: a line a file that was not skipped, then totals by outcome, stage and reason.
+    """(section, line) of a conversion: a line a file that was pulled, then totals by outcome, stage and reason, and of
+    the pull. Of skipped files only those that look like messages have been pulled, so they have a line too.
 
     outcomes (key, outcome, stage, error, skip_reason), outputs (key, name), collisions (members) as
     plans/pipelines.transform gives them.
     """
     names = outputs.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
-    told = outcomes.where(F.col("outcome") != "skipped").join(names, "key", "left")
+    shaped = F.coalesce(F.col("skip_reason") == "email_shaped", F.lit(False))
+    pulled = outcomes.where((F.col("outcome") != "skipped") | shaped).withColumn("outcome", F.when(shaped, "skipped_email_shaped").otherwise(F.col("outcome")))
+    told = pulled.join(names, "key", "left")
     count = lambda column, value: F.count_if(F.col(column) == value).cast("string")
     listed = lambda column, values: F.concat_ws(", ", *[F.concat(count(column, v), F.lit(f" {v}")) for v in values])
     failed = F.when(F.col("outcome") == "failed", F.col("stage"))
     totals = outcomes.withColumn("stage", failed).agg(
         listed("outcome", ["transcoded", "copied", "failed"]).alias("outcome"), listed("stage", STAGES).alias("stage"), listed("skip_reason", SKIPS).alias("skip")
     )
+    at_pull = (F.col("outcome") == "failed") & (F.col("stage") == "pull")
+    pull = pulled.agg(F.count_if(~F.coalesce(at_pull, F.lit(False))).cast("string").alias("n"), F.count_if(at_pull).cast("string").alias("m"))
     pushed = outputs.agg(F.count("*").cast("string").alias("n"))
     parts = [
         heading(outcomes, TRANSFORM_HEAD),
@@ -81,9 +87,10 @@ def transform_lines(outcomes: DataFrame, outputs: DataFrame, collisions: DataFra
         section(pushed, 3, F.concat("n", F.lit(" output file(s)."))),
         section(totals, 4, F.concat(F.lit("failures by stage: "), "stage", F.lit("."))),
         section(totals, 5, F.concat(F.lit("skipped: "), "skip", F.lit("."))),
+        section(pull, 6, F.concat("n", F.lit(" pulled, "), "m", F.lit(" pull error(s)."))),
     ]
     if collisions is not None:
-        parts.append(section(collisions, 6, F.array_join("members", " | ")))
+        parts.append(section(collisions, 7, F.array_join("members", " | ")))
     return joined(parts)
 
 

@@ -82,6 +82,56 @@ def textclipping(spark, sf_dir):
     return archives.expand(files, archives.clipping).select(F.col("key").cast("bigint").alias("doc_id"), F.sha2("content", 256).alias("content_hash"))
 
 
+def icon(text: str, number: int) -> bytes:
+    """An icon file with a small image, a large one twice, and one in a form that is not copied; every ninth has none."""
+    entry = lambda kind, data: kind + (len(data) + 8).to_bytes(4, "big") + data
+    png = b"\x89PNG" + text.encode()
+    images = entry(b"ic07", png + b"small and long") + entry(b"ic09", png) + entry(b"ic14", png)
+    return entry(b"icns", (b"" if number % 9 == 0 else images) + entry(b"ic10", b"raw"))
+
+
+@query("icon_images", """select doc_id, case when doc_id % 9 <> 0 then 'ic09' end as part, case when doc_id % 9 <> 0 then sha256('\\x89PNG'::blob || encode(coalesce(text, ''))) end as content_hash from documents""")
+def icon_images(spark, sf_dir):
+    """The largest image of icon files made from documents; the first of two of equal size."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+    found = archives.largest_icons(made(d, icon))
+    return found.select(F.col("key").cast("bigint").alias("doc_id"), "part", F.when(F.col("error").isNull(), F.sha2("content", 256)).alias("content_hash"))
+
+
+def book(name: str, segment: str, number: int) -> bytes:
+    """A workbook of three sheets: text, numbers, a gap and a boolean; an empty one; shared strings."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    cell = lambda place, kind, value: f'<c r="{place}" t="{kind}">{value}</c>'
+    first = cell("A1", "inlineStr", f"<is><t>{escape(name)}</t></is>") + cell("C1", "n", f"<v>{number}</v>") + cell("D1", "b", f"<v>{number % 2}</v>")
+    sheet = lambda rows: f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>"
+    files = {
+        "xl/workbook.xml": f'<workbook {main} {rel}><sheets><sheet name="Data" r:id="r1"/><sheet name="Empty" r:id="r2"/><sheet name="More" r:id="r3"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": "<Relationships>" + "".join(f'<Relationship Id="r{k}" Target="worksheets/s{k}.xml"/>' for k in (1, 2, 3)) + "</Relationships>",
+        "xl/sharedStrings.xml": f"<sst {main}><si><t>no</t></si><si><t>{escape(segment)}</t></si></sst>",
+        "xl/worksheets/s1.xml": sheet(f"<row>{first}</row>"),
+        "xl/worksheets/s2.xml": sheet(""),
+        "xl/worksheets/s3.xml": sheet(f"<row>{cell('A1', 's', '<v>1</v>')}</row><row>{cell('B2', 's', '<v>0</v>')}</row>"),
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for place, data in files.items():
+            z.writestr(zipfile.ZipInfo(place), data)
+    return out.getvalue()
+
+
+@query("workbook_sheets", """select c_custkey, s.part, case s.part when '1:Data' then c_name || ',,' || c_custkey::varchar || ',' || case when c_custkey % 2 = 1 then 'true' else 'false' end || chr(10)
+else c_mktsegment || ',' || chr(10) || ',no' || chr(10) end as csv from customer, (values ('1:Data'), ('3:More')) s(part)""")
+def workbook_sheets(spark, sf_dir):
+    """The sheets of workbooks made from customers, without the empty ones."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), "c_name", "c_mktsegment", "c_custkey")
+    return archives.expand(made(c, book), archives.sheets).select(F.col("key").cast("bigint").alias("c_custkey"), "part", F.decode("content", "UTF-8").alias("csv"))
+
+
 @query("ics_text", """select o_orderkey, 'Calendar' || chr(10) || chr(10) || 'Event 1 of 1' || chr(10) || 'Summary: Order, ' || o_orderkey::varchar || chr(10) || 'When: ' || strftime(o_orderdate, '%Y-%m-%d')
 || ' (Europe/Berlin)' || chr(10) || 'Status: ' || o_orderstatus || chr(10) as text from orders""")
 def ics_text(spark, sf_dir):

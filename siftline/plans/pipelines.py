@@ -53,14 +53,16 @@ def transform(files: DataFrame, destination: DataFrame, kind: str, source: str)
     pulled = chosen.where(F.col("skip_reason").isNull())
     if kind == "md":
         shaped = text.is_email_shaped(text.email_signals(text.window(F.make_valid_utf8(F.col("content").cast("string")))))
-        pulled = pulled.withColumn("shaped", shaped)
-        chosen = chosen.join(pulled.where("shaped").select("key", F.lit("email_shaped").alias("shape")), "key", "left").withColumn("skip_reason", F.coalesce("skip_reason", "shape")).drop("shape")
-        pulled = pulled.where(~F.col("shaped")).drop("shaped")
+        signals = text.email_signals(text.window(F.make_valid_utf8(F.col("content").cast("string"))))
+        pulled = settle(pulled.withColumn("shaped", shaped).withColumn("why", F.concat(F.lit("email-shaped: "), text.describe(signals))))
+        told = pulled.where("shaped").select("key", F.lit("email_shaped").alias("shape"), "why")
+        chosen = chosen.join(told, "key", "left").withColumn("skip_reason", F.coalesce("skip_reason", "shape")).drop("shape")
+        pulled = pulled.where(~F.col("shaped")).drop("shaped", "why")
     single = lambda rows: rows.select("key", "grp", F.lit(None).cast("string").alias("part"), "content", F.lit(None).cast("string").alias("error"))
     if kind == "icns":
-        parts = pulled.select("key", "grp").join(archives.largest_icons(pulled), "key").select("key", "grp", F.lit(None).cast("string").alias("part"), "content", "error")
+        parts = archives.largest_icons(pulled, ("grp",)).select("key", "grp", F.lit(None).cast("string").alias("part"), "content", "error")
     elif kind in archives.CONVERTERS and kind not in ("zip", "eml"):
-        parts = archives.expand(pulled, archives.CONVERTERS[kind]).join(pulled.select("key", "grp"), "key").select("key", "grp", F.when(F.col("error").isNull() & F.lit(kind == "xlsx"), F.col("part")).alias("part"), "content", "error")
+        parts = archives.expand(pulled, archives.CONVERTERS[kind], ("grp",)).select("key", "grp", F.when(F.col("error").isNull() & F.lit(kind == "xlsx"), F.col("part")).alias("part"), "content", "error")
     elif kind in ("ics", "vcf"):
         shown = (vobject.calendar_text if kind == "ics" else vobject.contact_text)(pulled.select("key", "content"))
         why = F.when(F.octet_length(pulled["content"]) > vobject.MOST_BYTES, f"is larger than {vobject.MOST_BYTES >> 20} MiB").when(F.col("text").isNull(), f"is not {'an iCalendar' if kind == 'ics' else 'a vCard'} file")
@@ -80,7 +82,9 @@ def transform(files: DataFrame, destination: DataFrame, kind: str, source: str)
     outputs = sheets.select("key", "name", "content").unionByName(plain)
     state = parts.groupBy("key").agg(F.max("error").alias("error"))
     outcome = F.when(F.col("error").isNotNull(), "failed").when(F.col("skip_reason").isNotNull(), "skipped").otherwise("copied" if not tool and output in endings.split(" ") else "transcoded")
-    outcomes = chosen.select("key", "skip_reason").join(state, "key", "left").select("key", "skip_reason", "error", outcome.alias("outcome"), F.when(F.col("error").isNotNull(), "transcode").alias("stage"))
+    why = F.col("why") if "why" in chosen.columns else F.lit(None).cast("string")
+    joined = chosen.select("key", "skip_reason", why.alias("why")).join(state, "key", "left")
+    outcomes = joined.select("key", "skip_reason", F.coalesce("error", "why").alias("error"), outcome.alias("outcome"), F.when(F.col("error").isNotNull(), "transcode").alias("stage"))
     return {"outputs": outputs, "outcomes": outcomes, "collisions": select.collision_groups(mine)}
 
 
@@ -97,15 +101,16 @@ def email_scan(server: DataFrame, known: DataFrame, previous: DataFrame, at: str
 
 
 def email_import(messages: DataFrame, known: DataFrame, identity: str, at: str, batch_size: int = 20, per_minute: int = 120) -> dict[str, DataFrame]:
-    """messages (mailbox, uidvalidity, uid, content) to the objects to write, the merged ledger and the schedule."""
+    """messages (mailbox, uidvalidity, uid, content) to the objects to write, the merged ledger, the schedule, and the
+    messages whose attachments could not be unpacked (key, error): these are delivered as they came, and told."""
     new = settle(ledger.missing(messages, known))
     box = paths.sanitize_mailbox(F.col("mailbox"), "/")
     raw = new.select(paths.message_key(F.lit(identity), box, F.col("uid")).alias("key"), "content")
-    parts = archives.expand(raw, archives.attachments).where(F.col("error").isNull())
-    attached = parts.select(F.concat(F.regexp_replace("key", r"\.eml$", ""), F.lit("/attachments/"), paths.sanitize_filename(F.col("part"))).alias("key"), "content")
+    parts = settle(archives.expand(raw, archives.attachments), "attachments")
+    attached = parts.where(F.col("error").isNull()).select(F.concat(F.regexp_replace("key", r"\.eml$", ""), F.lit("/attachments/"), paths.sanitize_filename(F.col("part"))).alias("key"), "content")
     batched = ledger.batches(new.select("mailbox", "uid"), batch_size)
     requests = batched.select(F.lit(identity).alias("lane"), F.struct("mailbox", "batch").alias("i"), F.lit(0.0).alias("at"), F.size("uids").alias("n"), "mailbox", "batch")
-    return {"objects": raw.unionByName(attached), "ledger": ledger.merge(known, new.select(*ledger.KEY, F.lit(at).alias("ingested_at"))), "schedule": runs.schedule(requests, per_minute).select("mailbox", "batch", "start")}
+    return {"objects": raw.unionByName(attached), "unpack_failed": parts.where(F.col("error").isNotNull()).select("key", "error"), "ledger": ledger.merge(known, new.select(*ledger.KEY, F.lit(at).alias("ingested_at"))), "schedule": runs.schedule(requests, per_minute).select("mailbox", "batch", "start")}
 
 
 def deliver(messages: DataFrame, known: DataFrame, identity: str, at: str, root: str, ledger_path: str) -> DataFrame:

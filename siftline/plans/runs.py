@@ -156,6 +156,8 @@ def counts(column: str, values: list[str], where: str = "true") -> str:
 @query("transform_report_lines", f"""{TOLD}
 select {sql_text(chr(9).join(reports.TRANSFORM_HEAD))} as line
 union all select concat_ws(chr(9), key, outcome, coalesce(stage, ''), case n when 2 then key || '-a.csv,' || key || '-b.csv' when 1 then key || '-a.csv' else '' end, coalesce(error, '')) from w where outcome <> 'skipped'
+union all select concat_ws(chr(9), key, 'skipped_email_shaped', '', '', 'email-shaped: ' || key) from w where skip_reason = 'email_shaped'
+union all select count(*) filter ((outcome <> 'skipped' or skip_reason = 'email_shaped') and coalesce(stage, '') <> 'pull')::varchar || ' pulled, ' || count(*) filter (outcome = 'failed' and stage = 'pull')::varchar || ' pull error(s).' from w
 union all select {counts('outcome', ['transcoded', 'copied', 'failed'])} || '.' from w
 union all select sum(n)::bigint::varchar || ' output file(s).' from w
 union all select 'failures by stage: ' || {counts('stage', reports.STAGES, "outcome = 'failed'")} || '.' from w
@@ -164,6 +166,7 @@ def transform_report_lines(spark, sf_dir):
     """The report of a conversion, written under a run's folder and read from there."""
     reason = F.element_at(F.array(*[F.lit(s) for s in ("already_done", "apple_double", "lock_stub", "email_shaped")]), (F.col("position") % 4 + 1).cast("int"))
     o = outcomes(spark, sf_dir).select(F.concat(F.lit("k-"), F.col("position").cast("string")).alias("key"), F.when(F.col("skipped"), "skipped").otherwise(F.col("outcome")).alias("outcome"), "stage", "error", F.when(F.col("skipped"), reason).alias("skip_reason"))
+    o = o.withColumn("error", F.when(F.col("skip_reason") == "email_shaped", F.concat(F.lit("email-shaped: "), "key")).otherwise(F.col("error")))
     ends = F.when(F.col("outcome") == "transcoded", F.array(F.lit("-b.csv"), F.lit("-a.csv"))).when(F.col("outcome") == "copied", F.array(F.lit("-a.csv")))
     outputs = o.select("key", F.explode(ends).alias("end")).select("key", F.concat("key", "end").alias("name"))
     root = shared_folder(spark, "reports")

@@ -35,31 +35,36 @@ BATCH_BYTES, BATCH_ROWS = 4 << 20, 1000
 Parts = Iterator[tuple[str, bytes]]
 
 
-def expand(files: DataFrame, parts: Callable[[bytes], Parts]) -> DataFrame:
+def expand(files: DataFrame, parts: Callable[[bytes], Parts], carry: tuple[str, ...] = ()) -> DataFrame:
     """PART rows of files (key, content) by a reader that yields the name and bytes of each part.
 
-    Parts leave a task in Arrow batches of about BATCH_BYTES; a part larger than that is a batch of its own.
+    Parts leave a task in Arrow batches of about BATCH_BYTES; a part larger than that is a batch of its own. Columns named
+    in `carry` (strings) come with each part of their file, so that no join has to bring them back.
     """
+    names, types = [*NAMES, *carry], [*TYPES, *[pa.string()] * len(carry)]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for key, content in zip(batch.column(0), batch.column(1), strict=True):
-                position, own = 0, key.as_py()
+            for key, content, *more in zip(*batch.columns, strict=True):
+                position, own, also = 0, key.as_py(), [c.as_py() for c in more]
                 try:
                     for name, data in parts(content.as_py() or b""):
-                        rows.append((own, name, position, data, None))
+                        rows.append((own, name, position, data, None, *also))
                         position, held = position + 1, held + len(data)
                         if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
-                            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(TYPES)], NAMES)
+                            yield table(rows)
                             rows, held = [], 0
                 except Exception as error:  # noqa: BLE001  any damage of a file is that file's result
-                    rows.append((own, None, position, None, f"{type(error).__name__}: {error}"))
+                    rows.append((own, None, position, None, f"{type(error).__name__}: {error}", *also))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(TYPES)], NAMES)
+            yield table(rows)
 
-    return files.select("key", F.col("content").cast("binary").alias("content")).mapInArrow(run, PART)
+    return files.select("key", F.col("content").cast("binary").alias("content"), *carry).mapInArrow(run, ", ".join([PART, *[f"{c} string" for c in carry]]))
 
 
 def zip_members(content: bytes) -> Parts:
@@ -77,11 +82,11 @@ def zip_members(content: bytes) -> Parts:
                 yield info.filename, data
 
 
-def members(files: DataFrame) -> DataFrame:
+def members(files: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Members of zip files as PART rows keyed by archive!member, without what systems leave behind."""
-    found = expand(files, zip_members)
+    found = expand(files, zip_members, carry)
     kept = found.where(F.col("part").isNull() | ~paths.is_skippable_member(F.col("part")))
-    return kept.select(F.when(F.col("part").isNull(), F.col("key")).otherwise(paths.member_key(F.col("key"), F.col("part"))).alias("key"), F.col("key").alias("archive"), "part", "position", "content", "error")
+    return kept.select(F.when(F.col("part").isNull(), F.col("key")).otherwise(paths.member_key(F.col("key"), F.col("part"))).alias("key"), F.col("key").alias("archive"), "part", "position", "content", "error", *carry)
 
 
 def all_members(files: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -93,8 +98,7 @@ def all_members(files: DataFrame, depth: int = DEPTH) -> DataFrame:
     found = level
     for n in range(1, depth + 1):
         zips = level.where(paths.is_zip(F.col("key")) & F.col("content").isNotNull())
-        roots = zips.select("root_key", F.col("key").alias("archive"))
-        level = settle(members(zips.select("key", "content")).join(roots, "archive").select("root_key", "key", "content", F.lit(n).alias("depth"), "error"))
+        level = settle(members(zips, ("root_key",)).select("root_key", "key", "content", F.lit(n).alias("depth"), "error"))
         if level.isEmpty():
             break
         if n == depth:
@@ -168,15 +172,18 @@ def icon_images(content: bytes) -> Parts:
 ICON_WIDTHS = {"icp4": 16, "icp5": 32, "icp6": 64, "ic07": 128, "ic08": 256, "ic09": 512, "ic10": 1024, "ic11": 32, "ic12": 64, "ic13": 256, "ic14": 512}
 
 
-def largest_icons(files: DataFrame) -> DataFrame:
-    """(key, part, content, error): the largest image of each icon file by nominal width, then bytes; the first of equal
-    ones. Files that cannot be read, or hold no image that can be copied, have an error."""
-    width = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ICON_WIDTHS.items() for x in kv]), F.col("part")), F.lit(0))
-    found = expand(files, icon_images)
-    rank = F.when(F.col("error").isNull(), F.struct(width.alias("w"), F.octet_length("content").alias("n"), (-F.col("position")).alias("p")))
-    best = found.groupBy("key").agg(F.max_by(F.struct("part", "content"), rank).alias("best"), F.max("error").alias("error"))
-    error = F.coalesce("error", F.when(F.col("best").isNull(), "ValueError: holds no PNG or JPEG 2000 image"))
-    return files.select("key").distinct().join(best, "key", "left").select("key", "best.part", "best.content", error.alias("error"))
+def largest_image(content: bytes) -> Parts:
+    """The image of an icon file with the greatest nominal width, then the most bytes; the first of equal ones."""
+    images = list(icon_images(content))
+    if not images:
+        raise ValueError("holds no PNG or JPEG 2000 image")
+    yield max(images, key=lambda image: (ICON_WIDTHS.get(image[0], 0), len(image[1])))
+
+
+def largest_icons(files: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, part, content, error): the largest image of each icon file. Files that cannot be read, or hold no image that
+    can be copied, have an error."""
+    return expand(files, largest_image, carry).select("key", "part", "content", "error", *carry)
 
 
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"

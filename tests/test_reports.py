@@ -130,3 +130,33 @@ def test_drawings(spark):
     cases = [("<svg></svg>", False), ("<svg><line", True), ("<svg><rect", True), ("<svg><rect>", True), ('<rect x="" class="BoundingBox">', False), ("<defs><path/></defs", False), ("<defs/><path/>", True), ("<pathology/>", False), (None, None)]
     rows = spark.createDataFrame(cases, "svg string, want boolean")
     assert rows.where(~text.draws_something(F.col("svg")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_shaped_markdown_has_a_line_and_pulls_are_counted(spark):
+    rows = [("a.md", "copied", None, None, None), ("m.md", "skipped", None, "email-shaped: provenance", "email_shaped"), ("b.md", "failed", "pull", "no", None), ("._x", "skipped", None, None, "apple_double")]
+    outcomes = spark.createDataFrame(rows, "key string, outcome string, stage string, error string, skip_reason string")
+    told = [r.line for r in reports.transform_lines(outcomes, spark.createDataFrame([("a.md", "a-1.md")], "key string, name string")).orderBy("section", "line").collect()]
+    assert "m.md\tskipped_email_shaped\t\t\temail-shaped: provenance" in told and "2 pulled, 1 pull error(s)." in told
+    assert not any(line.startswith("._x") for line in told) and "skipped: 0 already_done, 1 apple_double, 0 lock_stub, 1 email_shaped." in told
+
+
+def test_days_of_runs_are_those_of_utc(spark):
+    from pyspark.sql import functions as F
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        at = F.timestamp_seconds(F.lit(1_700_000_000 - 1_700_000_000 % 86_400 + 80_000))  # late in the day in UTC, the next day there
+        assert spark.range(1).select(reports.run_prefix(at, F.lit("j"), F.lit("r"))).first()[0] == "2023-11-14-j-r"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_messages_that_cannot_be_unpacked_are_told(spark):
+    from siftline.plans import pipelines
+
+    deep = b"".join(b"Content-Type: multipart/mixed; boundary=b%d\n\n--b%d\n" % (k, k) for k in range(3000))
+    mail = spark.createDataFrame([("in", 1, 1, bytearray(b"Subject: x\n\nhi")), ("in", 1, 2, bytearray(deep))], "mailbox string, uidvalidity long, uid long, content binary")
+    out = pipelines.email_import(mail, spark.createDataFrame([], "mailbox string, uidvalidity long, uid long, ingested_at string"), "me", "2024")
+    assert [(r.key.rpartition("/")[2], "Recursion" in r.error) for r in out["unpack_failed"].collect()] == [("2.eml", True)]
+    assert out["objects"].count() == 2 and out["ledger"].count() == 2

@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from .common import grouped, kept, small_batches, unused
 
-#: Labelled documents that the model learns from, a language; slots of its n-grams; and the languages it learns, those
-#: with the most documents.
+#: Labelled documents that the model learns from, a language, where there are more (fewer than twice as many are taken,
+#: by a hash); slots of its n-grams; and languages at most, more being an error.
 SAMPLE_DOCS, SLOTS, MOST_LANGS = 2000, 1 << 16, 500
 #: The longest n-gram, the most letters of a unit, and what a change of language costs in nats.
 GRAM, LONGEST, PENALTY = 3, 64, 6.0
@@ -149,10 +149,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, most_langs: int = MOST_LANGS) -> dict:
-    """A model from the rows of labelled with text and a language, of at most most_langs languages."""
+    """A model from the rows of labelled with text and a language.
+
+    More than most_langs languages are an error that tells what their model would weigh: none is left out in silence.
+    """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    frequent = rows.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(most_langs)
+    frequent = rows.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(most_langs + 1)
     sizes = {r[0]: r[1] for r in frequent.collect()}
+    if len(sizes) > most_langs:
+        raise ValueError(f"more than {most_langs} languages are labelled: raise most_langs, at {SLOTS * 4 >> 10} kB of every worker's memory a language")
     langs = sorted(sizes)
     if not langs:
         return {"langs": []}

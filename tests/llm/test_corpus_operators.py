@@ -263,6 +263,18 @@ def test_private_many_matches_in_one_text(spark):
     assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans).encode()).hexdigest()
 
 
+def test_private_long_lists_in_common_make_few_pairs(spark):
+    """Two texts that share 3,000 addresses and 3,000 words: all words tell of all addresses, by one pair of classes."""
+    n = 3000
+    letters = lambda k: "".join(chr(97 + int(d)) for d in str(k))
+    shared = " ".join(f"user{k}@host.example word{letters(k)}" for k in range(n))
+    rows = [(k, prose(k + 40, 12)) for k in range(200)] + [(1000, shared), (1001, shared + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    started = time.time()
+    found = {r.doc_id: r.n for r in private.find(docs).selectExpr("doc_id", "size(filter(terms, t -> t.kind = 'term')) as n").where("n > 0").collect()}
+    assert found == {1000: n, 1001: n} and time.time() - started < 120
+
+
 def test_private_main_path_is_native(spark, sf_dir, monkeypatch):
     plans, settle = [], private.settle
     monkeypatch.setattr(private, "settle", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df, label))

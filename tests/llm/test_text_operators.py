@@ -304,3 +304,10 @@ def test_language_equals_plain_loops(spark, messy, sf_dir):
         for r in found:
             lang, score = plain_prediction(model, r.text)
             assert r.lang_pred == lang and r.score == pytest.approx(score, abs=2e-3), r.doc_id
+
+
+def test_too_many_languages_are_an_error(spark):
+    rows = spark.createDataFrame([(k, "some text", f"l{k}") for k in range(4)], "doc_id long, text string, lang string")
+    assert len(language.fit(rows, most_langs=4)["langs"]) == 4
+    with pytest.raises(ValueError, match="more than 3 languages"):
+        language.fit(rows, most_langs=3)

@@ -150,6 +150,42 @@ def vcf_text(spark, sf_dir):
     return vobject.contact_text(files).select(F.col("key").cast("bigint").alias("c_custkey"), "text")
 
 
+def gathered(rows, key: str, order: str, piece):
+    """One text a key of the pieces of its rows, in order."""
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, piece.alias("piece")))).alias("pieces"))
+    return listed.select(F.col(key).cast("string").alias("key"), F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("text"))
+
+
+@query("ics_events", """with o as (select *, row_number() over (partition by o_custkey order by o_orderkey) as i, count(*) over (partition by o_custkey) as n, o_orderkey % 3 = 0 as task from orders)
+select o_custkey, 'Calendar: Orders of ' || o_custkey::varchar || chr(10) || string_agg(chr(10) || case when task then 'Task ' else 'Event ' end || i::varchar || ' of ' || n::varchar || chr(10) || 'Summary: Order ' || o_orderkey::varchar || chr(10)
+|| 'When: ' || strftime(o_orderdate, '%Y-%m-%d') || case when task then '' else ' 08:30 (UTC), lasting PT1H' end || chr(10)
+|| case when o_orderkey % 2 = 0 then 'Attendee: Al Ba <a@x.org> (needs action)' || chr(10) || 'Attendee: b@x.org' || chr(10) else '' end || 'Repeats: FREQ=DAILY' || chr(10), '' order by i) as text from o group by o_custkey""")
+def ics_events(spark, sf_dir):
+    """Calendars of all orders of a customer: events and tasks in turn, with alarms in them, attendees, times in UTC."""
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyyMMdd")
+    kind = F.when(k % 3 == 0, "VTODO").otherwise("VEVENT")
+    time = F.when(k % 3 == 0, F.concat(F.lit("DUE;VALUE=DATE:"), day)).otherwise(F.concat(F.lit("DTSTART:"), day, F.lit("T083000Z\r\nDURATION:PT1H")))
+    people = F.when(k % 2 == 0, 'ATTENDEE;CN="Al Ba";PARTSTAT=NEEDS-ACTION:mailto:a@x.org\r\nATTENDEE:MAILTO:b@x.org\r\n').otherwise("")
+    piece = F.concat(F.lit("BEGIN:"), kind, F.lit("\r\nSUMMARY:Order "), k.cast("string"), F.lit("\r\nBEGIN:VALARM\r\nSUMMARY:no\r\nATTENDEE:mailto:no@x.org\r\nEND:VALARM\r\n"), time, F.lit("\r\n"), people, F.lit("RRULE:FREQ=DAILY\r\nEND:"), kind, F.lit("\r\n"))
+    files = gathered(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", piece)
+    body = F.concat(F.lit("BEGIN:VCALENDAR\r\nX-WR-CALNAME:Orders of "), "key", F.lit("\r\n"), "text", F.lit("END:VCALENDAR\r\n"))
+    found = vobject.calendar_text(files.select("key", F.encode(body, "UTF-8").alias("content")))
+    return found.select(F.col("key").cast("bigint").alias("o_custkey"), "text")
+
+
+@query("vcf_cards", """with c as (select *, row_number() over (partition by c_nationkey order by c_custkey) as i, count(*) over (partition by c_nationkey) as n from customer)
+select c_nationkey::bigint as c_nationkey, string_agg('Contact ' || i::varchar || ' of ' || n::varchar || chr(10) || case when c_custkey % 5 = 0 then '(no details)' || chr(10) else 'Name: ' || c_name || chr(10) || 'Phone (Work): +' || c_custkey::varchar || chr(10)
+|| 'Phone (cell): +0' || chr(10) || 'Email (home): c' || c_custkey::varchar || '@x.org' || chr(10) end, chr(10) order by i) as text from c group by c_nationkey""")
+def vcf_cards(spark, sf_dir):
+    """Contact files of all customers of a nation: labels of groups, types, and cards without anything to show."""
+    k = F.col("c_custkey").cast("string")
+    full = F.concat(F.lit("FN:"), "c_name", F.lit("\nitem1.TEL;TYPE=HOME:+"), k, F.lit("\nitem1.X-ABLabel:_$!<Work>!$_\nTEL;CELL;PREF:+0\nitem2.EMAIL;type=INTERNET;type=HOME:c"), k, F.lit("@x.org\n"))
+    piece = F.concat(F.lit("BEGIN:VCARD\nVERSION:3.0\n"), F.when(F.col("c_custkey") % 5 == 0, "UID:1\n").otherwise(full), F.lit("END:VCARD\n"))
+    files = gathered(table(spark, sf_dir, "customer"), "c_nationkey", "c_custkey", piece)
+    found = vobject.contact_text(files.select("key", F.encode("text", "UTF-8").alias("content")))
+    return found.select(F.col("key").cast("bigint").alias("c_nationkey"), "text")
+
+
 @query("log_tail_stream", """with e as (select 'lane=' || (user_id % 16)::varchar as lane, event_id, event_type, value, json_extract_string(props, '$.k') as msg from events),
 x as (select *, case when lag(event_id) over w is null or lag(msg) over w is distinct from msg then 1 else 0 end as begins from e where event_type = 'error' window w as (partition by lane order by event_id)),
 i as (select lane, sum(begins) over (partition by lane order by event_id) as island from x),

@@ -6,24 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kinds, paths, text
+from ..journal import Journal
 from ..operators import dedup, ledger, reports, runs, select
 from ..session import settle
-from ..sources import archives, bodystructure, sinks, vobject
+from ..sources import archives, bodystructure, sinks, vobject, zips
+from ..sources.content_index import ContentIndex
 
 
-def deduplicate(files: DataFrame, checkpoint: DataFrame, index: DataFrame | None = None) -> dict[str, DataFrame]:
-    """files (bucket_alias, key, size, content) to kept files with their places, merge records, failures and the new
-    checkpoint rows. Archives are opened to any level up to ten; a root with a failure in it is not checkpointed."""
+def deduplicate(files: DataFrame, checkpoint: DataFrame, index: DataFrame | ContentIndex | None = None, journal: Journal | None = None) -> dict[str, DataFrame]:
+    """files (bucket_alias, key, size, and content or path) to kept files with their places, merge records, failures and
+    the new checkpoint rows. Archives are opened to any level up to ten; a root with a failure in it is not checkpointed.
+
+    Files with a path are read where they lie, archives of any size included, and no content is ever a row's. With a
+    journal, a run that starts again goes on where an earlier one was cut off: digests are not made a second time.
+    """
+    keep = journal.step if journal else lambda stage, make, of: settle(make(), stage)
     tasks = dedup.pending(files, checkpoint)
     wanted = tasks.where(~paths.is_apple_double(F.col("key")))
-    tagged = wanted.select(F.concat_ws("\x01", "bucket_alias", "key").alias("key"), "content")
-    opened = archives.all_members(tagged)
     split = lambda c: (F.substring_index(c, "\x01", 1), F.substring_index(c, "\x01", -1))
-    alias, root = split(F.col("root_key"))
-    leaves = settle(opened.select(alias.alias("bucket_alias"), root.alias("root_key"), split(F.col("key"))[1].alias("original_key"), "content", "error"))
-    hashed = leaves.where(F.col("content").isNotNull() & ~paths.is_zip(F.col("original_key"))).select("bucket_alias", "root_key", "original_key", paths.extension_of(F.col("original_key")).alias("extension"), F.sha2("content", 256).alias("content_hash"))
-    kept = settle(dedup.with_index(hashed, index) if index is not None else dedup.keep_first(hashed))
-    placed = dedup.exact_names(kept.where("is_kept").select("bucket_alias", "original_key", "content_hash"))
+    tag = F.concat_ws("\x01", "bucket_alias", "key").alias("key")
+
+    def opened() -> DataFrame:
+        if "path" in files.columns:
+            found = zips.tree(wanted.select(tag, "path", "size"))
+        else:
+            found = archives.all_members(wanted.select(tag, "content")).withColumn("content_hash", F.sha2("content", 256))
+        alias, root = split(F.col("root_key"))
+        return found.select(alias.alias("bucket_alias"), root.alias("root_key"), split(F.col("key"))[1].alias("original_key"), "content_hash", "error")
+
+    leaves = keep("leaves", opened, wanted.select("bucket_alias", "key", "size"))
+    hashed = leaves.where(F.col("content_hash").isNotNull() & ~paths.is_zip(F.col("original_key"))).select("bucket_alias", "root_key", "original_key", paths.extension_of(F.col("original_key")).alias("extension"), "content_hash")
+    first = lambda: dedup.keep_first(hashed) if index is None else index.lookup(hashed) if isinstance(index, ContentIndex) else dedup.with_index(hashed, index)
+    kept = keep("kept", first, hashed)
+    placed = keep("placed", lambda: dedup.exact_names(kept.where("is_kept").select("bucket_alias", "original_key", "content_hash")), kept.select("bucket_alias", "original_key", "content_hash", "is_kept"))
     failed = leaves.where(F.col("error").isNotNull())
     tainted = dedup.tainted_roots(failed.select("bucket_alias", "root_key", F.lit(True).alias("failed")))
     done = dedup.to_checkpoint(tasks.select("bucket_alias", "key"), tainted, kept.select("bucket_alias", F.col("root_key").alias("key")))

@@ -172,7 +172,9 @@ def describe(signals: Column) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    return F.format_string("%.1f", F.bround(value, 1))
+    """To one decimal as C's printf rounds: by the exact value of the double, ties to even. Rounding first would go by its
+    shortest text, and 167.65 is a little more than that."""
+    return F.call_function("format_number", value, F.lit("0.0"))
 
 
 def format_bytes(size: Column) -> Column:

@@ -100,3 +100,12 @@ def test_kinds(spark):
     rows = kinds.dimension(spark).collect()
     assert len({r.kind for r in rows}) == 44 and {r.kind for r in rows if r.copied} == {"jpeg", "csv", "pdf", "txt", "svg"}
     assert run(spark, kinds.provider, "a@GMAIL.com", "b@mac.com", "c@work.example") == ["gmail", "icloud", None]
+
+
+def test_one_decimal_rounds_by_the_exact_value(spark):
+    # doubles whose shortest text ends in a 5 that they are not: just above, just below, and exact ties
+    values = [241416 * 7 / (1 + 241416 % 130) / 60 / 24, 56376 * 7 / (1 + 56376 % 130) / 60 / 24, 167.65, 93.45, 0.35, 0.45, 0.25, 0.75, 2.0, -0.35, 1e12 + 0.5]
+    frame = spark.createDataFrame(list(enumerate(values)), "k int, v double").orderBy("k")
+    assert [r[0] for r in frame.select(text.one_decimal(F.col("v"))).collect()] == ["%.1f" % v for v in values]
+    n = spark.createDataFrame([(k,) for k in (241416, 442152, 56376, 460152)], "k long")
+    assert [r[0] for r in n.orderBy("k").select(text.estimate_duration(F.col("k") * 7, 1 + F.col("k") % 130)).collect()] == ["%.1fd" % (k * 7 / (1 + k % 130) / 60 / 24) for k in (56376, 241416, 442152, 460152)]

@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import small_batches, spread
 from ..sources import archives, vobject
 from ..streaming import logs
 from .registry import query
 from .views import table
 
 
+#: Contents of a batch.
+MADE = 100
+
+
 def made(rows, function):
-    """Rows (key, ...) with a content made by a Python function of the other columns."""
-    schema = "key string, content binary"
+    """Rows (key, ...) with a content made by a Python function of the other columns. The rows are dealt by key first, for a
+    table may be one file, and what is made and done with it is much more work than the row's bytes tell."""
+    names = [c for c in rows.columns if c != "key"]
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "content": [function(*r) for r in batch.drop(columns="key").itertuples(index=False)]})
+            columns = [batch.column(n).to_pylist() for n in names]
+            for at in range(0, batch.num_rows, MADE):
+                contents = [function(*r) for r in zip(*[c[at : at + MADE] for c in columns], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(at, MADE), pa.array(contents, pa.binary())], ["key", "content"])
 
-    return rows.mapInPandas(run, schema)
+    small_batches(rows.sparkSession)
+    return spread(rows, "key").mapInArrow(run, "key string, content binary")
 
 
 def zipped(text: str, name: str) -> bytes:
@@ -60,16 +70,15 @@ def tsv_to_csv(spark, sf_dir):
 
 @query("eml_attachments", """select doc_id, 'note-' || doc_id::varchar || '.txt' as name, strlen(coalesce(text, ''))::bigint as size from documents""")
 def eml_attachments(spark, sf_dir):
-    import email.message
-
-    def message(text: str, number: int) -> bytes:
-        m = email.message.EmailMessage()
-        m["Subject"], m["From"] = f"no. {number}", "a@example.com"
-        m.set_content("see attached")
-        m.add_attachment(text.encode(), maintype="application", subtype="octet-stream", filename=f"x/note-{number}.txt")
-        return m.as_bytes()
-
-    files = made(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"), "doc_id"), message)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    data = F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "(.{76})", "$1\n")
+    message = F.concat(
+        F.lit("Subject: no. "), "key", F.lit('\nFrom: a@example.com\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary="==part=="\n\n'),
+        F.lit('--==part==\nContent-Type: text/plain; charset="utf-8"\nContent-Transfer-Encoding: 7bit\n\nsee attached\n\n'),
+        F.lit('--==part==\nContent-Type: application/octet-stream\nContent-Transfer-Encoding: base64\nContent-Disposition: attachment; filename="x/note-'), "key", F.lit('.txt"\nMIME-Version: 1.0\n\n'),
+        data, F.lit("\n\n--==part==--\n"),
+    )
+    files = spread(d, "key").select("key", F.encode(message, "UTF-8").alias("content"))
     found = archives.expand(files, archives.attachments)
     return found.select(F.col("key").cast("bigint").alias("doc_id"), F.col("part").alias("name"), F.octet_length("content").cast("bigint").alias("size"))
 

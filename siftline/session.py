@@ -52,6 +52,20 @@ def settle(df, label: str = "settled"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark) -> None:
+    """Arrow batches bounded by rows and bytes, so that a batch of long contents fits into a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
+def spread(df, *keys: str):
+    """df dealt by key over as many tasks as an exchange has, whatever its bytes: for rows of few bytes that are much work.
+
+    The number is given, for partitions that are only small in bytes would be joined again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def tidy(spark) -> bool:
     """Deletes what this application settled. Results that were not written elsewhere may need it: call it last."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))

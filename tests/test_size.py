@@ -1,10 +1,9 @@
 """What keeps tasks and batches bounded on tables that are one file."""
 
-import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from siftline.sources import archives
+from siftline.sources import archives, mailbox, stores, vobject
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,3 +29,7 @@ def test_header_fields_are_parsed_once(monkeypatch):
     for _ in range(3):
         assert list(archives.attachments(message)) == [("a.txt", b"1"), ("a-2.txt", b"2")]
     assert len(parsed) == len(set(parsed)) + 2  # two types, and two names of attachments
+
+
+def test_workbooks_are_dealt_before_they_are_made(spark):
+    assert dealt(spark, "workbook_sheets")

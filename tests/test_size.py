@@ -33,3 +33,11 @@ def test_header_fields_are_parsed_once(monkeypatch):
 
 def test_workbooks_are_dealt_before_they_are_made(spark):
     assert dealt(spark, "workbook_sheets")
+
+
+def test_icons_come_in_bounded_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert dealt(spark, "icon_images")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 #: The largest file read; properties of a card that are not shown; uninformative types.
 MOST_BYTES = 64 << 20
+#: Bytes of files that one task parses, about: their properties take some thirty times as much, and all are sorted.
+TASK_BYTES = 8 << 20
 HIDDEN = ["PHOTO", "LOGO", "SOUND", "KEY", "PRODID", "REV", "UID"]
 DULL_TYPES = ["INTERNET", "PREF", "X400"]
 ENCODINGS = ["BASE64", "B", "QUOTED-PRINTABLE", "Q", "7BIT", "8BIT"]
@@ -45,10 +47,14 @@ def properties(files: DataFrame) -> DataFrame:
     """Property rows of files (key, content): key, pos, grp, name, params (name and value in order) and value.
 
     Files are dealt by key before they are parsed: their bytes are fewer than their properties', and all that follows
-    by key stays where it is, from one exchange however often the rows are used.
+    by key stays where it is, from one exchange however often the rows are used. The number of tasks follows the bytes,
+    so that a task sorts no more however many files there are.
     """
+    files = files.where(F.octet_length("content") <= MOST_BYTES).select("key", "content")
+    total = files.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     text = unfold(F.make_valid_utf8(F.col("content").cast("string")))
-    dealt = files.where(F.octet_length("content") <= MOST_BYTES).select("key", "content").repartition("key")
+    dealt = files.repartition(tasks, "key")
     lines = dealt.select("key", F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line"))
     head = F.regexp_extract("line", r'^((?:[^":]|"[^"]*")*):', 1)
     split = lines.where(F.col("line").rlike(r'^(?:[^":]|"[^"]*")+:')).select("key", "pos", F.regexp_extract_all(head, F.lit(PART), F.lit(0)).alias("parts"), F.substr("line", F.length(head) + 2, F.length("line")).alias("raw"))

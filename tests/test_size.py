@@ -41,3 +41,12 @@ def test_icons_come_in_bounded_batches(spark):
     assert dealt(spark, "icon_images")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+
+
+def test_calendar_tasks_follow_the_bytes(spark, monkeypatch):
+    monkeypatch.setattr(vobject, "TASK_BYTES", 1000)
+    body = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nSUMMARY:"), F.repeat(F.lit("x"), 400), F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"))
+    files = spark.range(100).select(F.col("id").cast("string").alias("key"), F.encode(body, "UTF-8").alias("content"))
+    assert vobject.properties(files).rdd.getNumPartitions() >= 40
+    assert vobject.calendar_text(files).count() == 100
+    assert vobject.properties(files.limit(0)).count() == 0

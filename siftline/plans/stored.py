@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import ledger
-from ..session import shared_folder
+from ..session import shared_folder, spread
 from ..sources import mailbox, sinks, stores, zips
 from ..streaming import logs, state
 from .extracts import made, nested, zipped
@@ -55,7 +55,7 @@ def copy_by_reference(spark, sf_dir):
     """Documents as files copied between stores, a fifth of which are there already; and one that does not exist."""
     d = table(spark, sf_dir, "documents")
     body = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    files = put(spark, d.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("key"), body.alias("content")), "copies")
+    files = put(spark, spread(d.select(F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("key"), body.alias("content")), "key"), "copies")
     target = root_of(spark, "copied")
     wanted = files.select(F.col("path").alias("source"), F.concat(F.lit(f"{target}/"), "key").alias("target"), "size")
     number = F.substring_index("source", "/", -1).cast("bigint")
@@ -81,10 +81,10 @@ def mailbox_stream(spark, sf_dir):
     root = root_of(spark, "mail")
     folder = root.removeprefix("file://")
     epochs = lambda n: boxes.select(F.concat("box", F.lit("/uidvalidity")).alias("key"), F.encode(F.lit(str(n)), "UTF-8").alias("content"))
-    files = mail.select(F.concat("box", F.lit("/"), F.col("uid").cast("string"), F.lit(".eml")).alias("key"), "content", "uid", "box")
+    files = spread(mail, "uid").select(F.concat("box", F.lit("/"), F.col("uid").cast("string"), F.lit(".eml")).alias("key"), "content", "uid", "box")
     spark.dataSource.register(mailbox.MailboxSource)
     most = max(1, mail.count() // 4)
-    stream = spark.readStream.format("mailbox").option("folder", f"{folder}/boxes").option("per_batch", str(most)).option("position", f"{folder}/position").load()
+    stream = spark.readStream.format("mailbox").option("folder", f"{folder}/boxes").option("per_batch", str(most)).option("ranges", "32").option("position", f"{folder}/position").load()
     sized = stream.select("mailbox", "uidvalidity", "uid", F.octet_length("content").cast("bigint").alias("bytes"))
 
     def drained() -> None:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, small_batches
 
 OUTCOME = "key string, bytes long, outcome string"
 
@@ -50,6 +50,7 @@ def put(objects: DataFrame, root: str, *, existing: str = "error", partitions: i
                     done.append((key, 0, f"failed: {error}"))
             yield pd.DataFrame(done, columns=["key", "bytes", "outcome"])
 
+    small_batches(objects.sparkSession)
     rows = objects.select("key", "content")
     rows = rows.coalesce(partitions) if partitions else rows
     return settle(rows.mapInPandas(run, OUTCOME), "objects")

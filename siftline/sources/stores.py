@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import scans
-from ..session import settle
+from ..session import settle, small_batches
 
 #: Bytes held at a time, bytes that a task is to read or write about, and tasks at most.
 PIECE, TASK_BYTES, MOST_TASKS = 1 << 20, 128 << 20, 20_000
+#: Bytes that opening a file counts for, so that many small files are many tasks; rows of a batch.
+FILE_BYTES, ROWS = 64 << 10, 1000
 
 
 def system_of(path: str):
@@ -77,11 +79,28 @@ def by_bytes(rows: DataFrame, size: str, lane: str, order: str, *, task_bytes: i
     return dealt.select(*rows.columns)
 
 
+def batches_of(rows: Iterable[tuple], names: list[str], types: Iterable[pa.DataType], *, most: int = ROWS, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in batches bounded by rows and by the bytes of their binary values."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes))
+        if len(held) >= most or size >= most_bytes:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def digests(files: DataFrame) -> DataFrame:
     """files (key, path, size) with bytes, content_hash (SHA-256) and error of what lies at the path."""
     names = ["key", "bytes", "content_hash", "error"]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for key, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 size, digest, error = 0, hashlib.sha256(), None
@@ -92,11 +111,14 @@ def digests(files: DataFrame) -> DataFrame:
                             digest.update(piece)
                 except OSError as found:
                     error = f"{type(found).__name__}: {found}"
-                row = [key, size if error is None else None, digest.hexdigest() if error is None else None, error]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names)
+                yield key, size if error is None else None, digest.hexdigest() if error is None else None, error
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(told(batches), names, (pa.string(), pa.int64(), pa.string(), pa.string()))
+
+    small_batches(files.sparkSession)
     lane = F.regexp_replace("path", "/[^/]*$", "").alias("lane")
-    dealt = by_bytes(files.select("key", "path", F.coalesce("size", F.lit(0)).alias("size"), lane), "size", "lane", "path")
+    dealt = by_bytes(files.select("key", "path", (F.coalesce("size", F.lit(0)) + FILE_BYTES).alias("size"), lane), "size", "lane", "path")
     return dealt.select("key", "path").mapInArrow(run, "key string, bytes long, content_hash string, error string")
 
 
@@ -125,15 +147,18 @@ def copy(files: DataFrame, *, existing: str = "error") -> DataFrame:
             done, digest = write_whole(target, pieces_of(file), replace=existing != "error")
         return done, digest, "written" if done == size else f"failed: {done} of {size} bytes"
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for source, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    row = (source, target, *one(source, target))
+                    yield source, target, *one(source, target)
                 except OSError as error:
-                    row = (source, target, 0, None, f"failed: {error}")
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
+                    yield source, target, 0, None, f"failed: {error}"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(told(batches), names, types)
 
+    small_batches(files.sparkSession)
     lane = F.regexp_replace("source", "/[^/]*$", "").alias("lane")
-    dealt = by_bytes(files.select("source", "target", F.coalesce("size", F.lit(0)).alias("size"), lane), "size", "lane", "source")
+    dealt = by_bytes(files.select("source", "target", (F.coalesce("size", F.lit(0)) + FILE_BYTES).alias("size"), lane), "size", "lane", "source")
     return settle(dealt.select("source", "target").mapInArrow(run, "source string, target string, bytes long, content_hash string, outcome string"), "copies")

@@ -50,3 +50,13 @@ def test_calendar_tasks_follow_the_bytes(spark, monkeypatch):
     assert vobject.properties(files).rdd.getNumPartitions() >= 40
     assert vobject.calendar_text(files).count() == 100
     assert vobject.properties(files.limit(0)).count() == 0
+
+
+def test_small_files_are_many_tasks(spark, tmp_path, monkeypatch):
+    asked = []
+    plain = stores.by_bytes
+    monkeypatch.setattr(stores, "by_bytes", lambda rows, size, *more, **named: (asked.append(rows.agg(F.sum(size)).first()[0]), plain(rows, size, *more, **named))[1])
+    (tmp_path / "a").write_bytes(b"12")
+    files = spark.createDataFrame([(f"{tmp_path}/a", f"{tmp_path}/b{k}", 2) for k in range(3)], "source string, target string, size long")
+    assert [tuple(r) for r in stores.copy(files).select("bytes", "outcome").collect()] == [(2, "written")] * 3
+    assert asked == [3 * (2 + stores.FILE_BYTES)]

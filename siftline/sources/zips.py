@@ -23,16 +23,16 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import runs
-from ..session import settle, shared_folder
+from ..session import settle, shared_folder, small_batches
 from .archives import DEPTH, EXPANSION
-from .stores import PIECE, by_bytes, digests as file_digests, opened, write_whole
+from .stores import PIECE, batches_of, by_bytes, digests as file_digests, opened, write_whole
 
 MEMBER = "root_key string, key string, path string, zip_size long, position long, part string, size long, packed long, offset long, method int, flags int, crc long, error string"
 FIELDS = [f.split()[0] for f in MEMBER.split(", ")]
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
 TYPES = [ARROW[f.split()[1]] for f in MEMBER.split(", ")]
-#: Members of a batch of directory rows, and bytes of a member that may be one row's content.
-ROWS, WHOLE = 10_000, 64 << 20
+#: Bytes of a member that may be one row's content.
+WHOLE = 64 << 20
 #: Signatures and record layouts of the format.
 END, END_64, LOCATOR, ENTRY, LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
 
@@ -129,30 +129,25 @@ def stream(file, member: dict) -> Iterator[bytes]:
         raise ValueError("is not what the directory says")
 
 
-def table_of(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(FIELDS, TYPES, strict=True)], FIELDS)
-
-
 def directory(archives: DataFrame) -> DataFrame:
     """MEMBER rows of archives (key, path, and root_key where it is not the key itself); an archive whose directory cannot
     be read is a row with an error."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def listed(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             for root, key, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows: list[dict] = []
+                own = {"root_key": root, "key": key, "path": path}
                 try:
                     with opened(path) as file:
-                        own = {"root_key": root, "key": key, "path": path, "zip_size": file.size()}
                         for member in members_of(file):
-                            rows.append(own | member)
-                            if len(rows) >= ROWS:
-                                yield table_of(rows)
-                                rows = []
+                            yield own | {"zip_size": file.size()} | member
                 except (OSError, ValueError, struct.error, StopIteration) as error:
-                    rows.append({"root_key": root, "key": key, "path": path, "error": f"{type(error).__name__}: {error}"})
-                yield table_of(rows)
+                    yield own | {"error": f"{type(error).__name__}: {error}"}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of((tuple(map(row.get, FIELDS)) for row in listed(batches)), FIELDS, TYPES)
 
+    small_batches(archives.sparkSession)
     root = F.col("root_key") if "root_key" in archives.columns else F.col("key")
     return archives.select(root.alias("root_key"), "key", "path").mapInArrow(run, MEMBER)
 
@@ -170,7 +165,7 @@ def each(members: DataFrame, work: Callable[[dict, Iterator[bytes]], dict], sche
     names, types = [f.split()[0] for f in schema.split(", ")], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     arrow = [types[f.split()[1]] for f in schema.split(", ")]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         last, file = None, None
         try:
             for batch in batches:
@@ -183,11 +178,15 @@ def each(members: DataFrame, work: Callable[[dict, Iterator[bytes]], dict], sche
                         row |= work(member, stream(file, member))
                     except (OSError, ValueError, EOFError, zlib.error, struct.error) as error:
                         row["error"] = f"{type(error).__name__}: {error}"
-                    yield pa.RecordBatch.from_arrays([pa.array([row.get(n)], t) for n, t in zip(names, arrow, strict=True)], names)
+                    yield tuple(map(row.get, names))
         finally:
             if file:
                 file.close()
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of(told(batches), names, arrow)
+
+    small_batches(members.sparkSession)
     broken = members.where("error is not null").select(*OWN)
     dealt = by_bytes(members.where("error is null").withColumn("packed", F.col("packed") + 1024), "packed", "key", "position")
     return dealt.withColumn("packed", F.col("packed") - 1024).mapInArrow(run, schema).unionByName(broken, allowMissingColumns=True)

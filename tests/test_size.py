@@ -60,3 +60,11 @@ def test_small_files_are_many_tasks(spark, tmp_path, monkeypatch):
     files = spark.createDataFrame([(f"{tmp_path}/a", f"{tmp_path}/b{k}", 2) for k in range(3)], "source string, target string, size long")
     assert [tuple(r) for r in stores.copy(files).select("bytes", "outcome").collect()] == [(2, "written")] * 3
     assert asked == [3 * (2 + stores.FILE_BYTES)]
+
+
+def test_rows_leave_tasks_in_batches():
+    import pyarrow as pa
+
+    sizes = lambda rows, **most: [b.num_rows for b in stores.batches_of(rows, ["a", "b"], [pa.int64(), pa.binary()], **most)]
+    assert sizes([(k, b"") for k in range(2500)]) == [1000, 1000, 500]
+    assert sizes([(k, b"x" * 60) for k in range(5)], most_bytes=100) == [2, 2, 1] and sizes([]) == []

@@ -9,6 +9,7 @@ on disk. Secrets are taken from the environment of the tasks and never from an o
 
 spark.readStream of the same format follows mailboxes as they grow: the offset is each mailbox's validity and its highest
 uid, and nothing else of a mailbox comes to the driver to stay. A mailbox whose validity has changed begins anew.
+option("ranges", n) reads a mailbox's share of a batch in up to n tasks, each with a session of its own; 1 without it.
 option("per_batch", n) admits at most n messages of a mailbox to a micro-batch, which with the trigger's tick is the pace;
 option("position", path) is a file in which the offset of the last planned batch is noted, so that a restarted stream knows
 where admission stands. Without it the first batch after a restart admits all.
@@ -27,8 +28,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 SCHEMA = "mailbox string, uidvalidity long, uid long, content binary"
 
 
-#: Fixed value: messages whose structures are asked for at once.
-STRUCTURES_AT_ONCE = 50
+#: Messages whose structures are asked for at once, messages of the least range of a mailbox.
+STRUCTURES_AT_ONCE, RANGE = 50, 500
 
 
 def in_halves(fetch: Callable[[list], Iterable[tuple]], items: list, size: int) -> Iterator[tuple]:
@@ -77,16 +78,18 @@ class FolderReader(DataSourceReader):
 
     def uids(self, name: str, above: int) -> tuple[int, list[int]]:
         """The validity, and the uids from `above` on in order."""
-        found = (int(f.stem) for f in (self.root / name).glob("*.eml") if f.stem.isdigit())
-        return self.epoch(name), sorted(u for u in found if u > above)
+        return self.epoch(name), sorted(u for u in self.files(name) if u > above)
+
+    def files(self, name: str) -> dict[int, str]:
+        """The path of each message by its uid."""
+        with os.scandir(self.root / name) as found:
+            return {int(f.name[:-4]): f.path for f in found if f.name.endswith(".eml") and f.name[:-4].isdigit()}
 
     def read(self, partition: Mailbox) -> Iterator[tuple]:
-        folder = self.root / partition.name
         epoch = self.epoch(partition.name)
-        files = {int(f.stem): f for f in folder.glob("*.eml") if f.stem.isdigit()}
+        files = {u: f for u, f in self.files(partition.name).items() if partition.holds(epoch, u)}
         for uid in sorted(files):
-            if partition.holds(epoch, uid):
-                yield partition.name, epoch, uid, files[uid].read_bytes()
+            yield partition.name, epoch, uid, Path(files[uid]).read_bytes()
 
 
 class ServerReader(DataSourceReader):
@@ -165,8 +168,8 @@ def structures(server, uids: list[bytes]) -> Iterator[tuple]:
 class MailboxStream(DataSourceStreamReader):
     """Follows what a reader of mailboxes sees; an offset maps a mailbox to [validity, highest uid]."""
 
-    def __init__(self, reader: FolderReader | ServerReader, per_batch: int | None, position: str | None):
-        self.reader, self.per_batch, self.note = reader, per_batch, position
+    def __init__(self, reader: FolderReader | ServerReader, per_batch: int | None, position: str | None, ranges: int = 1):
+        self.reader, self.per_batch, self.note, self.ranges = reader, per_batch, position, ranges
         self.at: dict[str, list[int]] | None = None
 
     def initialOffset(self) -> dict:  # noqa: N802
@@ -207,9 +210,19 @@ class MailboxStream(DataSourceStreamReader):
             known, above = start.get(name, [epoch, 0])
             above = above if known == epoch else 0
             if upto > above:
-                found.append(Mailbox(name, epoch, above, upto))
+                found += [Mailbox(name, epoch, *cut) for cut in self.cuts(name, epoch, above, upto)]
         return found
 
+    def cuts(self, name: str, epoch: int, above: int, upto: int) -> list[tuple[int, int]]:
+        """above < uid <= upto in ranges of about as many messages each, of RANGE at least."""
+        if self.ranges == 1:
+            return [(above, upto)]
+        now, uids = self.reader.uids(name, above)
+        uids = [u for u in uids if u <= upto] if now == epoch else []
+        size = max(RANGE, -(-len(uids) // self.ranges))
+        bounds = [above, *uids[size - 1 : -1 : size], upto]
+        return list(zip(bounds, bounds[1:], strict=False))
+
     def read(self, partition: Mailbox) -> Iterator[tuple]:
         """A mailbox whose validity has changed since the batch was planned gives nothing; the next batch begins it anew."""
         return self.reader.read(partition)
@@ -228,4 +241,4 @@ class MailboxSource(DataSource):
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
         n = self.options.get("per_batch")
-        return MailboxStream(self.reader(schema), int(n) if n else None, self.options.get("position"))
+        return MailboxStream(self.reader(schema), int(n) if n else None, self.options.get("position"), int(self.options.get("ranges", "1")))

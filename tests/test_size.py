@@ -68,3 +68,18 @@ def test_rows_leave_tasks_in_batches():
     sizes = lambda rows, **most: [b.num_rows for b in stores.batches_of(rows, ["a", "b"], [pa.int64(), pa.binary()], **most)]
     assert sizes([(k, b"") for k in range(2500)]) == [1000, 1000, 500]
     assert sizes([(k, b"x" * 60) for k in range(5)], most_bytes=100) == [2, 2, 1] and sizes([]) == []
+
+
+def test_a_mailbox_is_read_in_ranges(tmp_path, monkeypatch):
+    box = tmp_path / "boxes" / "in"
+    box.mkdir(parents=True)
+    uids = [1, 2, 5, 9, 40, 41, 90]
+    for u in uids:
+        (box / f"{u}.eml").write_bytes(b"%d" % u)
+    monkeypatch.setattr(mailbox, "RANGE", 2)
+    reader = mailbox.FolderReader({"folder": str(tmp_path / "boxes")})
+    stream = mailbox.MailboxStream(reader, None, None, 3)
+    parts = stream.partitions(stream.initialOffset(), stream.latestOffset())
+    assert [[r[2] for r in stream.read(p)] for p in parts] == [[1, 2, 5], [9, 40, 41], [90]]
+    assert [[r[2] for r in stream.read(p)] for p in stream.partitions({"in": [0, 9]}, {"in": [0, 41]})] == [[40, 41]]
+    assert len(mailbox.MailboxStream(reader, None, None).partitions({}, {"in": [0, 90]})) == 1

@@ -52,6 +52,12 @@ def test_calendar_tasks_follow_the_bytes(spark, monkeypatch):
     assert vobject.properties(files.limit(0)).count() == 0
 
 
+def test_lines_of_calendars_are_read_and_sorted_once(spark):
+    files = spark.createDataFrame([("a", bytearray(b"BEGIN:VCALENDAR\nEND:VCALENDAR"))], "key string, content binary")
+    plan = vobject.calendar_text(files)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate posexplode") == 1 and "Join" not in plan and "[key" in plan
+
+
 def test_small_files_are_many_tasks(spark, tmp_path, monkeypatch):
     asked = []
     plain = stores.by_bytes

@@ -161,16 +161,28 @@ def candidate_groups(stem: Column) -> Column:
 
     def groups(x: Column) -> Column:
         pieces, length = x["pieces"], F.length(x["stem"])
+        one = F.length(F.get(pieces, F.lit(0))) + DIGEST_DIGITS + 1
         ends = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda _, k: F.aggregate(F.slice(pieces, F.lit(1), k + 1), F.lit(0), lambda n, p: n + F.length(p) + DIGEST_DIGITS + 1))
-        return F.transform(ends, lambda e: F.struct(F.substr(x["stem"], F.lit(1), e).alias("grp"), F.substr(x["stem"], e + 1, length).alias("rest")))
+        cut = lambda e: F.struct(F.substr(x["stem"], F.lit(1), e).alias("grp"), F.substr(x["stem"], e + 1, length).alias("rest"))
+        # nearly all names have one
+        return F.when(F.size(pieces) == 2, F.array(cut(one))).otherwise(F.transform(ends, cut))
 
     return bound(F.struct(stem.alias("stem"), F.split(stem, mark, -1).alias("pieces")), groups)
 
 
 def sheet_marker(rest: Column) -> Column:
     """(index, total) of a "-NNofMM-" marker, null unless 1 <= index <= total."""
-    index = F.regexp_extract(rest, r"^-([0-9]+)of([0-9]+)-", 1).try_cast("bigint")
-    total = F.regexp_extract(rest, r"^-([0-9]+)of([0-9]+)-", 2).try_cast("bigint")
+    return marker_numbers(marker_text(rest))
+
+
+def marker_text(rest: Column) -> Column:
+    """NNofMM of a "-NNofMM-" marker."""
+    return F.regexp_extract(rest, "^-([0-9]+of[0-9]+)-", 1)
+
+
+def marker_numbers(mark: Column) -> Column:
+    index = F.substring_index(mark, "of", 1).try_cast("bigint")
+    total = F.substring_index(mark, "of", -1).try_cast("bigint")
     return F.when((index >= 1) & (index <= total), F.struct(index.alias("index"), total.alias("total")))
 
 

@@ -39,11 +39,12 @@ def group_states(names: DataFrame) -> DataFrame:
     stem = F.regexp_replace("name", r"(?s)\.[^.]*$", "")
     # outer, for Spark would work the groups out a second time to see whether there are any
     found = names.select(F.explode_outer(paths.candidate_groups(stem)).alias("c")).where("c is not null").select("c.grp", "c.rest")
-    # distinct markers first, so that a group is counted from at most as many rows as it has different outputs
-    marked = found.where((F.col("rest") == "") | F.startswith("rest", F.lit("-"))).select("grp", (F.col("rest") == "").alias("plain"), F.regexp_extract("rest", "^-[0-9]+of[0-9]+-", 0).alias("mark")).distinct()
-    m = paths.sheet_marker(F.col("mark"))
-    marks = marked.select("grp", "plain", m["index"].alias("i"), m["total"].alias("n")).where(F.col("plain") | F.col("i").isNotNull())
-    state = marks.groupBy("grp").agg(F.bool_or("plain").alias("plain"), F.countDistinct("i").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # distinct markers first, as two numbers, so that a group is counted from at most as many rows as it has different outputs
+    marked = found.where((F.col("rest") == "") | F.startswith("rest", F.lit("-"))).select("grp", (F.col("rest") == "").alias("plain"), paths.marker_text(F.col("rest")).alias("mark"))
+    m = paths.marker_numbers(F.col("mark"))
+    marks = marked.select("grp", "plain", m["index"].alias("i"), m["total"].alias("n")).distinct()
+    # where all agree on the total, each index is one row; other markers are left out last, for a test before would read them twice
+    state = marks.groupBy("grp").agg(F.bool_or("plain").alias("plain"), F.count("i").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("plain or k > 0")
     return state.select("grp", (F.col("plain") | F.coalesce((F.col("lo") == F.col("hi")) & (F.col("k") == F.col("hi")), F.lit(False))).alias("complete"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,12 +101,12 @@ PARTS = "parts as (select p_brand || '/' || case when p_partkey % 2 = 0 then upp
 def dest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lines of orders as sheets: some whole, some with a line missing, some with totals that disagree, some plain."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("bigint").alias("i"))
-    total = li.groupBy("k").agg(F.max("i").alias("n"))
+    li = li.where("k is not null").withColumn("n", F.max("i").over(W.partitionBy("k")))
     group = F.concat(F.lit("doc-"), F.substring(F.sha2(F.col("k").cast("string"), 256), 1, 16))
     n = F.when((F.col("k") % 11 == 0) & (F.col("i") == 1), F.col("n") + 1).otherwise(F.col("n"))
     two = lambda c: F.lpad(c.cast("string"), F.greatest(F.lit(2), F.length(c.cast("string"))), F.lit("0"))
     sheet = F.concat(group, F.lit("-"), two(F.col("i")), F.lit("of"), two(n), F.lit("-line.csv"))
-    return li.join(total, "k").select(F.when(F.col("k") % 13 == 0, F.concat(group, F.lit(".csv"))).otherwise(sheet).alias("name"))
+    return li.select(F.when(F.col("k") % 13 == 0, F.concat(group, F.lit(".csv"))).otherwise(sheet).alias("name"))
 
 
 DEST = """

@@ -58,6 +58,20 @@ def test_lines_of_calendars_are_read_and_sorted_once(spark):
     assert plan.count("Generate posexplode") == 1 and "Join" not in plan and "[key" in plan
 
 
+def test_markers_of_groups_meet_twice_and_lines_once(spark):
+    from siftline.operators import select
+    from siftline.plans import views
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    h, g = "0" * 16, "1" * 16
+    names = spark.createDataFrame([(n,) for n in (f"a-{h}-1of2-x.csv", f"a-{h}-01of2-y.csv", f"a-{h}-2of02-x.csv", f"a-{g}-1of2-x.csv", f"a-{g}-2of3-x.csv", f"b-{g}-x.csv", f"b-{h}-3of2-x.csv", f"c-{h}.csv", f"c-{h}-{g}-1of1-.csv")], "name string")
+    states = select.group_states(names)
+    assert plan(states).count("Exchange hashpartitioning") == 2
+    assert sorted(map(tuple, states.collect())) == [(f"a-{h}", True), (f"a-{g}", False), (f"c-{h}", True), (f"c-{h}-{g}", True)]
+    lines = plan(views.dest_names(spark, SF))
+    assert "Join" not in lines and lines.count("Exchange") == 1
+
+
 def test_small_files_are_many_tasks(spark, tmp_path, monkeypatch):
     asked = []
     plain = stores.by_bytes

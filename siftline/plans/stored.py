@@ -110,9 +110,9 @@ def dispatch_stream(spark, sf_dir):
     folder = shared_folder(spark, "arrivals")
     cuts = e.select(F.percentile_approx("event_id", [0.33, 0.66])).first()[0]
     bounds = [None, *cuts, None]
-    for low, high in zip(bounds, bounds[1:], strict=False):  # what one micro-batch finds is a file a source
+    for low, high in zip(bounds, bounds[1:], strict=False):  # what one micro-batch finds is a file a source, read by all tasks and written by one a source
         part = e.where((F.lit(True) if low is None else F.col("event_id") > low) & (F.lit(True) if high is None else F.col("event_id") <= high))
-        part.coalesce(1).write.mode("append").partitionBy("source").parquet(f"{folder}/feed")
+        part.repartition(3, "source").write.mode("append").partitionBy("source").parquet(f"{folder}/feed")
     fields = e.drop("source").schema
     sources = [spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(f"{folder}/feed/source={s}") for s in range(3)]
     complete = events(spark, sf_dir).where(F.col("user_id") % 4 == 0).select(F.col("user_id").cast("string").alias("grp"))

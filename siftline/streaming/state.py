@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -129,7 +129,8 @@ def lane_changes(lines: DataFrame, *, progress_seconds: float = 0) -> DataFrame:
 
 
 class FirstArrival(StatefulProcessor):
-    """Marks the first arrival of a key, for as long as the key is remembered."""
+    """Tells where the first arrival of a key is, for as long as the key is remembered. The rows are plain ones, for most keys
+    come with few and a frame for each costs more than all else that is done with it."""
 
     def __init__(self, columns: list[str], remembered_ms: int | None):
         self.columns, self.remembered_ms = columns, remembered_ms
@@ -137,14 +138,16 @@ class FirstArrival(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "at long", self.remembered_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        arrived = pd.concat(list(rows)).sort_values("position", kind="stable")
-        known = self.seen.exists()
-        if not known:
-            self.seen.update((int(arrived["position"].iloc[0]),))
-        arrived = arrived[self.columns].copy()
-        arrived["first"] = [not known, *[False] * (len(arrived) - 1)]
-        yield arrived
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        marked = Row(*self.columns, "first")
+        if self.seen.exists():
+            for row in rows:
+                yield marked(*row, False)
+            return
+        arrived = sorted(rows, key=lambda row: row["position"])
+        self.seen.update((int(arrived[0]["position"]),))
+        for k, row in enumerate(arrived):
+            yield marked(*row, k == 0)
 
     def close(self) -> None:
         pass
@@ -157,7 +160,7 @@ def first_arrivals(arrivals: DataFrame, *, key: str = "key", remembered_seconds:
     out = T.StructType([*arrivals.schema.fields, T.StructField("first", T.BooleanType())])
     remembered = None if remembered_seconds is None else int(remembered_seconds * 1000)
     clock = "None" if remembered is None else "ProcessingTime"
-    return arrivals.groupBy(key).transformWithStateInPandas(FirstArrival(arrivals.columns, remembered), out, "Append", clock)
+    return arrivals.groupBy(key).transformWithState(FirstArrival(arrivals.columns, remembered), out, "Append", clock)
 
 
 def dispatched(arrivals: DataFrame, complete: DataFrame, *, remembered_seconds: float | None = None) -> DataFrame:

@@ -72,6 +72,25 @@ def test_markers_of_groups_meet_twice_and_lines_once(spark):
     assert "Join" not in lines and lines.count("Exchange") == 1
 
 
+def test_first_arrivals_take_plain_rows():
+    from pyspark.sql import Row
+
+    from siftline.streaming import state
+
+    class Seen:
+        value = None
+        exists = lambda self: self.value is not None
+
+        def update(self, value):
+            self.value = value
+
+    marker = state.FirstArrival(["key", "position"], None)
+    marker.seen = Seen()
+    arrive = lambda *positions: [(r.position, r.first) for r in marker.handleInputRows(("a",), iter([Row(key="a", position=p) for p in positions]), None)]
+    assert arrive(5, 3, 4) == [(3, True), (4, False), (5, False)] and arrive(1, 2) == [(1, False), (2, False)]
+    assert marker.seen.value == (3,)
+
+
 def test_small_files_are_many_tasks(spark, tmp_path, monkeypatch):
     asked = []
     plain = stores.by_bytes

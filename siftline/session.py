@@ -58,12 +58,18 @@ def small_batches(spark) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+#: Rows of a task that makes or parses a file of each, about.
+TASK_ROWS = 10_000
+
+
 def spread(df, *keys: str):
-    """df dealt by key over as many tasks as an exchange has, whatever its bytes: for rows of few bytes that are much work.
+    """df dealt by key over as many tasks as an exchange has, and more where there are many rows, whatever its bytes: for
+    rows of few bytes that are much work. They are counted, so df should be a table or little more.
 
     The number is given, for partitions that are only small in bytes would be joined again.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, -(-df.count() // TASK_ROWS)), *keys)
 
 
 def tidy(spark) -> bool:

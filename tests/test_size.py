@@ -35,6 +35,15 @@ def test_workbooks_are_dealt_before_they_are_made(spark):
     assert dealt(spark, "workbook_sheets")
 
 
+def test_tasks_that_make_files_follow_the_rows(spark, monkeypatch):
+    from siftline import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    assert session.spread(spark.range(995), "id").rdd.getNumPartitions() == 100
+    assert session.spread(spark.range(0), "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert entry.queries()["workbook_sheets"](spark, SF).rdd.getNumPartitions() == 15
+
+
 def test_icons_come_in_bounded_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

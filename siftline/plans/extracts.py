@@ -91,19 +91,25 @@ def textclipping(spark, sf_dir):
     return archives.expand(files, archives.clipping).select(F.col("key").cast("bigint").alias("doc_id"), F.sha2("content", 256).alias("content_hash"))
 
 
-def icon(text: str, number: int) -> bytes:
-    """An icon file with a small image, a large one twice, and one in a form that is not copied; every ninth has none."""
-    entry = lambda kind, data: kind + (len(data) + 8).to_bytes(4, "big") + data
-    png = b"\x89PNG" + text.encode()
-    images = entry(b"ic07", png + b"small and long") + entry(b"ic09", png) + entry(b"ic14", png)
-    return entry(b"icns", (b"" if number % 9 == 0 else images) + entry(b"ic10", b"raw"))
+def entry(kind, data):
+    """An entry of an icon file, which an icon file is too: type, length in four bytes, data."""
+    return F.concat(F.encode(F.lit(kind), "UTF-8"), F.unhex(F.lpad(F.hex(F.octet_length(data) + 8), 8, "0")), data)
+
+
+def icons(rows):
+    """Icon files of rows (key, text, doc_id): a small image, a large one twice, and one in a form that is not copied; every
+    ninth, or without a number, has none. They are made by expressions, so that a task has only the Python worker that reads them."""
+    png = F.concat(F.unhex(F.lit("89504E47")), F.col("text").cast("binary"))
+    images = F.concat(entry("ic07", F.concat(png, F.encode(F.lit("small and long"), "UTF-8"))), entry("ic09", png), entry("ic14", png))
+    held = F.when(F.col("doc_id") % 9 != 0, images).otherwise(F.unhex(F.lit("")))
+    return spread(rows, "key").select("key", entry("icns", F.concat(held, entry("ic10", F.encode(F.lit("raw"), "UTF-8")))).alias("content"))
 
 
 @query("icon_images", """select doc_id, case when doc_id % 9 <> 0 then 'ic09' end as part, case when doc_id % 9 <> 0 then sha256('\\x89PNG'::blob || encode(coalesce(text, ''))) end as content_hash from documents""")
 def icon_images(spark, sf_dir):
     """The largest image of icon files made from documents; the first of two of equal size."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
-    found = archives.largest_icons(made(d, icon))
+    found = archives.largest_icons(icons(d))
     return found.select(F.col("key").cast("bigint").alias("doc_id"), "part", F.when(F.col("error").isNull(), F.sha2("content", 256)).alias("content_hash"))
 
 

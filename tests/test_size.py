@@ -52,6 +52,25 @@ def test_icons_come_in_bounded_batches(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
 
 
+def test_icons_take_one_worker_a_task(spark):
+    plan = entry.queries()["icon_images"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sum(plan.count(f"{name} run(") for name in ("MapInArrow", "MapInPandas")) == 1
+
+
+def test_only_the_largest_image_is_copied():
+    import tracemalloc
+
+    part = lambda kind, data: kind + (len(data) + 8).to_bytes(4, "big") + data
+    image = b"\x89PNG" + bytes(1 << 20)
+    content = part(b"icns", b"".join(part(kind, image) for kind in (b"ic07", b"ic09", b"ic14", b"ic08")))
+    tracemalloc.start()
+    found = list(archives.largest_image(content))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [("ic09", image)] and most < 2 << 20
+    assert list(archives.icon_images(content)) == [(kind, image) for kind in ("ic07", "ic09", "ic14", "ic08")]
+
+
 def test_calendar_tasks_follow_the_bytes(spark, monkeypatch):
     monkeypatch.setattr(vobject, "TASK_BYTES", 1000)
     body = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nSUMMARY:"), F.repeat(F.lit("x"), 400), F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"))

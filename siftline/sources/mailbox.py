@@ -8,7 +8,8 @@ option("folder") reads a folder of folders of .eml files instead of a server, fo
 on disk. Secrets are taken from the environment of the tasks and never from an option.
 
 spark.readStream of the same format follows mailboxes as they grow: the offset is each mailbox's validity and its highest
-uid, and nothing else of a mailbox comes to the driver to stay. A mailbox whose validity has changed begins anew.
+uid, and nothing else of a mailbox comes to the driver to stay: while a batch is planned it holds the uids of one mailbox,
+8 bytes each, and a task those of its own messages. A mailbox whose validity has changed begins anew.
 option("ranges", n) reads a mailbox's share of a batch in up to n tasks, each with a session of its own; 1 without it.
 option("per_batch", n) admits at most n messages of a mailbox to a micro-batch, which with the trigger's tick is the pace;
 option("position", path) is a file in which the offset of the last planned batch is noted, so that a restarted stream knows
@@ -17,12 +18,14 @@ where admission stands. Without it the first batch after a restart admits all.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "mailbox string, uidvalidity long, uid long, content binary"
@@ -53,6 +56,11 @@ def in_halves(fetch: Callable[[list], Iterable[tuple]], items: list, size: int)
         yield from found
 
 
+def in_order(uids: Iterable[int]) -> np.ndarray:
+    """uids in order, each once, as numbers of 8 bytes."""
+    return np.unique(np.fromiter(uids, np.int64))
+
+
 class Mailbox(InputPartition):
     """A mailbox, or its messages with above < uid <= upto under one validity."""
 
@@ -70,26 +78,39 @@ class FolderReader(DataSourceReader):
         self.root = Path(options["folder"])
 
     def partitions(self) -> list[Mailbox]:
-        return [Mailbox(str(p.relative_to(self.root))) for p in sorted(self.root.rglob("*")) if p.is_dir()]
+        return [Mailbox("/".join(parts)) for parts in sorted(self.folders(()))]
+
+    def folders(self, above: tuple[str, ...]) -> Iterator[tuple[str, ...]]:
+        """The folders below one, by the names on the way to them; messages are passed by."""
+        found: list[tuple[str, bool]] = []
+        with contextlib.suppress(OSError), os.scandir(self.root.joinpath(*above)) as entries:
+            found = [(f.name, f.is_symlink()) for f in entries if f.is_dir()]
+        for name, linked in found:
+            yield (*above, name)
+            if not linked:
+                yield from self.folders((*above, name))
 
     def epoch(self, name: str) -> int:
         mark = self.root / name / "uidvalidity"
         return int(mark.read_text()) if mark.exists() else 0
 
-    def uids(self, name: str, above: int) -> tuple[int, list[int]]:
+    def uids(self, name: str, above: int) -> tuple[int, np.ndarray]:
         """The validity, and the uids from `above` on in order."""
-        return self.epoch(name), sorted(u for u in self.files(name) if u > above)
+        return self.epoch(name), in_order(u for u, _ in self.files(name) if u > above)
 
-    def files(self, name: str) -> dict[int, str]:
-        """The path of each message by its uid."""
+    def files(self, name: str) -> Iterator[tuple[int, str]]:
+        """The uid of each message and its file's name."""
         with os.scandir(self.root / name) as found:
-            return {int(f.name[:-4]): f.path for f in found if f.name.endswith(".eml") and f.name[:-4].isdigit()}
+            for f in found:
+                uid, _, kind = f.name.rpartition(".")
+                if kind == "eml" and uid.isdigit():
+                    yield int(uid), f.name
 
     def read(self, partition: Mailbox) -> Iterator[tuple]:
         epoch = self.epoch(partition.name)
-        files = {u: f for u, f in self.files(partition.name).items() if partition.holds(epoch, u)}
+        files = {u: f for u, f in self.files(partition.name) if partition.holds(epoch, u)}
         for uid in sorted(files):
-            yield partition.name, epoch, uid, Path(files[uid]).read_bytes()
+            yield partition.name, epoch, uid, (self.root / partition.name / files[uid]).read_bytes()
 
 
 class ServerReader(DataSourceReader):
@@ -117,7 +138,7 @@ class ServerReader(DataSourceReader):
         named = [re.match(rb'\((?P<flags>[^)]*)\) (?:"[^"]*"|NIL) (?P<name>.*)', line) for line in lines if line]
         return [Mailbox(m["name"].decode().strip('"')) for m in named if m and b"\\noselect" not in m["flags"].lower()]
 
-    def uids(self, name: str, above: int) -> tuple[int, list[int]]:
+    def uids(self, name: str, above: int) -> tuple[int, np.ndarray]:
         """The validity, and the uids from `above` on in order."""
         server = self.session()
         server.select(f'"{name}"', readonly=True)
@@ -125,7 +146,7 @@ class ServerReader(DataSourceReader):
         _, found = server.uid("SEARCH", f"UID {above + 1}:*")
         server.logout()
         # a range that begins behind the last message holds the last one
-        return epoch, sorted(u for u in map(int, found[0].split()) if u > above)
+        return epoch, in_order(u for u in (int(m[0]) for m in re.finditer(rb"[0-9]+", found[0])) if u > above)
 
     def read(self, partition: Mailbox) -> Iterator[tuple]:
         server = self.session()
@@ -196,7 +217,7 @@ class MailboxStream(DataSourceStreamReader):
             if epoch != known and above:
                 epoch, uids = self.reader.uids(box.name, 0)
             above = above if epoch == known else 0
-            found[box.name] = [epoch, uids[:admits][-1] if uids else above]
+            found[box.name] = [epoch, int(uids[:admits][-1]) if len(uids) else above]
         return found
 
     def partitions(self, start: dict, end: dict) -> list[Mailbox]:
@@ -218,9 +239,9 @@ class MailboxStream(DataSourceStreamReader):
         if self.ranges == 1:
             return [(above, upto)]
         now, uids = self.reader.uids(name, above)
-        uids = [u for u in uids if u <= upto] if now == epoch else []
+        uids = uids[: np.searchsorted(uids, upto, "right")] if now == epoch else uids[:0]
         size = max(RANGE, -(-len(uids) // self.ranges))
-        bounds = [above, *uids[size - 1 : -1 : size], upto]
+        bounds = [above, *uids[size - 1 : -1 : size].tolist(), upto]
         return list(zip(bounds, bounds[1:], strict=False))
 
     def read(self, partition: Mailbox) -> Iterator[tuple]:

@@ -150,3 +150,30 @@ def test_a_mailbox_is_read_in_ranges(tmp_path, monkeypatch):
     assert [[r[2] for r in stream.read(p)] for p in parts] == [[1, 2, 5], [9, 40, 41], [90]]
     assert [[r[2] for r in stream.read(p)] for p in stream.partitions({"in": [0, 9]}, {"in": [0, 41]})] == [[40, 41]]
     assert len(mailbox.MailboxStream(reader, None, None).partitions({}, {"in": [0, 90]})) == 1
+
+
+def test_planning_a_mailbox_holds_little_of_each_message(tmp_path):
+    import json
+    import tracemalloc
+
+    count = 20_000
+    for box in ("in", "in/old", "out"):
+        (tmp_path / "boxes" / box).mkdir(parents=True)
+    for uid in range(1, count + 1):
+        (tmp_path / "boxes" / "in" / f"{uid}.eml").touch()
+    (tmp_path / "boxes" / "in" / "old" / "3.eml").touch()
+    (tmp_path / "boxes" / "linked").symlink_to(tmp_path / "boxes" / "in")
+    reader = mailbox.FolderReader({"folder": str(tmp_path / "boxes")})
+    stream = mailbox.MailboxStream(reader, None, None, 4)
+    tracemalloc.start()
+    end = json.loads(json.dumps(stream.latestOffset()))
+    parts = stream.partitions(stream.initialOffset(), end)
+    planned = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    first = next(stream.read(parts[0]))
+    read = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert planned < 50 * count and read < 100 * count  # bytes; a quarter of the messages is a task's
+    assert end == {"in": [0, count], "in/old": [0, 3], "linked": [0, count], "out": [0, 0]} and first == ("in", 0, 1, b"")
+    quarters = [(k * count // 4, (k + 1) * count // 4) for k in range(4)]
+    assert [(p.name, p.above, p.upto) for p in parts] == [("in", *q) for q in quarters] + [("in/old", 0, 3)] + [("linked", *q) for q in quarters]

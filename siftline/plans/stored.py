@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..operators import ledger
-from ..session import shared_folder, spread
+from ..session import settle_each, shared_folder, spread
 from ..sources import mailbox, sinks, stores, zips
 from ..streaming import logs, state
 from .extracts import made, nested, zipped
@@ -37,16 +39,28 @@ def zip_expand(spark, sf_dir):
     return found.select(F.substring_index("key", ".", 1).cast("bigint").alias("doc_id"), F.col("part").alias("member"), "content_hash")
 
 
+#: Bytes of archives that lie at a time, about.
+SHARE = 2 << 30
+
+
 @query("zip_nested", """select doc_id, m.member, case m.depth when 1 then sha256(coalesce(text, '')) else sha256(reverse(coalesce(text, ''))) end as content_hash, m.depth, doc_id % 7 = 0 as tainted
 from documents, (values ('a.txt', 1), ('b.zip!c.zip!d.txt', 3)) m(member, depth)""")
 def zip_nested(spark, sf_dir):
-    """What is in archives of three levels, with whether their root has a damaged member."""
+    """What is in archives of three levels, with whether their root has a damaged member. The archives are made, read and
+    deleted a share of them at a time, for all of them take several times the room of the table."""
     rows = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".zip")).alias("key"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
-    found = zips.tree(put(spark, made(rows, nested), "nested"))
-    tainted = found.groupBy("root_key").agg(F.bool_or(F.col("error").isNotNull()).alias("tainted"))
-    leaves = found.where(F.col("error").isNull() & ~paths.is_zip(F.col("key"))).join(tainted, "root_key")
-    member = F.substr("key", F.length("root_key") + 2, F.length("key"))
-    return leaves.select(F.substring_index("root_key", ".", 1).cast("bigint").alias("doc_id"), member.alias("member"), "content_hash", "depth", "tainted")
+    room = rows.agg(F.coalesce(F.sum(2 * F.octet_length("text").cast("bigint") + 1024), F.lit(0))).first()[0]
+    shares = max(1, -(-room // SHARE))
+
+    def share(k):
+        some = rows.where(F.pmod(F.xxhash64("key"), F.lit(shares)) == k)
+        found = zips.tree(sinks.packed(made(some, nested), root_of(spark, "nested")))
+        tainted = found.groupBy("root_key").agg(F.bool_or(F.col("error").isNotNull()).alias("tainted"))
+        leaves = found.where(F.col("error").isNull() & ~paths.is_zip(F.col("key"))).join(tainted, "root_key")
+        member = F.substr("key", F.length("root_key") + 2, F.length("key"))
+        return leaves.select(F.substring_index("root_key", ".", 1).cast("bigint").alias("doc_id"), member.alias("member"), "content_hash", "depth", "tainted")
+
+    return settle_each(spark, [partial(share, k) for k in range(shares)], "nested")
 
 
 @query("copy_by_reference", """select doc_id, case when doc_id % 5 = 0 then 'kept' else 'written' end as outcome, case when doc_id % 5 = 0 then 0 else strlen(coalesce(text, '')) end::bigint as bytes, case when doc_id % 5 <> 0 then sha256(coalesce(text, '')) end as content_hash from documents

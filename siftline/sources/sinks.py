@@ -9,10 +9,12 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle, small_batches
+from .stores import Pack
 
 OUTCOME = "key string, bytes long, outcome string"
 
@@ -56,6 +58,22 @@ def put(objects: DataFrame, root: str, *, existing: str = "error", partitions: i
     return settle(rows.mapInPandas(run, OUTCOME), "objects")
 
 
+def packed(objects: DataFrame, root: str) -> DataFrame:
+    """Writes objects (key, content) one after another into a file a task, for those that are too small for a file each:
+    key, path, start and size of each."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with Pack(root) as pack:
+            for batch in batches:
+                places = [pack.add([content]) for content in batch.column("content").to_pylist()]
+                if places:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*places, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column("key"), *columns], ["key", "path", "start", "size"])
+
+    small_batches(objects.sparkSession)
+    return settle(objects.select("key", "content").mapInArrow(run, "key string, path string, start long, size long"), "packed")
+
+
 def copy(files: DataFrame, root: str, *, only: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Copies (key, content) rows, all or those whose keys are in `only`, over what is there."""
     chosen = files.join(only.select("key").distinct(), "key", "left_semi") if only is not None else files

@@ -8,6 +8,7 @@ stand for a hundred gigabytes.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -36,6 +37,63 @@ def opened(path: str):
     return system.open_input_file(name)
 
 
+class Part:
+    """So many bytes of an open file from a start on, read as a file of their own; closing it leaves the file open."""
+
+    def __init__(self, file, start: int, size: int):
+        self.file, self.start, self.bytes, self.at = file, start, size, 0
+
+    def size(self) -> int:
+        return self.bytes
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def read(self, most: int | None = None) -> bytes:
+        left = max(0, self.bytes - self.at)
+        self.file.seek(self.start + self.at)
+        found = self.file.read(left if most is None else min(most, left))
+        self.at += len(found)
+        return found
+
+
+class Pack:
+    """A file in a folder for the contents that a task has, one after another; without a content it is not made.
+
+    Its name is drawn in the task, so that an attempt that is repeated writes another; the folder is its user's to delete.
+    """
+
+    def __init__(self, folder: str):
+        self.folder, self.path, self.out, self.at = folder, "", None, 0
+
+    def __enter__(self) -> Pack:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self.out:
+            self.out.close()
+
+    def add(self, pieces: Iterable[bytes]) -> tuple[str, int, int]:
+        """(path, first byte, bytes) of a content; what there is of one that ends in an error is passed over. That the file
+        cannot be written is no content's error but the task's."""
+        start = self.at
+        for piece in itertools.chain([b""], pieces):
+            try:
+                self.write(piece)
+            except OSError as error:
+                raise RuntimeError(f"{self.path or self.folder} cannot be written: {error}") from error
+        return self.path, start, self.at - start
+
+    def write(self, piece: bytes) -> None:
+        if not self.out:
+            system, folder = system_of(self.folder)
+            system.create_dir(folder, recursive=True)
+            name = uuid.uuid4().hex
+            self.path, self.out = f"{self.folder}/{name}", system.open_output_stream(f"{folder}/{name}")
+        self.out.write(piece)
+        self.at += len(piece)
+
+
 def pieces_of(file) -> Iterator[bytes]:
     while piece := file.read(PIECE):
         yield piece

@@ -7,14 +7,15 @@ The processors run in transformWithStateInPandas. What meets the state is small:
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import settings
+
 COUNTERS = ("bytes", "transfers", "errors", "deletes")
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,20 +26,6 @@ SUMMARY = T.StructType([T.StructField("lane", T.StringType()), T.StructField("pa
 CHANGE = T.StructType([T.StructField("lane", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("number", T.LongType()), *NUMBERS, T.StructField("cause", T.StringType()), T.StructField("first_key", T.StringType()), T.StructField("repeated", T.LongType())])
 
 
-@contextmanager
-def settings(spark: SparkSession, **values: str) -> Iterator[None]:
-    """Queries started within have these settings (with "_" for "."); the session's own come back after."""
-    names = {k.replace("_", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
-
-
 def plain(value):
     """None for what pandas has for null."""
     return None if value is None or value != value else value

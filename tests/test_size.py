@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from siftline.sources import archives, mailbox, stores, vobject
+from siftline.sources import archives, mailbox, stores, vobject, zips
 
 SF = "/root/testdata/sf0.001"
 
@@ -177,3 +177,83 @@ def test_planning_a_mailbox_holds_little_of_each_message(tmp_path):
     assert end == {"in": [0, count], "in/old": [0, 3], "linked": [0, count], "out": [0, 0]} and first == ("in", 0, 1, b"")
     quarters = [(k * count // 4, (k + 1) * count // 4) for k in range(4)]
     assert [(p.name, p.above, p.upto) for p in parts] == [("in", *q) for q in quarters] + [("in/old", 0, 3)] + [("linked", *q) for q in quarters]
+
+
+def zipped(compression, **members):
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", compression) as z:
+        for name, data in members.items():
+            z.writestr(name.replace("_", "."), data)
+    return out.getvalue()
+
+
+def under(folder):
+    import os
+
+    return [f"{d}/{f}" for d, _, names in os.walk(folder) for f in names]
+
+
+def test_stored_archives_are_read_where_they_lie(spark, tmp_path):
+    import hashlib
+
+    inner = zipped(0, a_txt=b"a" * 99, b_zip=zipped(8, c_txt=b"c"))
+    (tmp_path / "r.zip").write_bytes(zipped(0, n_txt=b"n", s_zip=inner))
+    (tmp_path / "d.zip").write_bytes(zipped(8, s_zip=inner, t_zip=inner))
+    files = spark.createDataFrame([(n, f"{tmp_path}/{n}") for n in ("r.zip", "d.zip")], "key string, path string")
+    members = zips.within_budget(zips.directory(files)).where("part like '%.zip'")
+    lying = {(r.key, r.part): r for r in zips.spilled(members, f"{tmp_path}/spill").collect()}
+    for row in lying.values():
+        with open(row.spill, "rb") as file:
+            file.seek(row.start)
+            assert row.error is None and file.read(row.size) == inner
+    assert lying["r.zip", "s.zip"].spill == f"{tmp_path}/r.zip" and len(under(tmp_path / "spill")) <= 2
+    got = {(r.key, r.content_hash) for r in zips.tree(files.selectExpr("*", "1L as size")).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {("r.zip!n.txt", sha(b"n"))} | {(f"{k}!{n}", sha(b)) for k in ("r.zip!s.zip", "d.zip!s.zip", "d.zip!t.zip") for n, b in (("a.txt", b"a" * 99), ("b.zip!c.txt", b"c"))}
+
+
+def test_an_archive_in_a_file_ends_where_it_ends(spark, tmp_path):
+    import struct
+    import zlib
+
+    inner = bytearray(zipped(0, a_txt=b"abc"))
+    at = inner.find(b"PK\x01\x02")
+    behind = b"what stands behind the archive"
+    inside = bytes(inner[inner.find(b"abc"):])
+    for bytes_of in (inside + behind[:4], b"abc" + b"x" * 500):  # sizes that reach beyond the archive, and beyond the file
+        claims = bytearray(inner)
+        claims[at + 16 : at + 28] = struct.pack("<3I", zlib.crc32(bytes_of), len(bytes_of), len(bytes_of))
+        (tmp_path / "f").write_bytes(b"ahead" + claims + behind)
+        file = spark.createDataFrame([("a.zip", f"{tmp_path}/f", 5, len(inner))], "key string, path string, start long, size long")
+        (row,) = zips.digests(zips.directory(file)).collect()
+        assert row.error == "EOFError: ends too early"
+
+
+def test_a_file_that_cannot_be_written_is_no_members_error(tmp_path):
+    import pytest
+
+    (tmp_path / "f").write_bytes(b"")
+    with stores.Pack(f"{tmp_path}/f/below") as pack, pytest.raises(RuntimeError, match="cannot be written"):
+        pack.add([b"x"])
+    with stores.Pack(f"{tmp_path}/g") as pack:
+        assert [pack.add(p)[1:] for p in ([b"ab", b"c"], [], [b"d"])] == [(0, 3), (3, 0), (3, 1)]
+    assert (tmp_path / "g" / pack.path.rpartition("/")[2]).read_bytes() == b"abcd"
+
+
+def test_trees_leave_rows_only_and_archives_come_in_shares(spark, tmp_path, monkeypatch):
+    from siftline import session
+    from siftline.plans import stored
+
+    monkeypatch.setattr(stored, "SHARE", 800_000)
+    monkeypatch.setattr(session, "shared_root", lambda spark: f"file://{tmp_path}")
+    told = []
+    plain = zips.tree
+    monkeypatch.setattr(zips, "tree", lambda files: (told.append(files.count()), plain(files))[1])
+    found = entry.queries()["zip_nested"](spark, SF)
+    assert found.count() == 2 * sum(told) == 2 * spark.read.parquet(f"{SF}/documents.parquet").count() and len(told) >= 2
+    left = [f.rpartition("/")[2] for f in under(tmp_path)]
+    assert all(name.removeprefix(".").removesuffix(".crc").startswith(("part-", "_SUCCESS")) for name in left)
+    assert sum(name.startswith("part-") for name in left) == len(found.inputFiles())

@@ -40,7 +40,7 @@ def zip_expand(spark, sf_dir):
 
 
 #: Bytes of archives that lie at a time, about.
-SHARE = 2 << 30
+SHARE = 1 << 30
 
 
 @query("zip_nested", """select doc_id, m.member, case m.depth when 1 then sha256(coalesce(text, '')) else sha256(reverse(coalesce(text, ''))) end as content_hash, m.depth, doc_id % 7 = 0 as tainted
